@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemeter.functions.columns import let
+
 # Month, day and name of holidays that stay on their date.
 FIXED_HOLIDAYS = [
     (1, 1, "Año Nuevo"),
@@ -34,11 +36,6 @@ EASTER_HOLIDAYS = [
 ]
 
 
-def _let(value: Column, use) -> Column:
-    """Evaluate ``value`` once and hand it to ``use``."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _div(a: Column, b: int | Column) -> Column:
     return F.floor(a / b)
 
@@ -56,7 +53,7 @@ def easter_sunday(year: Column) -> Column:
         weekday = (year + _div(year, 4) + moon + 2 - century + _div(century, 4)) % 7
         return F.date_add(F.make_date(year, F.lit(3), F.lit(28)), (moon - weekday).cast("int"))
 
-    return _let(_let(epact, full_moon), sunday)
+    return let(let(epact, full_moon), sunday)
 
 
 def holiday_name(date: Column | str) -> Column:

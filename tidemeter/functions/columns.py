@@ -12,6 +12,15 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use) -> Column:
+    """Evaluate ``value`` once and hand it to ``use``.
+
+    Array functions evaluate what they refer to again for every element, so intermediate arrays and
+    sums inside them need a name.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 # --- station field "(code) name" ---------------------------------------------------------------
 
 def _before_close(field: Column) -> Column:

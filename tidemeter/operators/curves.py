@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemeter.functions import columns as C
+from tidemeter.functions.columns import let
 
 DAY_KEYS = ["station", "year", "month", "day", "day_of_week", "date_type"]
 
@@ -28,40 +29,49 @@ def expected_points(start: int, end: int, minutes: int = 15) -> int:
     return (to_minutes(end) - to_minutes(start)) // minutes + 1
 
 
+def _total(curve: Column) -> Column:
+    return F.aggregate(curve, F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
+
+
 def normalise(curve: Column) -> Column:
     """Divide by the sum; curves without positive mass stay as they are."""
-    total = F.aggregate(curve, F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
-    return F.when(total > 0, F.transform(curve, lambda x: x / total)).otherwise(curve)
+    scaled = lambda c, t: F.when(t > 0, F.transform(c, lambda x: x / t)).otherwise(c)
+    return let(curve, lambda c: let(_total(c), lambda t: scaled(c, t)))
 
 
-def _lerp(curve: Column, position: Column) -> Column:
-    """Value at a fractional zero-based position, held constant beyond the ends."""
-    last = F.size(curve) - 1
-    lower = F.greatest(F.lit(0), F.least(F.floor(position).cast("int"), last))
-    upper = F.least(lower + 1, last)
-    a, b = F.get(curve, lower), F.get(curve, upper)
+def _lerp(curve: Column, last: Column, position: Column) -> Column:
+    """Value at a fractional zero-based position between 0 and ``last``."""
+    lower = F.least(F.floor(position).cast("int"), last)
+    a, b = F.get(curve, lower), F.get(curve, F.least(lower + 1, last))
     return a + (b - a) * (position - lower)
 
 
 def fill_gaps(curve: Column) -> Column:
     """Replace nulls by linear interpolation between valid neighbours, the nearest one at the ends."""
-    known = F.filter(F.transform(curve, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: s["x"].isNotNull())
 
-    def value(x: Column, i: Column) -> Column:
-        left = F.element_at(F.filter(known, lambda s: s["i"] < i), -1)
-        right = F.get(F.filter(known, lambda s: s["i"] > i), F.lit(0))
+    def known(c: Column) -> Column:
+        numbered = F.transform(c, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+        return F.filter(numbered, lambda s: s["x"].isNotNull())
+
+    def value(k: Column, x: Column, i: Column) -> Column:
+        left = F.get(F.reverse(F.filter(k, lambda s: s["i"] < i)), F.lit(0))
+        right = F.get(F.filter(k, lambda s: s["i"] > i), F.lit(0))
         between = left["x"] + (right["x"] - left["x"]) * (i - left["i"]) / (right["i"] - left["i"])
         return F.coalesce(x, between, left["x"], right["x"])
 
-    return F.when(F.exists(curve, lambda x: x.isNull()), F.transform(curve, value)).otherwise(curve)
+    def filled(c: Column) -> Column:
+        repaired = let(known(c), lambda k: F.transform(c, lambda x, i: value(k, x, i)))
+        return F.when(F.exists(c, lambda x: x.isNull()), repaired).otherwise(c)
+
+    return let(curve, filled)
 
 
 def resample(curve: Column, target_len: int = 77) -> Column:
     """Linear resampling of a curve on [0, 1] to a fixed number of points."""
-    n = F.size(curve)
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(target_len - 1)),
-        lambda i: _lerp(curve, i * (n - 1) / F.lit(float(max(target_len - 1, 1)))),
+    grid = F.sequence(F.lit(0), F.lit(target_len - 1))
+    step = F.lit(float(max(target_len - 1, 1)))
+    return let(
+        curve, lambda c: F.transform(grid, lambda i: _lerp(c, F.size(c) - 1, i * (F.size(c) - 1) / step))
     )
 
 

@@ -58,8 +58,9 @@ def counts_in(taps: DataFrame, minutes: int = 15, zero_fill: bool = False) -> Da
 
 
 def counts_out(exits: DataFrame, minutes: int = 15) -> DataFrame:
+    """Window sum of exits cut to a whole number; rounding first keeps it independent of summation order."""
     return exits.groupBy("station", C.floor_minutes("ts", minutes).alias("window")).agg(
-        F.sum("exits").cast("int").alias("count_out")
+        F.round(F.sum("exits"), 6).cast("int").alias("count_out")
     )
 
 

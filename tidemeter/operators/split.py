@@ -53,11 +53,11 @@ def value_chunk(df: DataFrame, value: str, chunks: int = 64) -> Column:
     """Range number of a value between percentiles of all rows.
 
     The percentiles are one row computed by Spark and read as a scalar subquery; equal values always
-    share a range.
+    share a range. The number is the place of the value among the sorted bounds.
     """
     points = [i / chunks for i in range(1, chunks)]
     bounds = df.agg(F.percentile_approx(value, points, 1000).alias("bounds")).scalar()
-    return F.size(F.filter(bounds, lambda b: b < F.col(value)))
+    return F.array_position(F.sort_array(F.array_append(bounds, F.col(value))), F.col(value))
 
 
 def value_histogram(df: DataFrame, keys: list[str], labels: list[str], value: str) -> DataFrame:

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from tidemeter.functions import columns as C
 from tidemeter.operators.split import previous_row, running_total, time_chunk
 
-DAY_HOURS = 24
+CHUNK_HOURS = 6
 
 
-def trips(taps: DataFrame, tiebreak: str = "event_id", chunk_hours: int = DAY_HOURS) -> DataFrame:
+def trips(taps: DataFrame, tiebreak: str = "event_id", chunk_hours: int = CHUNK_HOURS) -> DataFrame:
     """A trip per card whenever two consecutive taps are at different stations."""
     clean = taps.where("station IS NOT NULL AND card IS NOT NULL").select("card", "ts", "station", tiebreak)
     chunked = clean.withColumn("_chunk", time_chunk("ts", chunk_hours))
