@@ -55,16 +55,48 @@ def ingest(store: Store, rows: DataFrame, process_type: str) -> Store:
     return Store(dimension, merged.select(*FACT_COLUMNS), ledger.mark_processed(store.ledger, todo))
 
 
-def save(store: Store, folder: str) -> None:
-    """Write one version of the store; the ledger goes last, so a lost run is simply repeated."""
-    facts.write(store.facts, f"{folder}/facts")
-    store.stations.write.mode("overwrite").parquet(f"{folder}/stations")
-    store.ledger.write.mode("overwrite").parquet(f"{folder}/ledger")
+STATION_SCHEMA = "id int, code string, name string"
+MONTH = ["version", "year", "month"]
 
 
-def load(spark: SparkSession, folder: str) -> Store:
+def months_of(rows: DataFrame) -> DataFrame:
+    return rows.select(F.year("ts").alias("year"), F.month("ts").alias("month")).distinct()
+
+
+def save(store: Store, folder: str, version: int) -> None:
+    """Write a version: the months in ``store.facts``, the dimension and the ledger.
+
+    A version never changes files of another one, so a step that is lost halfway can be repeated. The
+    ledger goes last; rows of a busy month spread over tasks by day.
+    """
+    (
+        store.facts.repartition("year", "month", "day")
+        .sortWithinPartitions("year", "month", "station_id", "time")
+        .write.mode("overwrite")
+        .partitionBy("year", "month")
+        .parquet(f"{folder}/facts/version={version}")
+    )
+    store.stations.write.mode("overwrite").parquet(f"{folder}/stations/version={version}")
+    store.ledger.write.mode("overwrite").parquet(f"{folder}/ledger/version={version}")
+
+
+def load(spark: SparkSession, folder: str, version: int) -> Store:
+    """The store as of a version: of every month the newest files not after it."""
+    rows = spark.read.schema(f"{FACT_SCHEMA}, version int").parquet(f"{folder}/facts").where(F.col("version") <= version)
+    newest = rows.groupBy("year", "month").agg(F.max("version").alias("version"))
+    current = rows.join(newest, MONTH, "left_semi").select(*FACT_COLUMNS)
     return Store(
-        spark.read.parquet(f"{folder}/stations"),
-        spark.read.parquet(f"{folder}/facts").select(*FACT_COLUMNS),
-        spark.read.parquet(f"{folder}/ledger"),
+        spark.read.schema(STATION_SCHEMA).parquet(f"{folder}/stations/version={version}"),
+        current,
+        spark.read.schema(ledger.SCHEMA).parquet(f"{folder}/ledger/version={version}"),
     )
+
+
+def advance(spark: SparkSession, folder: str, version: int, rows: DataFrame, process_types: tuple[str, ...]) -> int:
+    """Apply rows to a version and write the next one; only the months that the rows touch are rewritten."""
+    store = load(spark, folder, version)
+    store.facts = store.facts.join(months_of(rows), ["year", "month"], "left_semi").select(*FACT_COLUMNS)
+    for process_type in process_types:
+        store = ingest(store, rows, process_type)
+    save(store, folder, version + 1)
+    return version + 1

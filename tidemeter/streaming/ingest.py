@@ -7,26 +7,11 @@ from pyspark.sql import functions as F
 
 from tidemeter.session import scratch_path
 from tidemeter.sources import ingest as batch_ingest
-from tidemeter.sources import tables
 from tidemeter.streaming.flows import read_stream
 
 ROW_SCHEMA = "event_id bigint, ts timestamp, station_field string, card bigint, exits double, date date"
 
 
-def apply_batch(rows: DataFrame, batch_id: int, folder: str, process_types: tuple[str, ...]) -> None:
-    """Turn version ``batch_id`` of the store into the next one.
-
-    A batch always starts from the version before it and writes a folder of its own, and the ledger
-    skips files already counted, so a batch that is run again ends in the same state.
-    """
-    session = rows.sparkSession
-    before = batch_ingest.load(session, f"{folder}/v{batch_id}")
-    keyed = rows.withColumn("file_id", F.date_format("date", "yyyyMMdd"))
-    for process_type in process_types:
-        before = batch_ingest.ingest(before, keyed, process_type)
-    batch_ingest.save(before, f"{folder}/v{batch_id + 1}")
-
-
 def ingest_stream(
     spark: SparkSession,
     source: str,
@@ -34,13 +19,18 @@ def ingest_stream(
     files_per_trigger: int | None = None,
     process_types: tuple[str, ...] = (batch_ingest.CHECKINS, batch_ingest.CHECKOUTS),
 ) -> batch_ingest.Store:
-    """Process every daily file below ``source`` once and return the newest store."""
-    batch_ingest.save(batch_ingest.empty_store(spark), f"{folder}/v0")
+    """Process every daily file below ``source`` once and return the newest store.
+
+    Batch ``i`` reads version ``i`` and writes version ``i + 1``, and the ledger skips files already
+    counted, so a batch that is run again ends in the same state.
+    """
     versions = {"last": 0}
+    batch_ingest.save(batch_ingest.empty_store(spark), folder, 0)
 
     def handle(rows: DataFrame, batch_id: int) -> None:
-        apply_batch(rows, batch_id, folder, process_types)
-        versions["last"] = batch_id + 1
+        keyed = rows.withColumn("file_id", F.date_format("date", "yyyyMMdd")).persist()
+        versions["last"] = batch_ingest.advance(rows.sparkSession, folder, batch_id, keyed, process_types)
+        keyed.unpersist()
 
     stream = read_stream(spark, source, ROW_SCHEMA, "csv", files_per_trigger)
     query = (
@@ -50,11 +40,11 @@ def ingest_stream(
         .start()
     )
     query.awaitTermination()
-    return batch_ingest.load(spark, f"{folder}/v{versions['last']}")
+    return batch_ingest.load(spark, folder, versions["last"])
 
 
 def scratch_store(spark: SparkSession) -> str:
     return scratch_path(spark, "store")
 
 
-__all__ = ["apply_batch", "ingest_stream", "scratch_store", "tables"]
+__all__ = ["ingest_stream", "scratch_store"]
