@@ -86,12 +86,29 @@ class _DayLikelihood:
         self.m = mu[plain][index]
         self.s, self.n, self.mu = s[~plain], n[~plain].astype(float), mu[~plain]
 
-    def slope(self, alpha: float) -> float:
-        value = (self.x / (self.m + alpha * self.x)).sum()
+    def slope(self, alpha: float) -> tuple[float, float]:
+        """Derivative of the log sum in alpha, and an upper estimate of how fast it falls."""
+        share = self.x / (self.m + alpha * self.x)
+        value, fall = share.sum(), (share * share).sum()
         if len(self.n):
             c = self.mu / alpha
-            value += ((self.n - c * (_digamma(c + self.s + self.n) - _digamma(c + self.s))) / alpha).sum()
-        return float(value)
+            busy = (self.n - c * (_digamma(c + self.s + self.n) - _digamma(c + self.s))) / alpha
+            value, fall = value + busy.sum(), fall + (busy / alpha).sum()
+        return float(value), float(fall)
+
+    def best_alpha(self, exposure: float, start: float) -> float:
+        """Root of the falling function slope - exposure: Newton steps kept inside a bracket."""
+        low, high, alpha = LOW, HIGH, min(max(start, LOW), HIGH)
+        for _ in range(80):
+            value, fall = self.slope(alpha)
+            gap = value - exposure
+            low, high = (alpha, high) if gap > 0 else (low, alpha)
+            step = alpha + gap / fall if fall > 0 else high if gap > 0 else low
+            following = step if low < step < high else math.sqrt(low * high)
+            if abs(following - alpha) <= 1e-12 * alpha:
+                return following
+            alpha = following
+        return alpha
 
     def log_sum(self, alpha: float) -> float:
         value = np.log(np.maximum(self.m + alpha * self.x, 1e-300)).sum()
@@ -108,16 +125,7 @@ def _profile(t, n, mu, mass, end, beta):
     alphas, values = np.empty(len(beta)), np.empty(len(beta))
     for j in range(len(beta)):
         day = _DayLikelihood(s[:, j], n, mu)
-        low, high = math.log(LOW), math.log(HIGH)
-        if day.slope(LOW) <= exposure[j]:
-            alpha = LOW
-        elif day.slope(HIGH) >= exposure[j]:
-            alpha = HIGH
-        else:
-            for _ in range(50):
-                middle = (low + high) / 2
-                low, high = (middle, high) if day.slope(math.exp(middle)) > exposure[j] else (low, middle)
-            alpha = math.exp((low + high) / 2)
+        alpha = day.best_alpha(exposure[j], beta[j] / 2)
         alphas[j] = alpha
         values[j] = day.log_sum(alpha) - mass - alpha * exposure[j]
     return alphas, values

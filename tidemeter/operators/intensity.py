@@ -7,9 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from tidemeter.functions import columns as C
+from tidemeter.operators.split import previous_row, time_chunk
 
 FIRST_MINUTE, LAST_MINUTE = 240, 1380
 GRID = LAST_MINUTE - FIRST_MINUTE + 1
@@ -28,30 +29,28 @@ def minute_counts(taps: DataFrame) -> DataFrame:
     return open_taps(taps).groupBy(*DAY, "minute").agg(F.count(F.lit(1)).alias("n"))
 
 
-def dense_minutes(counts: DataFrame) -> DataFrame:
-    """One row per day with the counts of all minutes of the grid, zeros included."""
-    pairs = F.map_from_entries(F.collect_list(F.struct("minute", "n")))
-    grid = F.sequence(F.lit(FIRST_MINUTE), F.lit(LAST_MINUTE))
-    return counts.groupBy(*DAY).agg(pairs.alias("_m")).select(
-        *DAY, F.transform(grid, lambda m: F.coalesce(F.element_at("_m", m), F.lit(0))).alias("counts")
-    )
+def minute_series(counts: DataFrame) -> DataFrame:
+    """Every minute of the grid for every day seen: station, date, minute, n with zeros."""
+    grid = F.explode(F.sequence(F.lit(FIRST_MINUTE), F.lit(LAST_MINUTE))).alias("minute")
+    days = counts.select(*DAY).distinct().select(*DAY, grid)
+    return days.join(counts, [*DAY, "minute"], "left").select(*DAY, "minute", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def minute_series(counts: DataFrame) -> DataFrame:
-    """Dense long form: station, date, minute, n."""
-    exploded = dense_minutes(counts).select(*DAY, F.posexplode("counts").alias("i", "n"))
-    return exploded.select(*DAY, (F.col("i") + FIRST_MINUTE).alias("minute"), "n")
+SMOOTHED = StructType([StructField("n", ArrayType(LongType())), StructField("intensity", ArrayType(DoubleType()))])
 
 
 def gaussian_smoother(bandwidth: float):
-    """Column function: counts on the minute grid to kernel intensity on the same grid."""
+    """Column function: busy minutes and their counts to dense counts and kernel intensity on the grid."""
     offsets = np.arange(GRID)
     weights = np.exp(-0.5 * (offsets / bandwidth) ** 2) / (bandwidth * np.sqrt(2 * np.pi))
 
-    @pandas_udf(ArrayType(DoubleType()))
-    def smooth(counts: pd.Series) -> pd.Series:
+    @pandas_udf(SMOOTHED)
+    def smooth(minutes: pd.Series, counts: pd.Series) -> pd.DataFrame:
         kernel = weights[np.abs(offsets[:, None] - offsets[None, :])]
-        return pd.Series(list(np.stack(counts.to_numpy()).astype(float) @ kernel), index=counts.index)
+        dense = np.zeros((len(minutes), GRID))
+        for row, (m, n) in enumerate(zip(minutes, counts)):
+            dense[row, np.asarray(m) - FIRST_MINUTE] = n
+        return pd.DataFrame({"n": list(dense.astype(np.int64)), "intensity": list(dense @ kernel)})
 
     return smooth
 
@@ -62,11 +61,11 @@ def kernel_intensity(taps: DataFrame, bandwidth: float = 5.0) -> DataFrame:
     The inputs are whole minutes, so the sum over taps is a convolution of 1141 counts with the kernel:
     one matrix product per batch of days instead of a pair of rows per tap and grid point.
     """
-    dense = dense_minutes(minute_counts(taps)).withColumn("lam", gaussian_smoother(bandwidth)("counts"))
-    both = dense.select(*DAY, F.posexplode(F.arrays_zip("counts", "lam")).alias("i", "p"))
-    return both.select(
-        *DAY, (F.col("i") + FIRST_MINUTE).alias("minute"), F.col("p.counts").alias("n"), F.col("p.lam").alias("intensity")
-    )
+    busy = F.array_sort(F.collect_list(F.struct("minute", "n")))
+    days = minute_counts(taps).groupBy(*DAY).agg(busy.alias("busy"))
+    smoothed = days.select(*DAY, gaussian_smoother(bandwidth)(F.col("busy.minute"), F.col("busy.n")).alias("s"))
+    both = smoothed.select(*DAY, F.posexplode(F.arrays_zip("s.n", "s.intensity")).alias("i", "p"))
+    return both.select(*DAY, (F.col("i") + FIRST_MINUTE).alias("minute"), "p.n", "p.intensity")
 
 
 def compensated(grid: DataFrame) -> DataFrame:
@@ -145,8 +144,6 @@ def variance_curve(binned: DataFrame, k: DataFrame, points: int = 200) -> DataFr
 
 def rescaled_increments(taps: DataFrame, bandwidth: float = 5.0, tiebreak: str = "event_id") -> DataFrame:
     """Compensator differences between consecutive taps, interpolated at their exact times."""
-    from tidemeter.operators.split import previous_row, time_chunk
-
     cumulative = trapezoid(kernel_intensity(taps, bandwidth))
     level = interpolated(taps, cumulative, "integral", "level").withColumn("_chunk", time_chunk("ts", 1))
     paired = previous_row(level.select(*DAY, "ts", tiebreak, "level", "_chunk"), DAY, "_chunk", ["ts", tiebreak], ["level"], "before")
