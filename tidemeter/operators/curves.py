@@ -95,6 +95,16 @@ def signatures(aligned: DataFrame) -> DataFrame:
     return mean.groupBy("station", "date_type").agg(F.transform(ordered, lambda s: s["v"]).alias("curve"))
 
 
+def range_signatures(
+    facts: DataFrame, value: str, start: int = 400, end: int = 2300, minutes: int = 15, min_fraction: float = 0.5, unit_sum: bool = True
+) -> DataFrame:
+    """Signatures of a part of the day: curves need a fraction of the slots that the range can hold."""
+    expected = expected_points(start, end, minutes)
+    required = int(expected * min_fraction)
+    daily = daily_curves(facts, value, required, start, end)
+    return signatures(aligned_curves(daily, expected, required, unit_sum))
+
+
 def feature_columns(sigs: DataFrame, length: int) -> DataFrame:
     """Curve positions as columns t_00, t_01, ..."""
     return sigs.select("station", "date_type", *[F.get("curve", F.lit(i)).alias(f"t_{i:02d}") for i in range(length)])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemeter.functions import columns as C
 from tidemeter.functions import special as S
+from tidemeter.functions.columns import let
 from tidemeter.operators.split import rank_ranges, running_total, value_histogram
 
 CDFS = {
@@ -15,7 +16,7 @@ CDFS = {
 }
 
 
-def ks_statistic(df: DataFrame, keys: list[str], value: str, cdf: str, chunks: int = 64, weight: str | None = None) -> DataFrame:
+def ks_statistic(df: DataFrame, keys: list[str], value: str, cdf: str, chunks: int = 1024, weight: str | None = None) -> DataFrame:
     """Largest distance between the empirical distribution and a fixed one.
 
     The model's own CDF cuts the values into ranges, so ranges fill evenly when the model holds, and
@@ -104,34 +105,33 @@ def normality_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     n, c, hi = F.col("size").cast("double"), F.col("n"), F.col("upto")
     lo = hi - c
     z = (F.col(value) - F.col("mu")) / F.col("sd")
-    below, above = S.normal_cdf(F.col("z")), S.normal_sf(F.col("z"))
-    ad_low = (hi * hi - lo * lo) / n
-    ad_high = (c * (2 * n + 1) - (hi * (hi + 1) - lo * (lo + 1))) / n
-    scored = ranked.withColumn("z", z).withColumn("below", below).withColumn("above", above)
-    plain = scored.groupBy(*keys).agg(
-        (-F.max("size") - F.sum(ad_low * F.log("below") + ad_high * F.log("above"))).alias("anderson"),
-        F.max(F.greatest(hi / n - F.col("below"), F.col("below") - lo / n)).alias("ks"),
-        *[
-            F.max(F.when((lo < k) & (hi >= k), F.col(value))).alias(name)
-            for k, name in ((F.lit(1), "x1"), (F.lit(2), "x2"), (F.col("size") - 1, "xm"), (F.col("size"), "xn"))
-        ],
-    )
-    blocks = ranked.select(*keys, value, "size", lo.alias("lo"), hi.alias("hi")).select(
-        *keys, value, "size", "hi", F.explode(F.sequence("lo", F.col("hi") - 1, F.lit(RANK_BLOCK))).alias("from")
+    tails = let(z, lambda v: F.struct(S.normal_cdf(v).alias("below"), S.normal_sf(v).alias("above")))
+    scored = ranked.withColumn("_t", tails).select("*", "_t.below", "_t.above").drop("_t")
+    ad_low = (hi * hi - lo * lo) / n * F.log("below")
+    ad_high = (c * (2 * n + 1) - (hi * (hi + 1) - lo * (lo + 1))) / n * F.log("above")
+    blocks = scored.select(
+        *keys, "size", "mu", "sd", "var_pop", F.col(value).alias("x"), lo.alias("lo"), hi.alias("hi"),
+        (ad_low + ad_high).alias("ad"),
+        F.greatest(hi / n - F.col("below"), F.col("below") - lo / n).alias("gap"),
+        F.explode(F.sequence(lo, hi - 1, F.lit(RANK_BLOCK))).alias("from"),
     )
     score = lambda i: S.normal_ppf((i - 0.375) / (F.col("size") + 0.25))
     ranks = F.sequence(F.col("from") + 1, F.least(F.col("from") + RANK_BLOCK, F.col("hi")))
-    scores = F.transform(ranks, score)
-    total = lambda f: F.aggregate("scores", F.lit(0.0), lambda acc, m: acc + f(m))
-    sums = (
-        blocks.withColumn("scores", scores)
-        .groupBy(*keys)
-        .agg(
-            F.sum(F.col(value) * total(lambda m: m)).alias("mx"),
-            F.sum(total(lambda m: m * m)).alias("mm"),
-        )
+    pair = F.aggregate(
+        F.transform(ranks, score),
+        F.struct(F.lit(0.0).alias("m"), F.lit(0.0).alias("mm")),
+        lambda acc, m: F.struct((acc["m"] + m).alias("m"), (acc["mm"] + m * m).alias("mm")),
+    )
+    first_block = F.col("from") == F.col("lo")
+    at = lambda k: F.max(F.when((F.col("lo") < k) & (F.col("hi") >= k), F.col("x")))
+    joined = blocks.withColumn("p", pair).groupBy(*keys).agg(
+        *[F.max(m).alias(m) for m in ("size", "var_pop")],
+        (-F.max("size") - F.sum(F.when(first_block, F.col("ad")))).alias("anderson"),
+        F.max("gap").alias("ks"),
+        F.sum(F.col("x") * F.col("p.m")).alias("mx"),
+        F.sum("p.mm").alias("mm"),
+        *[at(k).alias(name) for k, name in ((F.lit(1), "x1"), (F.lit(2), "x2"), (F.col("size") - 1, "xm"), (F.col("size"), "xn"))],
     )
-    joined = fitted.join(plain, keys).join(sums, keys)
     return _finish_normality(joined, keys)
 
 
@@ -152,35 +152,46 @@ LARGE_MEAN, LARGE_SD = [0.0038915, -0.083751, -0.31082, -1.5861], [0.0030302, -0
 ANDERSON_5PCT = 0.752
 
 
-def _finish_normality(joined: DataFrame, keys: list[str]) -> DataFrame:
-    n = F.col("size").cast("double")
+def _shapiro() -> Column:
+    """Shapiro-Wilk W from the aggregated sums; every intermediate is named once, as its formula is long."""
+    n, large = F.col("size").cast("double"), F.col("size") > 5
     u = 1 / F.sqrt(n)
-    outer_m, second_m = S.normal_ppf((n - 0.375) / (n + 0.25)), S.normal_ppf((n - 1.375) / (n + 0.25))
-    step1 = joined.withColumn("m1", outer_m).withColumn("m2", F.when(F.col("size") > 3, second_m).otherwise(F.lit(0.0)))
-    an = F.col("m1") / F.sqrt("mm") + _polynomial(OUTER_WEIGHT, u)
-    an1 = F.col("m2") / F.sqrt("mm") + _polynomial(SECOND_WEIGHT, u)
-    step2 = step1.withColumn("a1", F.when(F.col("size") == 3, F.lit(0.5**0.5)).otherwise(an))
-    step2 = step2.withColumn("a2", F.when(F.col("size") > 5, an1))
-    m1, m2, a1, a2 = (F.col(c) for c in ("m1", "m2", "a1", "a2"))
-    ends = (F.col("xn") - F.col("x1")) * m1
-    inner_ends = F.when(F.col("size") > 5, (F.col("xm") - F.col("x2")) * m2).otherwise(F.lit(0.0))
-    eps = F.when(
-        F.col("size") > 5, (F.col("mm") - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)
-    ).otherwise((F.col("mm") - 2 * m1 * m1) / (1 - 2 * a1 * a1))
-    body = F.when(F.col("size") > 3, (F.col("mx") - ends - inner_ends) / F.sqrt(eps)).otherwise(F.lit(0.0))
-    contrast = body + a1 * (F.col("xn") - F.col("x1")) + F.when(
-        F.col("size") > 5, a2 * (F.col("xm") - F.col("x2"))
-    ).otherwise(F.lit(0.0))
-    step3 = step2.withColumn("shapiro", F.least(F.lit(1.0), contrast * contrast / (F.col("var_pop") * n)))
-    lw, ln = F.log(1 - F.col("shapiro")), F.log(n)
+    span, inner = F.col("xn") - F.col("x1"), F.col("xm") - F.col("x2")
+    scores = F.array(S.normal_ppf((n - 0.375) / (n + 0.25)), S.normal_ppf((n - 1.375) / (n + 0.25)))
+
+    def weights(m: Column) -> Column:
+        first = m[0] / F.sqrt("mm") + _polynomial(OUTER_WEIGHT, u)
+        second = F.when(large, m[1] / F.sqrt("mm") + _polynomial(SECOND_WEIGHT, u)).otherwise(F.lit(0.0))
+        return F.array(F.when(F.col("size") == 3, F.lit(0.5**0.5)).otherwise(first), second)
+
+    def statistic(m: Column, a: Column) -> Column:
+        m2 = F.when(large, m[1]).otherwise(F.lit(0.0))
+        eps = (F.col("mm") - 2 * m[0] * m[0] - 2 * m2 * m2) / (1 - 2 * a[0] * a[0] - 2 * a[1] * a[1])
+        body = F.when(F.col("size") > 3, (F.col("mx") - span * m[0] - inner * m2) / F.sqrt(eps)).otherwise(F.lit(0.0))
+        square = lambda w: F.least(F.lit(1.0), w * w / (F.col("var_pop") * n))
+        return let(body + a[0] * span + a[1] * inner, square)
+
+    return let(scores, lambda m: let(weights(m), lambda a: statistic(m, a)))
+
+
+def _shapiro_p(w: Column) -> Column:
+    n = F.col("size").cast("double")
+    lw, ln = F.log(1 - w), F.log(n)
     small = (-F.log(-2.273 + 0.459 * n - lw) - _polynomial(SMALL_MEAN, n)) / F.exp(_polynomial(SMALL_SD, n))
     large = (lw - _polynomial(LARGE_MEAN, ln)) / F.exp(_polynomial(LARGE_SD, ln))
+    return let(F.when(F.col("size") <= 11, small).otherwise(large), S.normal_sf)
+
+
+def _finish_normality(joined: DataFrame, keys: list[str]) -> DataFrame:
+    n = F.col("size").cast("double")
     critical = F.round(F.lit(ANDERSON_5PCT) / (1 + 0.75 / n + 2.25 / n / n), 3)
-    return step3.select(
+    both = let(_shapiro(), lambda w: F.struct(w.alias("w"), F.when(F.col("size") > 3, _shapiro_p(w)).alias("p")))
+    tested = joined.withColumn("_sw", both)
+    return tested.select(
         *keys,
         F.col("size").alias("n"),
-        "shapiro",
-        F.when(F.col("size") > 3, S.normal_sf(F.when(F.col("size") <= 11, small).otherwise(large))).alias("shapiro_p"),
+        F.col("_sw.w").alias("shapiro"),
+        F.col("_sw.p").alias("shapiro_p"),
         "anderson",
         (F.col("anderson") > critical).alias("anderson_reject"),
         "ks",

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from operator import add
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemeter.functions import columns as C
@@ -17,9 +20,41 @@ def window_counts(taps: DataFrame, minutes: int, keys: list[str] | None = None)
     return taps.groupBy(*keys, C.floor_minutes("ts", minutes).alias("w")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _regroup(counts: DataFrame, minutes: int, *aggs) -> DataFrame:
-    """Second level of a two-level count. The finer counts are already small, so this shuffles little."""
-    return counts.groupBy("station", C.floor_minutes("w", minutes).alias("window")).agg(*aggs)
+MAX_BINS = 20
+
+
+def window_moments(taps: DataFrame, minutes: int, bin_minutes: int) -> DataFrame:
+    """Per station and window: total ``s``, sum of squares ``q`` and number ``m`` of its non-empty bins.
+
+    The bins of one window become counters of one aggregate, so map tasks send one row per station and
+    window through a single shuffle. Windows with many bins are counted in two levels instead.
+    """
+    bins = minutes // bin_minutes
+    if bins > MAX_BINS:
+        n = F.col("n")
+        fine = window_counts(taps, bin_minutes)
+        return fine.groupBy("station", C.floor_minutes("w", minutes).alias("window")).agg(
+            F.sum("n").alias("s"), F.sum(n * n).alias("q"), F.count("n").alias("m")
+        )
+    place = F.floor(F.pmod(F.unix_seconds("ts"), F.lit(minutes * 60)) / (bin_minutes * 60))
+    names = [f"b{i}" for i in range(bins)]
+    counted = taps.groupBy("station", C.floor_minutes("ts", minutes).alias("window")).agg(
+        *[F.count_if(place == i).alias(name) for i, name in enumerate(names)]
+    )
+    columns = [F.col(name) for name in names]
+    return counted.select(
+        "station",
+        "window",
+        reduce(add, columns).alias("s"),
+        reduce(add, [c * c for c in columns]).alias("q"),
+        reduce(add, [(c > 0).cast("bigint") for c in columns]).alias("m"),
+    )
+
+
+def _sample_variance() -> Column:
+    """Variance of the non-empty bins, null when there is only one."""
+    s, q, m = F.col("s"), F.col("q"), F.col("m")
+    return F.when(m > 1, (q - s * s / m) / (m - 1))
 
 
 def with_calendar(df: DataFrame, ts: str = "window") -> DataFrame:
@@ -32,8 +67,8 @@ def rate_in(taps: DataFrame, minutes: int = 15, zero_fill: bool = False) -> Data
 
     Only 5-minute bins with taps enter the mean; ``zero_fill`` divides by all bins of the window.
     """
-    mean = F.sum("n") / F.lit(minutes / 5.0) if zero_fill else F.avg("n")
-    return _regroup(window_counts(taps, 5), minutes, mean.alias("lambda_in"))
+    mean = F.col("s") / (F.lit(minutes / 5.0) if zero_fill else F.col("m"))
+    return window_moments(taps, minutes, 5).select("station", "window", mean.alias("lambda_in"))
 
 
 def rate_out(exits: DataFrame, minutes: int = 15) -> DataFrame:
@@ -48,13 +83,12 @@ def counts_in(taps: DataFrame, minutes: int = 15, zero_fill: bool = False) -> Da
 
     Minutes without taps are left out of the variance unless ``zero_fill``; a single minute gives 0.
     """
-    per_minute = window_counts(taps, 1)
     if zero_fill:
-        m = F.lit(float(minutes))
-        variance = (F.sum(F.col("n") * F.col("n")) - F.sum("n") * F.sum("n") / m) / (m - 1)
+        variance = (F.col("q") - F.col("s") * F.col("s") / float(minutes)) / (minutes - 1)
     else:
-        variance = F.coalesce(F.var_samp("n"), F.lit(0.0))
-    return _regroup(per_minute, minutes, F.sum("n").alias("count_in"), variance.alias("variance_in_1min"))
+        variance = F.coalesce(_sample_variance(), F.lit(0.0))
+    moments = window_moments(taps, minutes, 1)
+    return moments.select("station", "window", F.col("s").alias("count_in"), variance.alias("variance_in_1min"))
 
 
 def counts_out(exits: DataFrame, minutes: int = 15) -> DataFrame:
@@ -78,14 +112,11 @@ def rate_facts(taps: DataFrame, minutes: int = 15) -> DataFrame:
 def overdispersion(taps: DataFrame, minutes: int = 15, start: int = 400, end: int = 2300) -> DataFrame:
     """Mean, variance, number and variance-to-mean ratio of 5-minute counts per window."""
     open_taps = taps.where(C.in_hours(C.hhmm("ts"), start, end))
-    stats = _regroup(
-        window_counts(open_taps, 5),
-        minutes,
-        F.avg("n").alias("mean"),
-        F.var_samp("n").alias("var"),
-        F.count("n").alias("count"),
+    ratio = F.col("var") / F.col("mean")
+    stats = window_moments(open_taps, minutes, 5).select(
+        "station", "window", (F.col("s") / F.col("m")).alias("mean"), _sample_variance().alias("var"), F.col("m").alias("count")
     )
-    return stats.withColumn("overdispersion", F.col("var") / F.col("mean"))
+    return stats.withColumn("overdispersion", ratio)
 
 
 def mean_overdispersion(taps: DataFrame, minutes: int = 15) -> DataFrame:

@@ -35,28 +35,29 @@ def running_total(df: DataFrame, keys: list[str], chunk: str, order: list, value
 
 
 def previous_row(df: DataFrame, keys: list[str], chunk: str, order: list[str], columns: list[str], out: str) -> DataFrame:
-    """Struct of ``columns`` from the previous row of the key, null on its first row."""
+    """Struct of ``columns`` from the previous row of the key, null on its first row.
+
+    One shuffle and sort by (key, chunk) serves the rows, the last row of every chunk and the join that
+    hands that row to the next chunk.
+    """
     payload = F.struct(*columns)
-    rank = F.struct(*order)
-    last = df.groupBy(*keys, chunk).agg(F.max_by(payload, rank).alias("_last"))
+    within = Window.partitionBy(*keys, chunk).orderBy(*order)
+    placed = df.withColumns({out: F.lag(payload).over(within), "_ahead": F.lead(F.lit(1)).over(within)})
+    last = placed.where(F.col("_ahead").isNull()).select(*keys, chunk, payload.alias("_last"))
     by_key = Window.partitionBy(*keys).orderBy(chunk)
     carried = last.select(*keys, chunk, F.lag("_last").over(by_key).alias("_carried"))
-    within = Window.partitionBy(*keys, chunk).orderBy(*order)
-    return (
-        df.join(carried, [*keys, chunk])
-        .withColumn(out, F.coalesce(F.lag(payload).over(within), F.col("_carried")))
-        .drop("_carried")
-    )
+    joined = placed.drop("_ahead").join(carried, [*keys, chunk])
+    return joined.withColumn(out, F.coalesce(out, "_carried")).drop("_carried")
 
 
-def value_chunk(df: DataFrame, value: str, chunks: int = 64) -> Column:
+def value_chunk(df: DataFrame, value: str, chunks: int = 256) -> Column:
     """Range number of a value between percentiles of all rows.
 
     The percentiles are one row computed by Spark and read as a scalar subquery; equal values always
     share a range. The number is the place of the value among the sorted bounds.
     """
     points = [i / chunks for i in range(1, chunks)]
-    bounds = df.agg(F.percentile_approx(value, points, 1000).alias("bounds")).scalar()
+    bounds = df.agg(F.percentile_approx(value, points, 4096).alias("bounds")).scalar()
     return F.array_position(F.sort_array(F.array_append(bounds, F.col(value))), F.col(value))
 
 
@@ -65,7 +66,7 @@ def value_histogram(df: DataFrame, keys: list[str], labels: list[str], value: st
     return df.where(F.col(value).isNotNull()).groupBy(*keys, *labels, value).agg(F.count(F.lit(1)).alias("n"))
 
 
-def rank_ranges(df: DataFrame, keys: list[str], value: str, chunks: int = 64) -> DataFrame:
+def rank_ranges(df: DataFrame, keys: list[str], value: str, chunks: int = 256) -> DataFrame:
     """For every distinct value of a key: its count ``n`` and ``upto``, the rows not above it.
 
     Ranks follow directly: the average rank of a tied value is ``upto - (n - 1) / 2``.

@@ -359,6 +359,16 @@ def signatures(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(sigs.select("station", "date_type", F.posexplode("curve").alias("pos", "v")), 8)
 
 
+@query(
+    "a13_signatures_time_range",
+    f"""WITH {O.curves(60, 4, 9, start=600, end=1400)} SELECT station, date_type, CAST(pos AS INT) AS pos, round(avg(v), 8) AS v FROM cp GROUP BY ALL""",
+)
+def signatures_time_range(spark: SparkSession, sf: str) -> DataFrame:
+    """Signatures of 06:00 to 14:00 from days with at least half of its hours."""
+    sigs = curves.range_signatures(rates.rate_facts(tables.taps(spark, sf), BIN), "lambda_in", 600, 1400, BIN, 0.5)
+    return rounded(sigs.select("station", "date_type", F.posexplode("curve").alias("pos", "v")), 8)
+
+
 @query(
     "a14_feature_columns",
     f"""WITH {O.curves(60, 10, 20)}, m AS (SELECT station, date_type, pos, avg(v) AS v FROM cp GROUP BY ALL)
