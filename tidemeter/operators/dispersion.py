@@ -83,7 +83,7 @@ def randomised_pit(grid: DataFrame, k: DataFrame, seed: int = 42) -> DataFrame:
     rows = grid.join(k.select(*DAY, "k"), DAY)
     mu = F.greatest(F.col("intensity"), F.lit(1e-6))
     rows = rows.withColumn("r", 1 / F.greatest(F.col("k"), F.lit(1e-8))).withColumn("q", mu / (mu + F.col("r")))
-    start = F.exp(F.col("r") * F.log(1 - F.col("q")))
+    start = F.exp(F.col("r") * F.log1p(-F.col("q")))
     zero = F.struct(start.alias("p"), F.lit(0.0).alias("below"))
     steps = F.when(F.col("n") > 0, F.sequence(F.lit(1), F.col("n").cast("int"))).otherwise(F.array().cast("array<int>"))
     ends = F.aggregate(

@@ -54,7 +54,13 @@ def monthly_stability(spark: SparkSession, sf: str) -> DataFrame:
     return _h_only(ranktests.monthly_stability(tables.order_values(spark, sf), "value"))
 
 
-@query("t3_monthly_stability_p_values")
+@query(
+    "t3_monthly_stability_p_values",
+    f"""WITH h AS ({_kruskal_sql(ORDERS_SQL, 'o', 'month', 'value').replace(", 6) AS h_stat", ", 12) AS h_stat")})
+SELECT station, n_groups, n, round(h_stat, 6) AS h_stat,
+ round({O.erfc('sqrt(h_stat / 2)')} + exp(-h_stat / 2) * list_sum(list_transform(range(1, (n_groups - 2) // 2 + 1),
+   lambda i: exp((i - 0.5e0) * ln(h_stat / 2) - lgamma(i + 0.5e0)))), 6) AS p_value FROM h""",
+)
 def monthly_stability_p_values(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ranktests.monthly_stability(tables.order_values(spark, sf), "value"))
 

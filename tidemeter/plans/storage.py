@@ -58,17 +58,16 @@ def _files(taps: DataFrame) -> DataFrame:
 
 
 def _ledger(taps: DataFrame) -> DataFrame:
-    """A ledger over half the days: even days done, days divisible by three registered but not done."""
-    d = F.substring("filename", 7, 2).cast("int")
-    return _files(taps).where((d % 2 == 0) | (d % 3 == 0)).select(
-        "filename", "process_type", (d % 2 == 0).alias("processed"),
+    """A ledger in mid-week state: Monday to Thursday files done, Friday files registered, weekend files unknown."""
+    weekday = F.weekday(F.to_date("filename", "yyyyMMdd"))
+    return _files(taps).where(weekday <= 4).select(
+        "filename", "process_type", (weekday <= 3).alias("processed"),
         F.lit(None).cast("timestamp").alias("processed_at"), F.lit(None).cast("timestamp").alias("created_at"),
     )
 
 
-FILES_SQL = f"""files AS (SELECT DISTINCT strftime(ts, '%Y%m%d') AS filename, '{LEDGER_PROCESS}' AS process_type FROM events),
-ledger AS (SELECT filename, process_type, CAST(substr(filename, 7, 2) AS INT) % 2 = 0 AS processed FROM files
-           WHERE CAST(substr(filename, 7, 2) AS INT) % 2 = 0 OR CAST(substr(filename, 7, 2) AS INT) % 3 = 0)"""
+FILES_SQL = f"""files AS (SELECT DISTINCT strftime(ts, '%Y%m%d') AS filename, '{LEDGER_PROCESS}' AS process_type, isodow(ts) AS wd FROM events),
+ledger AS (SELECT filename, process_type, wd <= 4 AS processed FROM files WHERE wd <= 5)"""
 
 
 @query(
