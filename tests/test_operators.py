@@ -117,6 +117,18 @@ def test_accuracy(spark):
     assert (r["mae"], r["mape"], r["r2"]) == pytest.approx((1, 25, 0.375)) and r["rmse"] == pytest.approx(1.290994, abs=1e-6)
 
 
+def test_degenerate_inputs_give_nulls_and_no_errors(spark):
+    flat = spark.createDataFrame([("s", 1, m, 1) for m in range(240, 300)], "station string, d int, minute int, n int")
+    assert process.cameron_trivedi(flat, ["station", "d"]).first()["slope"] is None
+    single = spark.createDataFrame([("s", 240, 1.0)], "station string, t int, r double")
+    assert curves.integrate(single, ["station"], "t", "r").first()["m"] is None
+    one = tap_frame(spark, [("s", DAY + "06:00:00", "c"), ("s", DAY + "06:01:00", "c")])
+    row = trips.repeat_summary(one).first()
+    assert (row["repeat_cards"], row["std"], row["mean"]) == (1, None, 2.0)
+    assert goodness.spanning_histogram(single, "r", 5).first()["bin"] == 0
+    assert cluster.adjusted_rand(spark.createDataFrame([(0, 1)], "a int, b int"), [], "a", "b").first()["ari"] == 1.0
+
+
 def test_adjusted_rand(spark):
     same = spark.createDataFrame([(0, 1), (0, 1), (1, 0), (1, 0)], "a int, b int")
     assert cluster.adjusted_rand(same, [], "a", "b").first()["ari"] == 1.0

@@ -143,14 +143,14 @@ def integrate(rates: DataFrame, keys: list[str], t: str, rate: str) -> DataFrame
     """Cumulative sum of a rate times the mean step of its grid; grids hold a few hundred points a day."""
     group = Window.partitionBy(*keys)
     ordered = group.orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
-    step = (F.max(t).over(group) - F.min(t).over(group)) / (F.count(t).over(group) - 1)
+    step = F.try_divide((F.max(t).over(group) - F.min(t).over(group)).cast("double"), F.count(t).over(group) - 1)
     return rates.withColumn("m", F.sum(rate).over(ordered) * step)
 
 
 def window_totals(samples: DataFrame, keys: list[str], t: str, rate: str, minutes: int = 15) -> DataFrame:
     """Rate samples summed into half-open windows and scaled by the sampling step."""
     group = Window.partitionBy(*keys)
-    step = (F.max(t).over(group) - F.min(t).over(group)) / (F.count(t).over(group) - 1)
+    step = F.try_divide((F.max(t).over(group) - F.min(t).over(group)).cast("double"), F.count(t).over(group) - 1)
     slot = (F.floor(F.col(t) / minutes) * minutes).cast("int")
     return (
         samples.withColumn("_step", step)

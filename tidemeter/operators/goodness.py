@@ -225,7 +225,13 @@ def shifted_correlation(df: DataFrame, keys: list[str], order: list[str], value:
 
     For series bounded by the clock (minutes or seconds of a day); all lags share one sort.
     """
-    wide = _lagged(df, keys, order, value, lags).groupBy(*keys).agg(*[F.corr("x", f"l{k}").alias(f"r{k}") for k in lags])
+
+    def correlation(other: str) -> Column:
+        # null where either side does not vary
+        spread = F.sqrt(F.regr_sxx("x", other) * F.regr_syy("x", other))
+        return F.try_divide(F.regr_sxy("x", other), spread)
+
+    wide = _lagged(df, keys, order, value, lags).groupBy(*keys).agg(*[correlation(f"l{k}").alias(f"r{k}") for k in lags])
     return _unpivot_lags(wide, keys, lags, "acf")
 
 
@@ -265,7 +271,8 @@ def spanning_histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     edges = F.struct(*[span.select(c).scalar().alias(c) for c in ("lo", "hi")])
     placed = df.where(F.col(value).isNotNull()).withColumn("_e", edges)
     width = (F.col("_e.hi") - F.col("_e.lo")) / bins
-    bin_no = F.least(F.floor((F.col(value) - F.col("_e.lo")) / width), F.lit(bins - 1)).cast("int")
+    place = F.coalesce(F.floor(F.try_divide(F.col(value) - F.col("_e.lo"), width)), F.lit(0))
+    bin_no = F.least(place, F.lit(bins - 1)).cast("int")
     return placed.groupBy(bin_no.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -138,8 +138,10 @@ def cameron_trivedi(minute_counts: DataFrame, keys: list[str]) -> DataFrame:
         F.regr_sxy("r2", "mu").alias("sxy"),
     )
     slope = F.when(F.col("sxx") > 1e-12, F.col("sxy") / F.col("sxx"))
-    residual = F.greatest(F.col("syy") - F.col("slope") * F.col("sxy"), F.lit(0.0)) / (F.col("m") - 2)
-    z = F.col("slope") / F.sqrt(residual / F.col("sxx"))
+    unexplained = F.greatest(F.col("syy") - F.col("slope") * F.col("sxy"), F.lit(0.0))
+    # a perfect fit or fewer than three minutes leave no standard error
+    spread = F.try_divide(F.try_divide(unexplained, F.col("m") - 2), F.col("sxx"))
+    z = F.when(spread > 1e-18, F.col("slope") / F.sqrt(spread))
     scored = fit.withColumn("slope", slope).withColumn("z", z)
     return scored.select(*keys, "m", "slope", "z", S.normal_sf(F.col("z")).alias("p_value"))
 

@@ -85,7 +85,7 @@ def mann_whitney(df: DataFrame, keys: list[str], label: str, first, second, valu
         .join(ties, keys)
         .withColumn("u_stat", u)
         .withColumn("_sd", sd)
-        .withColumn("p_value", F.when(F.col("_sd") > 0, F.least(F.lit(1.0), 2 * S.normal_sf(z))))
+        .withColumn("p_value", F.when(F.col("_sd") > 0, F.least(F.lit(1.0), 2 * S.normal_sf(z))).otherwise(F.lit(1.0)))
         .select(*keys, "n1", "n2", "u_stat", "p_value")
     )
 

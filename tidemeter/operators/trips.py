@@ -76,7 +76,7 @@ def repeat_summary(taps: DataFrame) -> DataFrame:
         size.alias("repeat_cards"),
         (F.sum(F.col("n") * F.col("cards")) - F.sum("cards")).alias("repeated_records"),
         (total / size).alias("mean"),
-        F.sqrt((F.sum(n * n * cards) - total * total / size) / (size - 1)).alias("std"),
+        F.sqrt(F.try_divide(F.sum(n * n * cards) - total * total / size, size - 1)).alias("std"),
         F.min(n).alias("min"),
         quartile.alias("q"),
         F.max(n).alias("max"),

@@ -693,7 +693,7 @@ def ecdf_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     "w9_autocorrelation",
     f"""WITH {O.minute_series()}, b AS (SELECT station, d, minute // 5 AS slot, sum(n) AS x FROM series GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY station, d ORDER BY slot) AS i FROM b)
-SELECT a.station, {O.day('a.d')} AS date, CAST(l AS INT) AS lag, round(corr(a.x, z.x), 6) + 0e0 AS acf FROM r a, (SELECT unnest(range(1, 40)) AS l) JOIN r z
+SELECT a.station, {O.day('a.d')} AS date, CAST(l AS INT) AS lag, CASE WHEN var_pop(a.x) > 0 AND var_pop(z.x) > 0 THEN round(corr(a.x, z.x), 6) + 0e0 END AS acf FROM r a, (SELECT unnest(range(1, 40)) AS l) JOIN r z
 ON z.station = a.station AND z.d = a.d AND z.i = a.i - l GROUP BY ALL""",
 )
 def autocorrelation(spark: SparkSession, sf: str) -> DataFrame:

@@ -284,7 +284,8 @@ def arrival_tests_jittered(spark: SparkSession, sf: str) -> DataFrame:
 q AS (SELECT station, d, mu, pow(n - mu, 2) / mu AS r2 FROM h WHERE mu > 0),
 f AS (SELECT station, d, count(*) AS m, regr_sxx(r2, mu) AS sxx, regr_syy(r2, mu) AS syy, regr_sxy(r2, mu) AS sxy FROM q GROUP BY ALL),
 s AS (SELECT *, CASE WHEN sxx > 1e-12 THEN sxy / sxx END AS slope FROM f)
-SELECT station, {O.day('d')} AS date, m, round(slope, 8) AS slope, round(slope / sqrt(greatest(syy - slope * sxy, 0) / (m - 2) / sxx), 8) AS z FROM s""",
+SELECT station, {O.day('d')} AS date, m, round(slope, 8) AS slope, CASE WHEN greatest(syy - slope * sxy, 0) / nullif(m - 2, 0) / nullif(sxx, 0) > 1e-18
+ THEN round(slope / sqrt(greatest(syy - slope * sxy, 0) / nullif(m - 2, 0) / nullif(sxx, 0)), 8) END AS z FROM s""",
 )
 def cameron_trivedi(spark: SparkSession, sf: str) -> DataFrame:
     series = intensity.minute_series(intensity.minute_counts(tables.taps(spark, sf)))
