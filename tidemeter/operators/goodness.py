@@ -215,24 +215,17 @@ def _lagged(df: DataFrame, keys: list[str], order: list[str], value: str, lags:
     return df.select(*keys, F.col(value).alias("x"), *[F.lag(value, k).over(w).alias(f"l{k}") for k in lags])
 
 
-def _unpivot_lags(wide: DataFrame, keys: list[str], lags: list[int], out: str, prefix: str = "r") -> DataFrame:
-    pairs = ", ".join(f"{k}, {prefix}{k}" for k in lags)
-    return wide.selectExpr(*keys, f"stack({len(lags)}, {pairs}) AS (lag, {out})")
-
-
 def shifted_correlation(df: DataFrame, keys: list[str], order: list[str], value: str, lags: list[int]) -> DataFrame:
-    """Pearson correlation of the series with itself shifted, one row per lag.
+    """Pearson correlation of the series with itself shifted, one row per lag; null where a side does not vary.
 
     For series bounded by the clock (minutes or seconds of a day); all lags share one sort.
     """
-
-    def correlation(other: str) -> Column:
-        # null where either side does not vary
-        spread = F.sqrt(F.regr_sxx("x", other) * F.regr_syy("x", other))
-        return F.try_divide(F.regr_sxy("x", other), spread)
-
-    wide = _lagged(df, keys, order, value, lags).groupBy(*keys).agg(*[correlation(f"l{k}").alias(f"r{k}") for k in lags])
-    return _unpivot_lags(wide, keys, lags, "acf")
+    pairs = ", ".join(f"{k}, l{k}" for k in lags)
+    long = _lagged(df, keys, order, value, lags).selectExpr(*keys, "x", f"stack({len(lags)}, {pairs}) AS (lag, y)")
+    moments = long.where("y IS NOT NULL").groupBy(*keys, "lag").agg(
+        F.regr_sxy("x", "y").alias("sxy"), F.regr_sxx("x", "y").alias("sxx"), F.regr_syy("x", "y").alias("syy")
+    )
+    return moments.select(*keys, "lag", F.try_divide("sxy", F.sqrt(F.col("sxx") * F.col("syy"))).alias("acf"))
 
 
 def ljung_box(df: DataFrame, keys: list[str], order: list[str], value: str, lags: tuple[int, ...] = (10, 20, 30)) -> DataFrame:
