@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,22 +28,23 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Merges of a short piece by rank, lowest first, leftmost among equals: the definition that rules are taken from."""
+def merges(piece: bytes, ranks: dict[bytes, int]) -> Iterator[tuple[list[bytes], int]]:
+    """The parts of one token's bytes after each merge, and its rank: lowest rank first, leftmost among equals."""
     parts = [piece[i : i + 1] for i in range(len(piece))]
+    yield parts, -1
     while len(parts) > 1:
         pairs = [(ranks.get(a + b, len(ranks) + 1), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))]
         rank, i = min(pairs)
         if rank > len(ranks):
             break
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-    return [ranks[p] for p in parts]
+        parts = parts[:i] + [parts[i] + parts[i + 1]] + parts[i + 2 :]
+        yield parts, rank
 
 
 class Encoder:
     """Lazily determinised transducer for pieces of text; ``encode`` gives the tokens of one piece."""
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 60_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 150_000):
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"no token for bytes {missing[:5]}")
@@ -57,6 +60,7 @@ class Encoder:
                     self.children.append({})
                     self.token_at.append(-1)
             self.token_at[node] = rank
+        self.spines: dict[tuple[int, bool], list[tuple[bytes, int]]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.reset()
 
@@ -67,14 +71,47 @@ class Encoder:
         self.number: dict[tuple, int] = {self.states[0]: 0}
         self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
 
+    def spine(self, token: int, last: bool) -> list[tuple[bytes, int]]:
+        """The growing part of a token at its last (or first) byte, with the rank of the merge that makes each."""
+        known = self.spines.get((token, last))
+        if known is None:
+            known = []
+            rank = -1
+            for parts, rank in merges(self.bytes_of[token], self.ranks):
+                part = parts[-1 if last else 0]
+                if not known or part != known[-1][0]:
+                    known.append((part, rank))
+            self.spines[token, last] = known
+        return known
+
     def fits(self, before: int, token: int) -> bool:
-        """Whether ``token`` may follow ``before`` (-1: begin the piece)."""
+        """Whether ``token`` may follow ``before`` (-1: begin the piece).
+
+        It may not if, while both are merged, the parts that meet at their border have a merge of their own that
+        comes before the next merge on either side. Merges go by rank, equal ones from the left.
+        """
         known = self.pairs.get((before, token))
         if known is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 400_000:
                 self.pairs.clear()
-            head = b"" if before < 0 else self.bytes_of[before]
-            known = merged(head + self.bytes_of[token], self.ranks) == ([token] if before < 0 else [before, token])
+            right = self.spine(token, False)
+            known = right[-1][0] == self.bytes_of[token]
+            if known and before >= 0:
+                left, ranks, never = self.spine(before, True), self.ranks, len(self.ranks) + 1
+                i = j = 0
+                while True:
+                    after_left = left[i + 1][1] if i + 1 < len(left) else never
+                    after_right = right[j + 1][1] if j + 1 < len(right) else never
+                    cross = ranks.get(left[i][0] + right[j][0], never)
+                    if cross < after_left and cross <= after_right and cross < never:
+                        known = False
+                        break
+                    if after_left == after_right == never:
+                        break
+                    if after_left <= after_right:
+                        i += 1
+                    else:
+                        j += 1
             self.pairs[before, token] = known
         return known
 
@@ -95,12 +132,13 @@ class Encoder:
         if ended is None:
             raise AssertionError("every prefix has an encoding when all single bytes are tokens")
         moved.append(ended)
-        shared = 0
-        first = moved[0][2]
-        while all(len(m[2]) > shared and m[2][shared] == first[shared] for m in moved[:]) and shared < len(first):
+        first, shared = moved[0][2], 0
+        for t, *rest in zip(*(m[2] for m in moved)):
+            if any(x != t for x in rest):
+                break
             shared += 1
         out = first[:shared]
-        target = (whole, tuple((n, b, h[shared:]) for n, b, h in moved))
+        target = (whole, tuple((n, b, h[shared:]) for n, b, h in moved) if shared else tuple(moved))
         number = self.number.get(target)
         if number is None:
             number = self.number[target] = len(self.states)
@@ -143,6 +181,11 @@ class Utf8Decoder:
         self.bytes_of, self.most_moves = bytes_of, most_moves
         self.moves: dict[tuple[bytes, int], tuple[bytes, str]] = {}
         self.rest = b""
+        self.whole: dict[int, str] = {}  # moves that begin and end between characters
+        for token, data in bytes_of.items():
+            rest, text = self.split(data)
+            if not rest:
+                self.whole[token] = text
 
     @staticmethod
     def wanted(lead: int) -> int:
@@ -179,6 +222,23 @@ class Utf8Decoder:
         self.rest, text = move
         return text
 
+    def feed_all(self, tokens: list[int]) -> str:
+        """Text of a run of tokens; stretches that stay between characters take no step of their own."""
+        out: list[str] = []
+        whole = self.whole
+        for start in range(0, len(tokens), 64):
+            part = tokens[start : start + 64]
+            if not self.rest:
+                try:
+                    out.append("".join(map(whole.__getitem__, part)))
+                    continue
+                except KeyError:
+                    pass
+            for token in part:
+                text = None if self.rest else whole.get(token)
+                out.append(self.feed(token) if text is None else text)
+        return "".join(out)
+
     def finish(self) -> str:
         rest, self.rest = self.rest, b""
         return rest.decode("utf-8", "replace")
@@ -189,32 +249,65 @@ class Utf8Decoder:
         yield self.finish()
 
 
+#: White space beside white space: there a match of the pattern may reach over the end of a word.
+_LOOSE = re.compile(r"\s(?:\s|\Z)|\A\s|[^\S \n]")
+
+
 class Codec:
-    """Pattern, encoder and decoder of one vocabulary, with the pieces met lately remembered."""
+    """Pattern, encoder and decoder of one vocabulary, with the words met lately remembered.
+
+    Where single blanks and line feeds stand between words, no match of the pattern reaches from one word into
+    the next, and a blank belongs to the word behind it. Such words are looked up; all other texts are matched whole.
+    The pattern must have that property, as the public pattern of the vocabulary has.
+    """
 
-    def __init__(self, path: str, pattern: str, most_pieces: int = 200_000):
+    def __init__(self, path: str, pattern: str, most_words: int = 300_000):
         import regex
 
         self.encoder = Encoder(read_ranks(path))
-        self.pieces = regex.compile(pattern).findall
-        self.most_pieces = most_pieces
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.decoder = Utf8Decoder(self.encoder.bytes_of)
+        self.matches = regex.compile(pattern).findall
+        self.most_words = most_words
+        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.starts: dict[str, tuple[int, ...]] = {}
+
+    def piece(self, piece: str) -> tuple[int, ...]:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if len(self.pieces) > self.most_words:
+                self.pieces.clear()
+            ids = self.pieces[piece] = tuple(self.encoder.encode(piece.encode("utf-8", "surrogatepass")))
+        return ids
+
+    def whole(self, text: str) -> list[int]:
+        return list(chain.from_iterable(map(self.piece, self.matches(text))))
+
+    def of_words(self, words: list[str], blank: str, known: dict[str, tuple[int, ...]]):
+        try:
+            return chain.from_iterable(list(map(known.__getitem__, words)))
+        except KeyError:
+            if len(known) > self.most_words:
+                known.clear()
+            for word in set(words).difference(known):
+                known[word] = tuple(self.whole(blank + word))
+            return chain.from_iterable(list(map(known.__getitem__, words)))
 
     def encode(self, text: str) -> list[int]:
-        if len(self.known) > self.most_pieces:
-            self.known.clear()
-        known, out = self.known, []
-        for piece in self.pieces(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = tuple(self.encoder.encode(piece.encode("utf-8", "surrogatepass")))
-                if len(piece) <= 64:
-                    known[piece] = ids
-            out += ids
+        if not text or _LOOSE.search(text):
+            return self.whole(text)
+        out: list[int] = []
+        feed = self.piece("\n")
+        for number, line in enumerate(text.split("\n")):
+            words = line.split(" ")
+            if number:
+                out += feed
+            out += self.of_words(words[:1], "", self.starts)
+            out += self.of_words(words[1:], " ", self.words)
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
-        return "".join(Utf8Decoder(self.encoder.bytes_of).stream(ids))
+        return self.decoder.feed_all(list(ids)) + self.decoder.finish()
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -238,12 +331,11 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_column: str =
         import pyarrow as pa
 
         codec = codec_of(path, pattern)
-        decoder = Utf8Decoder(codec.encoder.bytes_of)
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
                 ids = [codec.encode(t or "") for t in part.column(1).to_pylist()]
-                texts = ["".join(decoder.stream(i)) for i in ids]
+                texts = [codec.decode(i) for i in ids]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
@@ -260,16 +352,17 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         import pyarrow as pa
 
         codec = codec_of(path, pattern)
-        decoder = Utf8Decoder(codec.encoder.bytes_of)
+        decoder = codec.decoder
+        digits = {i: str(i) for i in codec.encoder.bytes_of}.__getitem__
         for batch in batches:
             counts, ids_sum, text_sum = [], [], []
             for value in batch.column(1):
                 ids = codec.encode(value.as_py() or "")
                 counts.append(len(ids))
-                ids_sum.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+                ids_sum.append(hashlib.sha256(" ".join(map(digits, ids)).encode()).hexdigest())
                 own = hashlib.sha256()
                 for start in range(0, len(ids), 65_536):
-                    own.update("".join(map(decoder.feed, ids[start : start + 65_536])).encode())
+                    own.update(decoder.feed_all(ids[start : start + 65_536]).encode())
                 own.update(decoder.finish().encode())
                 text_sum.append(own.hexdigest())
             yield pa.RecordBatch.from_arrays(

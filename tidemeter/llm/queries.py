@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemeter.llm import postings, topk
+from tidemeter.llm import bpe, postings, topk
 from tidemeter.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,12 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 def op3_balanced_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """About the five nearest embeddings by cosine of every fiftieth; tested against brute force."""
     return postings.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query
+def op4_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document by the byte-level vocabulary; tested against the library."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
