@@ -66,10 +66,10 @@ class Encoder:
 
     def reset(self) -> None:
         # A place: (trie node, token before it or -1, tokens before it that are not emitted yet).
-        # The first number of a state is the trie node since the start of the piece, or -1 once that left the trie.
-        self.states: list[tuple] = [(0, ((0, -1, ()),))]
+        self.states: list[tuple] = [((0, -1, ()),)]
         self.number: dict[tuple, int] = {self.states[0]: 0}
         self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+        self.met: set[int] = set()
 
     def spine(self, token: int, last: bool) -> list[tuple[bytes, int]]:
         """The growing part of a token at its last (or first) byte, with the rank of the merge that makes each."""
@@ -115,46 +115,71 @@ class Encoder:
             self.pairs[before, token] = known
         return known
 
-    def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Builds the transition of one state for one byte: next state and emitted tokens."""
-        whole, places = self.states[state]
-        whole = self.children[whole].get(byte, -1) if whole >= 0 else -1
+    def advance(self, places, byte: int) -> list[tuple]:
+        """The places after one more byte; the last one begins a token there."""
+        children, token_at, pairs = self.children, self.token_at, self.pairs
         moved, ended = [], None
         for node, before, held in places:
-            node = self.children[node].get(byte, -1)
-            if node < 0:
+            node = children[node].get(byte)
+            if node is None:
                 continue
-            if self.children[node]:
+            if ended is None:
+                token = token_at[node]
+                if token >= 0:
+                    fits = pairs.get((before, token))
+                    if fits or (fits is None and self.fits(before, token)):
+                        ended = (0, token, (*held, token))
+            if children[node]:
                 moved.append((node, before, held))
-            token = self.token_at[node]
-            if token >= 0 and ended is None and self.fits(before, token):
-                ended = (0, token, (*held, token))
         if ended is None:
             raise AssertionError("every prefix has an encoding when all single bytes are tokens")
         moved.append(ended)
+        return moved
+
+    def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        """Builds the transition of one state for one byte: next state and emitted tokens."""
+        moved = self.advance(self.states[state], byte)
         first, shared = moved[0][2], 0
-        for t, *rest in zip(*(m[2] for m in moved)):
-            if any(x != t for x in rest):
-                break
-            shared += 1
-        out = first[:shared]
-        target = (whole, tuple((n, b, h[shared:]) for n, b, h in moved) if shared else tuple(moved))
+        if first:
+            for t, *rest in zip(*(m[2] for m in moved)):
+                if any(x != t for x in rest):
+                    break
+                shared += 1
+        target = tuple((n, b, h[shared:]) for n, b, h in moved) if shared else tuple(moved)
         number = self.number.get(target)
         if number is None:
             number = self.number[target] = len(self.states)
             self.states.append(target)
             self.moves.append({})
-        self.moves[state][byte] = (number, out)
-        return number, out
+        self.moves[state][byte] = number, first[:shared]
+        return number, first[:shared]
 
     def encode(self, piece: bytes) -> list[int]:
-        """Tokens of one piece of text."""
-        if len(self.states) > self.most_states:
+        """Tokens of one piece of text.
+
+        A transition is built when it is wanted for the second time. The rest of a short piece that wants one for the
+        first time is followed as a set of places, without making states.
+        """
+        # The library takes a piece that is a token as a whole, even where merges would not reach it.
+        token = self.ranks.get(piece)
+        if token is not None:
+            return [token]
+        if len(self.states) > self.most_states or len(self.met) > 4 * self.most_states:
             self.reset()
-        state, out = 0, []
-        for byte in piece:
+        state, out, brief = 0, [], len(piece) <= 64
+        for at, byte in enumerate(piece):
             move = self.moves[state].get(byte)
-            state, tokens = move if move is not None else self.step(state, byte)
+            if move is None:
+                if brief:
+                    key = state << 8 | byte
+                    if key not in self.met:
+                        self.met.add(key)
+                        places = self.states[state]
+                        for rest in piece[at:]:
+                            places = self.advance(places, rest)
+                        return out + list(places[-1][2])
+                move = self.step(state, byte)
+            state, tokens = move
             if tokens:
                 out += tokens
             if len(self.states) > 2 * self.most_states:  # a very long piece: keep only the state it is in
@@ -163,11 +188,7 @@ class Encoder:
                 self.states.append(held)
                 self.number[held] = state = 1
                 self.moves.append({})
-        whole, places = self.states[state]
-        # The library takes a piece that is a token as a whole, even where merges would not reach it.
-        if whole > 0 and self.token_at[whole] >= 0:
-            return [self.token_at[whole]]
-        return out + list(places[-1][2])
+        return out + list(self.states[state][-1][2])
 
 
 class Utf8Decoder:
@@ -290,7 +311,15 @@ class Codec:
             if len(known) > self.most_words:
                 known.clear()
             for word in set(words).difference(known):
-                known[word] = tuple(self.whole(blank + word))
+                # A word of Latin letters, or of these and a mark, needs no matching.
+                if not word or max(word) >= "\u0250":
+                    known[word] = tuple(self.whole(blank + word))
+                elif word.isalpha():
+                    known[word] = self.piece(blank + word)
+                elif word[-1:] in (".", ",") and word[:-1].isalpha():
+                    known[word] = self.piece(blank + word[:-1]) + self.piece(word[-1])
+                else:
+                    known[word] = tuple(self.whole(blank + word))
             return chain.from_iterable(list(map(known.__getitem__, words)))
 
     def encode(self, text: str) -> list[int]:
