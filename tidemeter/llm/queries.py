@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemeter.llm import bpe, neardup, packing, postings, topk
+from tidemeter.llm import bpe, linededup, neardup, packing, postings, secrets, topk, urlgraph
 from tidemeter.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,136 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose five-word shingles overlap by three quarters; tested against brute force."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_link_graph_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and host trust for every page url."""
+    return urlgraph.judge(table(spark, sf_dir, "pages")).drop("trust", "distrust")
+
+
+def _ranks(seed: str, src: str, dst: str, rounds: int = 10) -> str:
+    """Check SQL of the propagation: one written-out step per round."""
+    steps = [f"{seed}_0 AS MATERIALIZED (SELECT host, {seed} AS rank FROM hosts)"]
+    for i in range(1, rounds + 1):
+        steps.append(f"""{seed}_{i} AS MATERIALIZED (
+  SELECT h.host, 0.15 * h.{seed} + 0.85 * (coalesce(g.gain, 0) + CASE WHEN h.host IN (SELECT {src} FROM edges) THEN 0 ELSE r.rank END) AS rank
+  FROM hosts h JOIN {seed}_{i - 1} r USING (host) LEFT JOIN (
+    SELECT e.{dst} AS host, sum(x.rank * e.weight / t.total) AS gain
+    FROM edges e JOIN {seed}_{i - 1} x ON x.host = e.{src}
+    JOIN (SELECT {src} AS s, sum(weight) AS total FROM edges GROUP BY 1) t ON t.s = e.{src} GROUP BY 1
+  ) g ON g.host = h.host)""")
+    return ",\n".join(steps)
+
+
+ORACLES["op6_link_graph_filter"] = f"""
+WITH u AS (
+  SELECT page_id, html,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages
+), rules(rule_verdict, rh, rp) AS (
+  VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), fit AS (
+  SELECT h.host, h.path, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(rule_verdict, length(rh || rp)) AS v
+  FROM (SELECT DISTINCT host, path FROM u) h JOIN rules ON (h.host = rh OR ends_with(h.host, '.' || rh)) AND starts_with(h.path, rp)
+  GROUP BY h.host, h.path
+), j AS (SELECT u.*, fit.rule, fit.v FROM u LEFT JOIN fit ON fit.host = u.host AND fit.path = u.path),
+links AS (
+  SELECT host AS src, unnest(list_transform(regexp_extract_all(html, '(?i)href\\s*=\\s*["'']?([^"''\\s>]+)', 1),
+    lambda x: translate(regexp_extract(x, '(?s)^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS dst
+  FROM u
+), edges AS MATERIALIZED (
+  SELECT src, dst, CAST(count(*) AS DOUBLE) AS weight FROM links WHERE dst <> '' AND src <> '' AND src <> dst GROUP BY 1, 2
+), hosts AS MATERIALIZED (
+  SELECT host, avg(CASE WHEN v = 'allow' THEN 1.0 ELSE 0.0 END) AS allowed, avg(CASE WHEN v = 'block' THEN 1.0 ELSE 0.0 END) AS blocked FROM j GROUP BY 1
+  UNION ALL SELECT DISTINCT dst, 0.0, 0.0 FROM edges WHERE dst NOT IN (SELECT host FROM j)
+), {_ranks("allowed", "src", "dst")},
+{_ranks("blocked", "dst", "src")}
+SELECT page_id, host, path, rule,
+  coalesce(v, CASE WHEN host <> '' AND round(b.rank - a.rank, 9) >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM j JOIN allowed_10 a USING (host) JOIN blocked_10 b USING (host)
+"""
+
+
+@query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that more than a tenth of their source's documents hold."""
+    clean = linededup.drop_boilerplate(table(spark, sf_dir, "documents"))
+    return clean.select("row.doc_id", "row.text", "n_lines", "n_dropped")
+
+
+ORACLES["op9_line_dedup"] = """
+WITH l AS (
+  SELECT doc_id, coalesce(source, '') AS host, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), t AS (SELECT host, count(*) AS pages FROM l GROUP BY 1),
+h AS (
+  SELECT host, line, count(*) AS holders
+  FROM (SELECT host, unnest(list_distinct(list_transform(lines, lambda x: trim(x, ' ')))) AS line FROM l) WHERE line <> '' GROUP BY 1, 2
+), bad AS (
+  SELECT host, list(line) AS bad FROM h JOIN t USING (host) WHERE holders >= 3 AND holders > pages * 0.1 GROUP BY 1
+), k AS (
+  SELECT doc_id, text, lines, CASE WHEN bad IS NULL THEN lines ELSE list_filter(lines, lambda x: NOT list_contains(bad, trim(x, ' '))) END AS kept
+  FROM l LEFT JOIN bad USING (host)
+)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN array_to_string(kept, chr(10)) END AS text,
+  CAST(len(lines) AS INTEGER) AS n_lines, CAST(len(lines) - len(kept) AS INTEGER) AS n_dropped
+FROM k
+"""
+
+
+@query
+def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts and digests of the fixed patterns, and all spans with the added ones."""
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *map(count, ("assign", "access", "hex")),
+        F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"),
+        secrets.joined(F.array_sort(F.concat("base", "added"))).alias("spans"),
+        F.size("added").cast("long").alias("n_added"),
+        F.col("shared").cast("long").alias("n_shared"),
+    )
+
+
+def _spans(kind: str, pattern: str, group: int, least: int) -> str:
+    """Check SQL of one kind's spans: places from the lengths of matches and of what lies between."""
+    quoted = pattern.replace("'", "''")
+    return f"""
+  SELECT doc_id, '{kind}' AS kind, {secrets.ORDER[kind]} AS kind_rank, place + gap AS start, place + gap + length(hit) AS stop, value
+  FROM (
+    SELECT doc_id, hit, value, length(gap) AS gap,
+      coalesce(sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
+    FROM (
+      SELECT doc_id, unnest(range(1, 1 + len(hits))) AS i, unnest(hits) AS hit, unnest(vals) AS value, unnest(gaps[1:len(hits)]) AS gap
+      FROM (
+        SELECT doc_id, regexp_extract_all(text, '{quoted}', 0) AS hits, regexp_extract_all(text, '{quoted}', {group}) AS vals,
+          string_split_regex(text, '{quoted}') AS gaps
+        FROM t
+      ) WHERE len(hits) > 0
+    )
+  ) WHERE length(value) >= {least}"""
+
+
+ORACLES["op10_secret_ownership"] = f"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS text FROM documents),
+base AS ({" UNION ALL ".join(_spans(*k) for k in secrets.KINDS)}),
+token AS ({_spans(*secrets.TOKEN)} AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')),
+more AS (
+  SELECT * FROM token x WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = x.doc_id AND b.start < x.stop AND x.start < b.stop)
+), owners AS (
+  SELECT value, count(DISTINCT owner) > 2 AS copied FROM (SELECT * FROM base UNION ALL SELECT * FROM more) JOIN t USING (doc_id) GROUP BY value
+), b AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, kind_rank) AS spans, count(*) FILTER (copied) AS n_shared
+  FROM base JOIN owners USING (value) GROUP BY doc_id
+), a AS (SELECT * FROM more JOIN owners USING (value) WHERE NOT copied),
+every AS (
+  SELECT doc_id, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, kind_rank) AS spans, count(*) FILTER (kind = 'owner') AS n_added
+  FROM (SELECT doc_id, kind, kind_rank, start, stop FROM base UNION ALL SELECT doc_id, kind, kind_rank, start, stop FROM a) GROUP BY doc_id
+)
+SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(b.spans, '')) AS base_sha256, coalesce(every.spans, '') AS spans, coalesce(n_added, 0) AS n_added, coalesce(n_shared, 0) AS n_shared
+FROM t LEFT JOIN b USING (doc_id) LEFT JOIN every USING (doc_id)
+"""
