@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemeter.llm import bpe, linededup, neardup, packing, postings, secrets, topk, urlgraph
-from tidemeter.llm.common import table
+from tidemeter.llm import bpe, language_model, linededup, neardup, packing, postings, secrets, topk, urlgraph
+from tidemeter.llm.common import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -204,3 +204,9 @@ SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
   sha256(coalesce(b.spans, '')) AS base_sha256, coalesce(every.spans, '') AS spans, coalesce(n_added, 0) AS n_added, coalesce(n_shared, 0) AS n_shared
 FROM t LEFT JOIN b USING (doc_id) LEFT JOIN every USING (doc_id)
 """
+
+
+@query
+def op7_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of every document by a bigram automaton; tested against a brute-force version."""
+    return language_model.score_texts(table(spark, sf_dir, "documents"), fold_of(F.col("doc_id")) == 1)
