@@ -21,6 +21,8 @@ from itertools import chain
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemeter.llm.common import Remembered
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """Tokens and ranks of a rank file."""
@@ -282,45 +284,27 @@ class Codec:
     The pattern must have that property, as the public pattern of the vocabulary has.
     """
 
-    def __init__(self, path: str, pattern: str, most_words: int = 300_000):
+    def __init__(self, path: str, pattern: str, most_words: int = 250_000):
         import regex
 
         self.encoder = Encoder(read_ranks(path))
         self.decoder = Utf8Decoder(self.encoder.bytes_of)
         self.matches = regex.compile(pattern).findall
-        self.most_words = most_words
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.starts: dict[str, tuple[int, ...]] = {}
-
-    def piece(self, piece: str) -> tuple[int, ...]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            if len(self.pieces) > self.most_words:
-                self.pieces.clear()
-            ids = self.pieces[piece] = tuple(self.encoder.encode(piece.encode("utf-8", "surrogatepass")))
-        return ids
+        self.piece = Remembered(lambda piece: tuple(self.encoder.encode(piece.encode("utf-8", "surrogatepass"))), most_words // 4).__getitem__
+        self.word = Remembered(lambda word: self.of_word(" ", word), most_words).__getitem__
+        self.start = Remembered(lambda word: self.of_word("", word), most_words // 4).__getitem__
 
     def whole(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.piece, self.matches(text))))
 
-    def of_words(self, words: list[str], blank: str, known: dict[str, tuple[int, ...]]):
-        try:
-            return chain.from_iterable(list(map(known.__getitem__, words)))
-        except KeyError:
-            if len(known) > self.most_words:
-                known.clear()
-            for word in set(words).difference(known):
-                # A word of Latin letters, or of these and a mark, needs no matching.
-                if not word or max(word) >= "\u0250":
-                    known[word] = tuple(self.whole(blank + word))
-                elif word.isalpha():
-                    known[word] = self.piece(blank + word)
-                elif word[-1:] in (".", ",") and word[:-1].isalpha():
-                    known[word] = self.piece(blank + word[:-1]) + self.piece(word[-1])
-                else:
-                    known[word] = tuple(self.whole(blank + word))
-            return chain.from_iterable(list(map(known.__getitem__, words)))
+    def of_word(self, blank: str, word: str) -> tuple[int, ...]:
+        # A word of Latin letters, or of these and a mark, needs no matching.
+        if word and max(word) < "\u0250":
+            if word.isalpha():
+                return tuple(self.encoder.encode((blank + word).encode()))
+            if word[-1] in ".," and word[:-1].isalpha():
+                return self.piece(blank + word[:-1]) + self.piece(word[-1])
+        return tuple(self.whole(blank + word))
 
     def encode(self, text: str) -> list[int]:
         if not text or _LOOSE.search(text):
@@ -331,8 +315,8 @@ class Codec:
             words = line.split(" ")
             if number:
                 out += feed
-            out += self.of_words(words[:1], "", self.starts)
-            out += self.of_words(words[1:], " ", self.words)
+            out += self.start(words[0])
+            out += chain.from_iterable(map(self.word, words[1:]))
         return out
 
     def decode(self, ids: Iterable[int]) -> str:

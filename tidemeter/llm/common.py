@@ -66,25 +66,34 @@ def rolled(words: np.ndarray, size: int) -> np.ndarray:
     return mix(keys)
 
 
+class Remembered(dict):
+    """Values made on first use. When ``most`` are held they step back, and those used again return: memory stays bounded."""
+
+    def __init__(self, make, most: int = 300_000):
+        super().__init__()
+        self.make, self.most, self.before = make, most, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.before = dict(self)
+            self.clear()
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+
 class WordKeys:
     """64-bit keys of words, remembered for the words met lately."""
 
-    def __init__(self, most: int = 300_000):
-        self.most = most
-        self.known: dict[bytes, int] = {}
-
-    def of(self, words: list[bytes]) -> np.ndarray:
+    def __init__(self, most: int = 200_000):
         import xxhash
 
-        if len(self.known) > self.most:
-            self.known.clear()
-        known = self.known
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            for word in set(words).difference(known):
-                known[word] = xxhash.xxh3_64_intdigest(word)
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        self.key = Remembered(xxhash.xxh3_64_intdigest, most).__getitem__
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.key, words), np.uint64, len(words))
 
 
 def words_of(text: str | None) -> list[bytes]:

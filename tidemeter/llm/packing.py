@@ -16,43 +16,52 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemeter.llm.common import stored
+from tidemeter.llm.common import Remembered, stored
 
 PIECE = "doc_id: long, piece: int, start: long, length: long, ids_crc32: long, ids: binary, offset: long"
 FIELDS = [f.split(":")[0] for f in PIECE.split(", ")]
 BINS = f"sequence_id long, size int, closed boolean, members array<struct<{PIECE}>>"
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 as is, others from U+0100 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class WordTokenizer:
     """Ids of texts by a tokenizer file, as little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and never joins what stands on both sides of it, so words between blanks and line
-    feeds are encoded once and remembered.
+    feeds are encoded once and remembered. It lower-cases and cuts off marks behind letters: plain Latin words, with or
+    without such a mark, go to its merges directly, all others through the whole tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.most = most
+        self.merge = self.tokenizer.model.tokenize
+        self.letters = {ord(chr(b)): letter for b, letter in byte_letters().items()}
+        self.plain = Remembered(self._plain, most // 2)
+        self.word = Remembered(self._word, most).__getitem__
+
+    def _plain(self, word: str) -> bytes:
+        spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.merge(spelt)])
+
+    def _word(self, word: str) -> bytes:
+        if word and max(word) < "\u0130":
+            if word.isalpha():
+                return self.plain[word.lower()]
+            if word[-1] in ".," and word[:-1].isalpha():
+                return self.plain[word[:-1].lower()] + self.plain[word[-1]]
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > self.most:
-                known.clear()
-            fresh = list(set(words).difference(known))
-            for word, out in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False)):
-                known[word] = np.array(out.ids, "<u4").tobytes()
-            return b"".join(map(known.__getitem__, words))
+        return b"".join(map(self.word, text.replace("\n", " ").split(" ")))
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
