@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 from tidemeter.llm.common import WordKeys, components, rolled, stored, text_bytes, words_of
 
 #: Cells of the frequency count; its size does not depend on the corpus.
-CELLS = 1 << 20
+CELL_BITS = 22
+CELLS = 1 << CELL_BITS
 SLICES = 64
-CELL_SHIFT = np.uint64(64 - 20)
+CELL_SHIFT = np.uint64(64 - CELL_BITS)
 
 
 def shingle_set(words: list[bytes], keys: WordKeys, size: int) -> np.ndarray:
@@ -217,12 +218,20 @@ def near_duplicates(
         return pa.table({"gram": grams.astype(np.int64), "node": nodes})
 
     holders = stored(sent.groupBy("bucket").applyInArrow(meet, "gram long, node long").distinct(), "neardup-holders")
-    first = holders.groupBy("gram").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = stored(holders.join(first, "gram"), "neardup-shared")
-    groups = components(shared.select(F.col("node").alias("a"), F.col("first").alias("b")), "neardup-groups")
+    sizes = stored(sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "neardup-nodes")
+
+    # Linked sets differ in size by the threshold at most, so they fall into one class of sizes or into neighbouring ones.
+    step = max(math.log(100 / percent) * 1.000001, 1e-9)
+    sized = holders.join(sizes.select("node", "n"), "node").withColumn("size", F.floor(F.log("n") / step))
+    sized = stored(sized, "neardup-sized")
+    classes = sized.groupBy("gram", "size").agg(F.min("node").alias("first"), F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("held"))
+    classes = stored(classes, "neardup-sizes")
+    star = sized.join(classes.where("held > 1"), ["gram", "size"]).select(F.col("node").alias("a"), F.col("first").alias("b"))
+    above = classes.select("gram", (F.col("size") - 1).alias("size"), F.col("first").alias("a"), "low")
+    beside = classes.drop("low").join(above, ["gram", "size"]).where(F.col("high") * 100 >= F.col("low") * percent)
+    groups = components(star.unionByName(beside.select("a", F.col("first").alias("b"))), "neardup-groups")
 
     # One document stands for a node; its text is read again only if the node shares a prefix.
-    sizes = stored(sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "neardup-nodes")
     members = groups.withColumnRenamed("component", "grp").join(sizes, "node")
     tiles = members.groupBy("grp").agg(
         F.greatest(F.lit(1), F.ceil(F.count("*") / tile_nodes), F.ceil(F.sum("n") / tile_grams)).cast("int").alias("k")
@@ -234,7 +243,7 @@ def near_duplicates(
         import pyarrow as pa
 
         keys = WordKeys()
-        names = ["grp", "k", "tile", "node", "doc_id", "segments", "prefix"]
+        names = ["grp", "k", "tile", "node", "doc_id", "segments"]
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
@@ -242,29 +251,29 @@ def near_duplicates(
                 own = [i for i, g in enumerate(grams) if len(g) and node_of(g) == part.column("node")[i].as_py()]
                 part, grams = part.take(pa.array(own, pa.int32())), [grams[i] for i in own]
                 segments = pa.array([order.value.segments(g) for g in grams], pa.list_(pa.binary()))
-                prefix = pa.array([order.value.prefix(g, percent).tobytes() for g in grams], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names[:5]), segments, prefix], names)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names[:5]), segments], names)
 
     texts = rows.join(members, "doc_id")
     segmented = texts.select("grp", "k", "tile", "node", "doc_id", "text").mapInArrow(
-        cut, "grp long, k int, tile int, node long, doc_id long, segments array<binary>, prefix binary"
+        cut, "grp long, k int, tile int, node long, doc_id long, segments array<binary>"
     )
     # Tile i meets every tile j: the set goes once to each, and only once where a group is one tile.
     meets = F.transform(
         F.sequence(F.lit(0), F.col("k") - 1),
         lambda j: F.struct(F.least("tile", j).alias("i"), F.greatest("tile", j).alias("j")),
     )
-    dealt = segmented.select("grp", "tile", F.explode(meets).alias("m"), "node", "doc_id", "segments", "prefix").select("grp", "m.i", "m.j", "tile", "doc_id", "segments", "prefix")
+    dealt = segmented.select("grp", "tile", F.explode(meets).alias("m"), "doc_id", "segments").select(
+        "grp", "m.i", "m.j", "tile", "doc_id", "segments"
+    )
 
     def join(key, part):
         import pyarrow as pa
 
-        edges = join_tile(part, percent)
+        edges = join_tile(part, percent, order.value)
         return pa.table({"a": np.array([e[0] for e in edges], np.int64), "b": np.array([e[1] for e in edges], np.int64)})
 
     found = stored(dealt.groupBy("grp", "i", "j").applyInArrow(join, "a long, b long"), "neardup-links")
-    classes = components(found, "neardup-classes")
-    linked = classes.select(F.col("node").alias("doc_id"), F.col("component"))
+    linked = components(found, "neardup-classes").select(F.col("node").alias("doc_id"), F.col("component"))
     named = sizes.join(linked, "doc_id", "left").select(F.col("node").alias("key"), F.coalesce("component", "doc_id").alias("component_id"))
     # Every document finds its set's class; a set with very many copies is a key that adaptive execution splits.
     return sets.join(named, F.col("node") == F.col("key"), "left").select(
@@ -272,12 +281,12 @@ def near_duplicates(
     )
 
 
-def join_tile(part, percent: int) -> list[tuple[int, int]]:
+def join_tile(part, percent: int, order: Order) -> list[tuple[int, int]]:
     """Links among the documents of one or two tiles, without those that earlier links already join."""
     ids = part.column("doc_id").to_pylist()
     tiles = part.column("tile").to_pylist()
     segments = [[np.frombuffer(s, np.uint64) for s in row] for row in part.column("segments").to_pylist()]
-    prefixes = [np.frombuffer(p, np.uint64) for p in part.column("prefix").to_pylist()]
+    prefixes = [order.prefix(np.concatenate(row), percent) for row in segments]
     n = len(ids)
     if n < 2:
         return []
