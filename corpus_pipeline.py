@@ -1,19 +1,78 @@
-"""From raw documents to packed sequences: five stages over the documents table, each a written table."""
+"""From raw documents to packed sequences: five stages over the documents table, each a written table.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows of ``docs``. All but the last return the columns of ``docs``; where
+a stage changes a text, ``n_chars`` follows it. Null and empty texts pass: they count as empty, are scored near the
+prior of the labels, link with nothing, hold no lines or secrets, and pack as their end token. Rows with a null id
+stay. An empty table gives empty tables.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemeter.llm import linededup, neardup, packing, quality, secrets
+from tidemeter.llm.common import fold_of, stored, table
+
+
+def _columns(rows: DataFrame, docs: DataFrame, changed: bool = False) -> DataFrame:
+    """The columns of ``docs`` out of ``row``."""
+
+    def column(name: str) -> Column:
+        value = F.col("row")[name]
+        if changed and name == "n_chars":
+            value = F.coalesce(F.length(F.col("row")["text"]).cast("long"), F.lit(0).cast("long"))
+        return value.alias(name)
+
+    return rows.select(*map(column, docs.columns))
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), fold_of(F.col("doc_id")) != 0)
+    return _columns(quality.score_quality(docs, model).where("predicted = 1"), docs)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the boilerplate lines of their source."""
+    return _columns(linededup.drop_boilerplate(docs), docs, changed=True)
+
+
+def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every class of near duplicates, the one of smallest id; of several rows with one id, one."""
+    classes = neardup.near_duplicates(docs)
+    first = classes.where("doc_id = component_id").select(F.col("doc_id").alias("__first"))
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("__first"))
+    kept = whole.join(first, "__first", "left_semi").dropDuplicates(["__first"]).select("row")
+    return _columns(kept.unionByName(whole.where("__first IS NULL").select("row")), docs)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked."""
+    return _columns(secrets.redact(docs), docs, changed=True)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents as pieces with their places in sequences of 2048 tokens."""
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
-from tidemeter.llm.common import stored, table
 
-STAGES: list = []
+STAGES = [
+    ("quality", keep_quality),
+    ("lines", drop_lines),
+    ("near_duplicates", keep_first_copies),
+    ("secrets", mask_secrets),
+    ("packing", pack),
+]
 
 #: The stages rest on a fitted classifier and on tokenizers, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; each reads what the one before has written."""
+    """All stages in order over the documents; each reads what the one before has written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
