@@ -23,23 +23,26 @@ def window_counts(taps: DataFrame, minutes: int, keys: list[str] | None = None)
 MAX_BINS = 20
 
 
-def window_moments(taps: DataFrame, minutes: int, bin_minutes: int) -> DataFrame:
+def window_moments(taps: DataFrame, minutes: int, bin_minutes: int, total: str | None = None) -> DataFrame:
     """Per station and window: total ``s``, sum of squares ``q`` and number ``m`` of its non-empty bins.
 
+    ``total`` names a column whose sum over the window is kept beside them, from the same scan.
+
     The bins of one window become counters of one aggregate, so map tasks send one row per station and
     window through a single shuffle. Windows with many bins are counted in two levels instead.
     """
     bins = minutes // bin_minutes
     if bins > MAX_BINS:
         n = F.col("n")
-        fine = window_counts(taps, bin_minutes)
+        summed = [F.sum(total).alias(total)] if total else []
+        fine = taps.groupBy("station", C.floor_minutes("ts", bin_minutes).alias("w")).agg(F.count(F.lit(1)).alias("n"), *summed)
         return fine.groupBy("station", C.floor_minutes("w", minutes).alias("window")).agg(
-            F.sum("n").alias("s"), F.sum(n * n).alias("q"), F.count("n").alias("m")
+            F.sum("n").alias("s"), F.sum(n * n).alias("q"), F.count("n").alias("m"), *summed
         )
     place = F.floor(F.pmod(F.unix_seconds("ts"), F.lit(minutes * 60)) / (bin_minutes * 60))
     names = [f"b{i}" for i in range(bins)]
     counted = taps.groupBy("station", C.floor_minutes("ts", minutes).alias("window")).agg(
-        *[F.count_if(place == i).alias(name) for i, name in enumerate(names)]
+        *[F.count_if(place == i).alias(name) for i, name in enumerate(names)], *([F.sum(total).alias(total)] if total else [])
     )
     columns = [F.col(name) for name in names]
     return counted.select(
@@ -48,6 +51,7 @@ def window_moments(taps: DataFrame, minutes: int, bin_minutes: int) -> DataFrame
         reduce(add, columns).alias("s"),
         reduce(add, [c * c for c in columns]).alias("q"),
         reduce(add, [(c > 0).cast("bigint") for c in columns]).alias("m"),
+        *([total] if total else []),
     )
 
 
@@ -92,21 +96,37 @@ def counts_in(taps: DataFrame, minutes: int = 15, zero_fill: bool = False) -> Da
 
 
 def counts_out(exits: DataFrame, minutes: int = 15) -> DataFrame:
-    """Window sum of exits cut to a whole number; rounding first keeps it independent of summation order."""
+    """Window sum of exits cut to a whole number."""
     return exits.groupBy("station", C.floor_minutes("ts", minutes).alias("window")).agg(
-        F.round(F.sum("exits"), 6).cast("int").alias("count_out")
+        _whole_exits(F.sum("exits")).alias("count_out")
     )
 
 
+def _whole_exits(total: Column) -> Column:
+    """Rounding first keeps the cut independent of the order of summation."""
+    return F.round(total, 6).cast("int")
+
+
 def count_facts(taps: DataFrame, minutes: int = 15) -> DataFrame:
-    """Check-in and check-out measures on one key, with calendar fields."""
-    both = counts_in(taps, minutes).join(counts_out(taps, minutes), ["station", "window"], "full_outer")
-    return with_calendar(both)
+    """Check-in and check-out measures on one key, with calendar fields, in one aggregate over one scan."""
+    moments = window_moments(taps, minutes, 1, "exits")
+    measured = moments.select(
+        "station",
+        "window",
+        F.col("s").alias("count_in"),
+        F.coalesce(_sample_variance(), F.lit(0.0)).alias("variance_in_1min"),
+        _whole_exits(F.col("exits")).alias("count_out"),
+    )
+    return with_calendar(measured)
 
 
 def rate_facts(taps: DataFrame, minutes: int = 15) -> DataFrame:
-    both = rate_in(taps, minutes).join(rate_out(taps, minutes), ["station", "window"], "full_outer")
-    return with_calendar(both)
+    """Mean 5-minute check-ins and exits per 5 minutes on one key, with calendar fields, in one aggregate."""
+    moments = window_moments(taps, minutes, 5, "exits")
+    measured = moments.select(
+        "station", "window", (F.col("s") / F.col("m")).alias("lambda_in"), (F.col("exits") / F.lit(minutes / 5.0)).alias("lambda_out")
+    )
+    return with_calendar(measured)
 
 
 def overdispersion(taps: DataFrame, minutes: int = 15, start: int = 400, end: int = 2300) -> DataFrame:

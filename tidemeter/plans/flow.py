@@ -230,9 +230,8 @@ def window_counts(spark: SparkSession, sf: str) -> DataFrame:
 SELECT station, {O.stamp('w')} AS w, round(lambda_in, 6) AS lambda_in, round(filled, 6) AS lambda_in_filled FROM rates JOIN z USING (station, w)""",
 )
 def rate_in(spark: SparkSession, sf: str) -> DataFrame:
-    taps = tables.taps(spark, sf)
-    filled = rates.rate_in(taps, zero_fill=True).withColumnRenamed("lambda_in", "lambda_in_filled")
-    both = rates.rate_in(taps).join(filled, ["station", "window"])
+    moments = rates.window_moments(tables.taps(spark, sf), 15, 5)
+    both = moments.select("station", "window", (F.col("s") / F.col("m")).alias("lambda_in"), (F.col("s") / 3.0).alias("lambda_in_filled"))
     return rounded(both.select("station", stamp("window").alias("w"), "lambda_in", "lambda_in_filled"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +50,10 @@ def card_scan(spark: SparkSession, sf: str) -> DataFrame:
 SELECT file_id, count(*) AS n FROM f WHERE file_id IN ({", ".join(f"'{d}'" for d in SELECTED_DATES)}) GROUP BY file_id""",
 )
 def daily_files(spark: SparkSession, sf: str) -> DataFrame:
-    dated = tables.taps(spark, sf).withColumn("file_id", F.date_format("ts", "yyyyMMdd"))
+    # Conditions on the stored time column reach the scan; the day names of what is left are then compared.
+    days = [F.to_timestamp_ntz(F.lit(d), F.lit("yyyyMMdd")) for d in SELECTED_DATES]
+    within = reduce(or_, [(F.col("ts") >= d) & (F.col("ts") < d + F.expr("INTERVAL 1 DAY")) for d in days])
+    dated = tables.events(spark, sf).where(within).select(F.date_format("ts", "yyyyMMdd").alias("file_id"))
     return tables.select_files(dated, SELECTED_DATES).groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
 
 
