@@ -59,3 +59,21 @@ def test_ingest_over_triggers_equals_one_pass(spark, tmp_path):
     assert store.facts.count() == want.count()
     assert store.facts.agg(F.sum("count_in"), F.sum("count_out")).first() == want.agg(F.sum("count_in"), F.sum("count_out")).first()
     assert store.facts.groupBy("station_id", "year", "month", "day", "time").count().where("count > 1").isEmpty()
+
+
+def test_ingest_of_several_files_a_day_a_late_file_and_a_restart(spark, tmp_path):
+    source, folder = str(tmp_path / "csv"), str(tmp_path / "store")
+    taps = tables.taps(spark, SF).where("ts < '2024-01-03'")
+    dated = taps.select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "station_field", "card", "exits", F.to_date("ts").alias("date"))
+    dated.where("event_id % 4 > 0").repartition(3, "event_id").write.option("header", True).partitionBy("date").csv(source)
+    stream_ingest.ingest_stream(spark, source, folder, files_per_trigger=1)
+    dated.where("event_id % 4 = 0").coalesce(1).write.mode("append").option("header", True).partitionBy("date").csv(source)
+    stream_ingest.ingest_stream(spark, source, folder, files_per_trigger=1)
+    store = stream_ingest.ingest_stream(spark, source, folder)
+    key = ["year", "month", "day", "time"]
+    measures = ["count_in", "count_out", F.round("variance_in_1min", 9).alias("v")]
+    code = F.regexp_extract("station_field", r"\((\d+)\)", 1).alias("code")
+    codes = taps.select("station", code).distinct()
+    got = store.facts.join(store.stations.withColumnRenamed("id", "station_id"), "station_id").select("code", *key, *measures)
+    want = rates.count_facts(taps).join(codes, "station").select("code", *key, *measures)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

@@ -119,10 +119,14 @@ def bursts(spark: SparkSession, sf: str) -> DataFrame:
 SELECT code, year, month, day, day_of_week, time, date_type, count_in, count_out, round(variance_in_1min, 6) AS variance_in_1min FROM facts JOIN code USING (station)""",
 )
 def incremental_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    """Daily CSV files written from the events, ingested as a stream into dimension, facts and ledger."""
-    source = scratch_path(spark, "daily-csv")
-    write_daily_csv(tables.taps(spark, sf), source)
-    store = stream_ingest.ingest_stream(spark, source, stream_ingest.scratch_store(spark))
+    """CSV files written from the events, several for each day, ingested as a stream into dimension, facts and ledger.
+
+    Files arrive a dozen a trigger, so days are spread over triggers; a second call finds nothing new.
+    """
+    source, folder = scratch_path(spark, "daily-csv"), stream_ingest.scratch_store(spark)
+    write_daily_csv(tables.taps(spark, sf).repartition(3, "event_id"), source)
+    stream_ingest.ingest_stream(spark, source, folder, files_per_trigger=36)
+    store = stream_ingest.ingest_stream(spark, source, folder)
     named = store.facts.join(store.stations.withColumnRenamed("id", "station_id"), "station_id")
     columns = ["code", "year", "month", "day", "day_of_week", "time", "date_type", "count_in", "count_out", "variance_in_1min"]
     return rounded(named.select(*columns))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,83 +22,161 @@ FACT_SCHEMA = (
 )
 
 
+MINUTE_SCHEMA = "code string, minute timestamp, process_type string, n bigint, exits double"
+STATION_SCHEMA = "id int, code string, name string"
+MANIFEST_SCHEMA = "date date, version int"
+
+
 @dataclass
 class Store:
-    """State before or after an ingest step; every part is a DataFrame."""
+    """State before or after an ingest step; every part is a DataFrame. Facts follow from the minute sums."""
 
     stations: DataFrame
     facts: DataFrame
     ledger: DataFrame
+    minutes: DataFrame
 
 
 def empty_store(spark: SparkSession) -> Store:
     return Store(
-        spark.createDataFrame([], "id int, code string, name string"),
+        spark.createDataFrame([], STATION_SCHEMA),
         spark.createDataFrame([], FACT_SCHEMA),
         ledger.empty(spark),
+        spark.createDataFrame([], MINUTE_SCHEMA),
     )
 
 
-def ingest(store: Store, rows: DataFrame, process_type: str) -> Store:
-    """Apply the rows of files that the ledger does not list yet.
+def minutes_of(rows: DataFrame, process_type: str) -> DataFrame:
+    """Taps and exits per station code and minute: sums, so the parts of a day add up whatever files they come in.
 
-    ``rows`` has ts, station_field and file_id, and exits when it holds check-outs. Two spellings of one
-    station add up because grouping is by the parsed code.
+    Two spellings of one station add up because grouping is by the parsed code.
     """
+    keyed = rows.withColumn("code", C.station_code("station_field")).where("code IS NOT NULL AND ts IS NOT NULL")
+    exits = F.sum("exits") if process_type == CHECKOUTS else F.lit(None).cast("double")
+    return keyed.groupBy("code", C.floor_minutes("ts", 1).alias("minute")).agg(F.count(F.lit(1)).alias("n"), exits.alias("exits")).select(
+        "code", "minute", F.lit(process_type).alias("process_type"), "n", "exits"
+    )
+
+
+def facts_of(minutes: DataFrame, dimension: DataFrame) -> DataFrame:
+    """Quarter-hour facts from all minute sums of their windows; several sums of one minute are added first."""
+    added = minutes.groupBy("code", "minute", "process_type").agg(F.sum("n").alias("n"), F.sum("exits").alias("exits"))
+    entering, leaving = F.col("process_type") == CHECKINS, F.col("process_type") == CHECKOUTS
+    n = F.when(entering, F.col("n"))
+    windows = added.groupBy(F.col("code").alias("station"), C.floor_minutes("minute", 15).alias("window")).agg(
+        F.sum(n).alias("s"), F.sum(n * n).alias("q"), F.count(n).alias("m"), F.sum(F.when(leaving, F.col("exits"))).alias("exits")
+    )
+    s, q, m = F.col("s"), F.col("q"), F.col("m")
+    variance = F.when(m > 1, (q - s * s / m) / (m - 1)).when(m == 1, 0.0)
+    measured = windows.select(
+        "station", "window", s.alias("count_in"), F.round("exits", 6).cast("int").alias("count_out"), variance.alias("variance_in_1min")
+    )
+    dated = rates.with_calendar(measured).withColumnRenamed("station", "code")
+    named = stations.attach_station(dated, dimension).withColumnRenamed("id", "station_id")
+    return named.select(*FACT_COLUMNS)
+
+
+def days_of(rows: DataFrame) -> DataFrame:
+    return rows.select(F.to_date("ts").alias("date")).where("date IS NOT NULL").distinct()
+
+
+def _dated(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("date", F.make_date("year", "month", "day"))
+
+
+def _step(store: Store, rows: DataFrame, process_type: str) -> tuple[Store, DataFrame]:
+    """The store after the rows of files that its ledger does not list yet, and the minute sums they add."""
     files = rows.select(F.col("file_id").alias("filename"), F.lit(process_type).alias("process_type")).distinct()
     todo = ledger.unprocessed(files, store.ledger)
     fresh = rows.join(todo.select(F.col("filename").alias("file_id")), "file_id", "left_semi")
     dimension = stations.insert_members(store.stations, stations.members(fresh))
-    keyed = fresh.withColumn("station", C.station_code("station_field")).where("station IS NOT NULL AND ts IS NOT NULL")
-    counted = rates.counts_in(keyed) if process_type == CHECKINS else rates.counts_out(keyed)
-    dated = rates.with_calendar(counted).withColumnRenamed("station", "code")
-    measured = stations.attach_station(dated, dimension).withColumnRenamed("id", "station_id")
-    merged = facts.upsert(store.facts, measured, facts.COUNT_KEYS, facts.COUNT_MEASURES)
-    return Store(dimension, merged.select(*FACT_COLUMNS), ledger.mark_processed(store.ledger, todo))
+    added = minutes_of(fresh, process_type)
+    days = days_of(fresh)
+    sums = store.minutes.unionByName(added)
+    touched = sums.join(days, F.to_date("minute") == days["date"], "left_semi")
+    kept = _dated(store.facts).join(days, "date", "left_anti").select(*FACT_COLUMNS)
+    done = ledger.mark_processed(store.ledger, todo)
+    return Store(dimension, kept.unionByName(facts_of(touched, dimension)), done, sums), added
 
 
-STATION_SCHEMA = "id int, code string, name string"
-MONTH = ["version", "year", "month"]
-
+def ingest(store: Store, rows: DataFrame, process_type: str) -> Store:
+    """Apply the rows of files that the ledger does not list yet.
 
-def months_of(rows: DataFrame) -> DataFrame:
-    return rows.select(F.year("ts").alias("year"), F.month("ts").alias("month")).distinct()
+    ``rows`` has ts, station_field and file_id, and exits when it holds check-outs. The facts of the days that the
+    files touch are made again from all minute sums of those days, so a day may come in any number of files.
+    """
+    return _step(store, rows, process_type)[0]
 
 
-def save(store: Store, folder: str, version: int) -> None:
-    """Write a version: the months in ``store.facts``, the dimension and the ledger.
+def save(store: Store, folder: str, version: int, days: DataFrame | None = None, added: DataFrame | None = None) -> None:
+    """Write a version: all days, or only the facts of ``days`` and the minute sums ``added`` since the version before.
 
-    A version never changes files of another one, so a step that is lost halfway can be repeated. The
-    ledger goes last; rows of a busy month spread over tasks by day.
+    A version never changes files of another one, so a step that is lost halfway can be repeated. Its manifest names
+    the version that holds each day's facts. A mark goes last: a version that has it is complete.
     """
+    spark = store.facts.sparkSession
+    dated = _dated(store.facts)
+    changed = dated if days is None else dated.join(days, "date", "left_semi")
     (
-        store.facts.repartition("year", "month", "day")
-        .sortWithinPartitions("year", "month", "station_id", "time")
+        changed.repartition("date")
+        .sortWithinPartitions("date", "station_id", "time")
         .write.mode("overwrite")
-        .partitionBy("year", "month")
+        .partitionBy("date")
         .parquet(f"{folder}/facts/version={version}")
     )
+    sums = store.minutes if added is None else added
+    sums.withColumn("date", F.to_date("minute")).write.mode("overwrite").partitionBy("date").parquet(f"{folder}/minutes/version={version}")
     store.stations.write.mode("overwrite").parquet(f"{folder}/stations/version={version}")
+    named = (dated.select("date").distinct() if days is None else days).select("date", F.lit(version).alias("version"))
+    if days is not None:
+        named = named.unionByName(spark.read.schema(MANIFEST_SCHEMA).parquet(f"{folder}/manifest/version={version - 1}"))
+    newest = named.groupBy("date").agg(F.max("version").cast("int").alias("version"))
+    newest.write.mode("overwrite").parquet(f"{folder}/manifest/version={version}")
     store.ledger.write.mode("overwrite").parquet(f"{folder}/ledger/version={version}")
+    spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{folder}/complete/version={version}")
 
 
 def load(spark: SparkSession, folder: str, version: int) -> Store:
-    """The store as of a version: of every month the newest files not after it."""
-    rows = spark.read.schema(f"{FACT_SCHEMA}, version int").parquet(f"{folder}/facts").where(F.col("version") <= version)
-    newest = rows.groupBy("year", "month").agg(F.max("version").alias("version"))
-    current = rows.join(newest, MONTH, "left_semi").select(*FACT_COLUMNS)
+    """The store as of a version: the files of every day that its manifest names, found by partition."""
+    manifest = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{folder}/manifest/version={version}")
+    rows = spark.read.schema(f"{FACT_SCHEMA}, date date, version int").parquet(f"{folder}/facts")
+    sums = spark.read.schema(f"{MINUTE_SCHEMA}, date date, version int").parquet(f"{folder}/minutes")
     return Store(
         spark.read.schema(STATION_SCHEMA).parquet(f"{folder}/stations/version={version}"),
-        current,
+        rows.join(manifest, ["version", "date"], "left_semi").select(*FACT_COLUMNS),
         spark.read.schema(ledger.SCHEMA).parquet(f"{folder}/ledger/version={version}"),
+        sums.where(F.col("version") <= version).select("code", "minute", "process_type", "n", "exits"),
     )
 
 
 def advance(spark: SparkSession, folder: str, version: int, rows: DataFrame, process_types: tuple[str, ...]) -> int:
-    """Apply rows to a version and write the next one; only the months that the rows touch are rewritten."""
+    """Apply rows to a version and write the next one; of the store, only the days that the rows touch are read and written."""
+    days = days_of(rows)
     store = load(spark, folder, version)
-    store.facts = store.facts.join(months_of(rows), ["year", "month"], "left_semi").select(*FACT_COLUMNS)
+    sums = spark.read.schema(f"{MINUTE_SCHEMA}, date date, version int").parquet(f"{folder}/minutes")
+    sums = sums.where(F.col("version") <= version).join(days, "date", "left_semi")
+    store.minutes = sums.select("code", "minute", "process_type", "n", "exits")
+    store.facts = _dated(store.facts).join(days, "date", "left_semi").select(*FACT_COLUMNS)
+    parts = []
     for process_type in process_types:
-        store = ingest(store, rows, process_type)
-    save(store, folder, version + 1)
+        store, added = _step(store, rows, process_type)
+        parts.append(added)
+    save(store, folder, version + 1, days, reduce(DataFrame.unionByName, parts))
     return version + 1
+
+
+def newest_version(spark: SparkSession, folder: str) -> int | None:
+    """The last complete version; None where there is no store."""
+    try:
+        return spark.read.schema("id bigint, version int").parquet(f"{folder}/complete").agg(F.max("version")).first()[0]
+    except AnalysisException:
+        return None
+
+
+def begin(spark: SparkSession, folder: str) -> int:
+    """The newest version of a store; an empty version 0 is written where there is none."""
+    found = newest_version(spark, folder)
+    if found is None:
+        save(empty_store(spark), folder, 0)
+        found = 0
+    return found

@@ -19,20 +19,22 @@ def ingest_stream(
     files_per_trigger: int | None = None,
     process_types: tuple[str, ...] = (batch_ingest.CHECKINS, batch_ingest.CHECKOUTS),
 ) -> batch_ingest.Store:
-    """Process every daily file below ``source`` once and return the newest store.
+    """Process every file below ``source`` once and return the newest store.
 
-    Batch ``i`` reads version ``i`` and writes version ``i + 1``, and the ledger skips files already
-    counted, so a batch that is run again ends in the same state.
+    The ledger holds a file by its path, and a batch adds the sums of its new files, so a day may come in several files and
+    batches. A batch starts from the newest complete version: one that is run again finds its files in the
+    ledger or overwrites what it left. A call without new files returns the store as it is.
     """
-    versions = {"last": 0}
-    batch_ingest.save(batch_ingest.empty_store(spark), folder, 0)
+    batch_ingest.begin(spark, folder)
 
     def handle(rows: DataFrame, batch_id: int) -> None:
-        keyed = rows.withColumn("file_id", F.date_format("date", "yyyyMMdd")).persist()
-        versions["last"] = batch_ingest.advance(rows.sparkSession, folder, batch_id, keyed, process_types)
+        session = rows.sparkSession
+        keyed = rows.persist()
+        if not keyed.isEmpty():
+            batch_ingest.advance(session, folder, batch_ingest.newest_version(session, folder), keyed, process_types)
         keyed.unpersist()
 
-    stream = read_stream(spark, source, ROW_SCHEMA, "csv", files_per_trigger)
+    stream = read_stream(spark, source, ROW_SCHEMA, "csv", files_per_trigger).withColumn("file_id", F.col("_metadata.file_path"))
     query = (
         stream.writeStream.foreachBatch(handle)
         .option("checkpointLocation", f"{folder}/checkpoint")
@@ -40,7 +42,7 @@ def ingest_stream(
         .start()
     )
     query.awaitTermination()
-    return batch_ingest.load(spark, folder, versions["last"])
+    return batch_ingest.load(spark, folder, batch_ingest.newest_version(spark, folder))
 
 
 def scratch_store(spark: SparkSession) -> str:
