@@ -181,7 +181,7 @@ def test_near_duplicates_equal_brute_force(spark):
             copy = [w if rng.random() > 0.02 else rng.choice(vocabulary) for w in base]
             texts.append(" ".join(copy if rng.random() < 0.7 else copy + passage))
     docs = frame(spark, texts).repartition(5)
-    for settings in ({}, {"chunk_docs": 3, "bucket_bytes": 200, "tile_nodes": 5, "tile_grams": 100, "fragments": 3}):
+    for settings in ({}, {"block_bytes": 3000, "range_grams": 50, "tile_nodes": 5, "tile_grams": 100}):
         found = neardup.near_duplicates(docs, **settings)
         assert sorted(map(tuple, found.collect())) == brute_classes(texts)
 

@@ -1,15 +1,16 @@
 """Near duplicates by Jaccard similarity of word n-grams, with vertical partitioning.
 
-The n-grams have one global order: rising corpus frequency (in cells of a fixed-size count of all n-grams), then their
-key. That order is cut into fragments. A document's set falls into one segment per fragment, overlaps are counted
-segment by segment, from the rarest fragment to the commonest, and summed for each pair; a pair is given up as soon
-as the rest cannot reach the threshold.
-
-Two sets that reach the threshold share an n-gram among the first few of each in the order (prefix). Equal sets are one
-node from the start. Chunks of documents send every rare n-gram once, in packed form, to the place where it is counted;
-only n-grams that stand in several prefixes become rows. The graph of shared prefixes falls into groups, a superset of
-the answer's. The sets of a group meet once, in tiles of bounded size; inside a tile, pairs that verified links have already
-joined need no further count, so copies are not expanded into pairs. The links' components are the result.
+The n-grams have one global order: rising number of documents in the corpus, then their key. That order is cut into
+fragments at fixed numbers of documents. A document's set falls into one segment per fragment, overlaps are counted
+segment by segment, from the rarest fragment to the commonest, and summed for each pair; a pair is given up as soon as
+the rest cannot reach the threshold.
+
+Blocks of documents send each of their distinct n-grams once, in packed runs by key range, and get the numbers of
+documents back in the same order. Two sets that reach the threshold share an n-gram among the first few of each in the
+order (prefix); n-grams of one document only cannot be it, so few n-grams of few documents are left. Equal sets are one
+node. The graph of shared prefixes falls into groups, a superset of the answer's. The sets of a group meet once, in
+tiles of bounded size; inside a tile, pairs that verified links have already joined need no further count, so copies are
+not expanded into pairs. The links' components are the result.
 """
 
 from __future__ import annotations
@@ -22,11 +23,10 @@ from pyspark.sql import functions as F
 
 from tidemeter.llm.common import WordKeys, components, rolled, stored, text_bytes, words_of
 
-#: Cells of the frequency count; its size does not depend on the corpus.
-CELL_BITS = 22
-CELLS = 1 << CELL_BITS
-SLICES = 64
-CELL_SHIFT = np.uint64(64 - CELL_BITS)
+#: The last number of documents of each fragment but the last.
+FRAGMENT_ENDS = np.array([1, 3, 15])
+#: Numbers of documents from here on count as equal in the order.
+MOST = 65_535
 
 
 def shingle_set(words: list[bytes], keys: WordKeys, size: int) -> np.ndarray:
@@ -49,36 +49,26 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def links(x: int, y: int, common: int, percent: int) -> bool:
-    return 100 * common >= percent * (x + y - common)
+class Block:
+    """The sets of some documents, their distinct n-grams and in how many of the documents each stands."""
 
+    def __init__(self, texts, size: int):
+        keys = WordKeys()
+        self.sets = [shingle_set(words_of(text), keys, size) for text in texts]
+        every = np.concatenate([np.empty(0, np.uint64), *self.sets])
+        self.grams, self.place, counts = np.unique(every, return_inverse=True, return_counts=True)
+        self.counts = np.minimum(counts, MOST).astype(np.uint16)
+        self.cuts = np.concatenate(([0], np.cumsum([len(s) for s in self.sets])))
 
-class Order:
-    """The global order and its fragments, from the counts of cells."""
-
-    def __init__(self, counts: np.ndarray, fragments: int):
-        self.counts = counts
-        values = np.sort(counts)
-        mass = np.cumsum(values.astype(np.float64))
-        at = np.searchsorted(mass, mass[-1] * np.arange(1, fragments) / fragments)
-        self.bounds = np.unique(values[np.minimum(at, len(values) - 1)])
-
-    def frequency(self, grams: np.ndarray) -> np.ndarray:
-        return self.counts[grams >> CELL_SHIFT]
-
-    def prefix(self, grams: np.ndarray, percent: int) -> np.ndarray:
-        order = np.lexsort((grams, self.frequency(grams)))
-        return grams[order[: prefix_length(len(grams), percent)]]
-
-    def segments(self, grams: np.ndarray) -> list[bytes]:
-        """Sorted keys of each fragment, rarest fragment first."""
-        own = np.searchsorted(self.bounds, self.frequency(grams), side="left")
-        return [grams[own == f].tobytes() for f in range(len(self.bounds) + 1)]
-
+    def packets(self, ranges: int):
+        """(range, low halves of the keys, counts) of each key range that is not empty.
 
-def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, text), one row per id; of several rows with one id the greatest text stays."""
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
+        A range has few enough keys that their low halves seldom agree. Two n-grams that do are counted as one, which
+        moves both to a later place of the order, everywhere alike.
+        """
+        which = (self.grams >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+        cuts = np.searchsorted(which, np.arange(ranges + 1, dtype=np.uint64))
+        return [(r, self.grams[a:b].astype(np.uint32), self.counts[a:b]) for r, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
 
 
 def near_duplicates(
@@ -87,9 +77,8 @@ def near_duplicates(
     size: int = 5,
     id_column: str = "doc_id",
     text_column: str = "text",
-    fragments: int = 4,
-    chunk_docs: int = 2000,
-    bucket_bytes: int = 32 << 20,
+    block_bytes: int = 4 << 20,
+    range_grams: int = 4_000_000,
     tile_nodes: int = 1024,
     tile_grams: int = 1_000_000,
 ) -> DataFrame:
@@ -98,132 +87,84 @@ def near_duplicates(
     Documents link when 100 * |intersection| >= percent * |union| of their distinct word n-grams; the class is the
     smallest id reachable. Words are runs without ASCII white space, A-Z lower-cased; fewer words than ``size`` count as
     one n-gram; null, empty and blank texts have empty sets and link with nothing. Rows with a null id are left out.
-    Rows with one id are one document, whose set is the largest of theirs (then the largest key). Sets and n-grams are compared by
-    64-bit keys. An empty table gives no rows.
+    Rows with one id are one document, whose set is the largest of theirs (then the largest key). Sets and n-grams are
+    compared by 64-bit keys. An empty table gives no rows.
     """
-    rows = _texts(docs, id_column, text_column)
-    spark = rows.sparkSession
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).where("doc_id IS NOT NULL")
+    volume = text_bytes(rows)
+    blocks = max(1, math.ceil(volume / block_bytes))
+    ranges = max(1, math.ceil(volume / 6 / range_grams))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
 
-    def count(batches):
+    def send(key, part):
         import pyarrow as pa
 
-        keys, counts, waiting = WordKeys(), np.zeros(CELLS, np.uint32), []
-
-        def tally():
-            cells_ = np.concatenate([np.empty(0, np.uint64), *waiting]) >> CELL_SHIFT
-            waiting.clear()
-            return np.bincount(cells_.astype(np.int64), minlength=CELLS).astype(np.uint32)
-
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        names = ["doc_id", "n", "node", "slice", "counts"]
-        for batch in batches:
-            sizes, nodes = [], []
-            for text in batch.column(1):
-                grams = shingle_set(words_of(text.as_py()), keys, size)
-                waiting.append(grams)
-                if len(waiting) == 2000:
-                    counts += tally()
-                sizes.append(len(grams))
-                nodes.append(node_of(grams) if len(grams) else None)
-            none = [None] * batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((batch.column(0), sizes, nodes, none, none), kinds)], names)
-        counts += tally()
-        if counts.any():
-            parts = [p.tobytes() for p in np.split(counts, SLICES)]
-            none = [None] * SLICES
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((none, none, none, range(SLICES), parts), kinds)], names)
-
-    counted = stored(rows.mapInArrow(count, "doc_id long, n long, node long, slice int, counts binary"), "neardup-sets")
-    sets = counted.where("slice IS NULL").groupBy("doc_id").agg(F.max(F.struct("n", "node")).alias("s")).select("doc_id", "s.n", "s.node")
+        packed = Block(part.column("text").to_pylist(), size).packets(ranges)
+        return pa.table(
+            {
+                "range": pa.array([r for r, _, _ in packed], pa.int32()),
+                "block": pa.array([key[0].as_py()] * len(packed), pa.int32()),
+                "grams": pa.array([g.tobytes() for _, g, _ in packed], pa.binary()),
+                "counts": pa.array([c.tobytes() for _, _, c in packed], pa.binary()),
+            }
+        )
 
     def add(key, part):
         import pyarrow as pa
 
-        total = np.zeros(CELLS // SLICES, np.uint32)
-        for value in part.column("counts"):
-            total += np.frombuffer(value.as_buffer(), np.uint32)
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    # SLICES rows, CELLS counts in all, whatever the corpus.
-    cells = counted.where("slice IS NOT NULL").select("slice", "counts").groupBy("slice").applyInArrow(add, "slice int, counts binary").collect()
-    counts = np.zeros(CELLS, np.uint32)
-    for row in cells:
-        width = CELLS // SLICES
-        counts[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(row["counts"], np.uint32)
-    order = spark.sparkContext.broadcast(Order(counts, fragments))
-
-    # A prefix is about a quarter of a set, at sixteen bytes each; texts have about one word in six bytes.
-    buckets = max(1, math.ceil(text_bytes(rows, "text") / 2 / bucket_bytes))
-
-    def prefixes(batches):
-        """Packed first holders of each n-gram, by bucket; rows for n-grams with several holders in a chunk."""
-        import pyarrow as pa
-
-        keys, chunk, held = WordKeys(), {}, 0
-        names, kinds = ["bucket", "grams", "nodes"], [pa.int32(), pa.binary(), pa.binary()]
-
-        def give():
-            grams = np.concatenate(list(chunk.values()))
-            nodes = np.repeat(np.fromiter(chunk, np.int64, len(chunk)), [len(g) for g in chunk.values()])
-            by = np.lexsort((nodes, grams))
-            grams, nodes = grams[by], nodes[by]
-            first = np.ones(len(grams), bool)
-            first[1:] = grams[1:] != grams[:-1]
-            start = np.flatnonzero(first)
-            several = np.diff(np.append(start, len(grams))) > 1
-            many = np.repeat(several, np.diff(np.append(start, len(grams))))
-            grams_, nodes_ = grams[start], nodes[start]
-            bucket = ((grams_ >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
-            packed = [(b, by[cuts[b] : cuts[b + 1]]) for b in range(buckets) if cuts[b] < cuts[b + 1]]
-            # The lowest bit of a packed node tells whether the chunk gives its rows itself.
-            flagged = nodes_ | several
-            rows_ = [(b, grams_[i], flagged[i]) for b, i in packed]
-            if many.any():
-                rows_.append((-1 - int(nodes[0]) // 2 % buckets, grams[many], nodes[many]))
-            columns = ([b for b, _, _ in rows_], [g.tobytes() for _, g, _ in rows_], [n.tobytes() for _, _, n in rows_])
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
-
-        for batch in batches:
-            for text in batch.column(1):
-                grams = shingle_set(words_of(text.as_py()), keys, size)
-                if len(grams):
-                    node = node_of(grams)
-                    if node not in chunk:
-                        chunk[node] = order.value.prefix(grams, percent)
-                        held += len(chunk[node])
-                if len(chunk) >= chunk_docs or held > 2_000_000:
-                    yield from give()
-                    chunk, held = {}, 0
-        if chunk:
-            yield from give()
-
-    sent = rows.mapInArrow(prefixes, "bucket int, grams binary, nodes binary")
-
-    def meet(key, part):
-        """Rows of n-grams that several chunks sent, or that a chunk found several times (negative buckets)."""
+        grams = [np.frombuffer(x.as_buffer(), np.uint32) for x in part.column("grams")]
+        counts = np.concatenate([np.frombuffer(x.as_buffer(), np.uint16) for x in part.column("counts")])
+        _, place = np.unique(np.concatenate(grams), return_inverse=True)
+        totals = np.minimum(np.bincount(place, weights=counts), MOST).astype(np.uint16)[place]
+        ends = np.cumsum([len(g) for g in grams])
+        return pa.table(
+            {
+                "block": part.column("block"),
+                "range": part.column("range"),
+                "totals": pa.array([totals[e - len(g) : e].tobytes() for g, e in zip(grams, ends)], pa.binary()),
+            }
+        )
+
+    def order(key, part, answers):
+        """Size and key of every set; its shared prefix and its segments where others may hold a part of the prefix."""
         import pyarrow as pa
 
-        grams = np.concatenate([np.frombuffer(g.as_buffer(), np.uint64) for g in part.column("grams")])
-        nodes = np.concatenate([np.frombuffer(g.as_buffer(), np.int64) for g in part.column("nodes")])
-        if key[0].as_py() >= 0:
-            by = np.argsort(grams, kind="stable")
-            grams, nodes = grams[by], nodes[by]
-            same = np.zeros(len(grams), bool)
-            same[1:] = grams[1:] == grams[:-1]
-            same[:-1] |= same[1:]
-            same &= nodes & 1 == 0
-            grams, nodes = grams[same], nodes[same]
-        return pa.table({"gram": grams.astype(np.int64), "node": nodes})
-
-    holders = stored(sent.groupBy("bucket").applyInArrow(meet, "gram long, node long").distinct(), "neardup-holders")
+        block = Block(part.column("text").to_pylist(), size)
+        totals = [np.empty(0, np.uint16), *(np.frombuffer(x.as_buffer(), np.uint16) for x in answers.sort_by("range").column("totals"))]
+        known = np.concatenate(totals)
+        if len(known) != len(block.grams):
+            raise ValueError(f"{len(known)} counts for {len(block.grams)} n-grams of block {key[0]}")
+        frequency = known[block.place]
+        prefixes, segments = [], []
+        for grams, a, b in zip(block.sets, block.cuts, block.cuts[1:]):
+            own = frequency[a:b]
+            first = np.lexsort((grams, own))[: prefix_length(len(grams), percent)] if len(grams) else np.empty(0, np.int64)
+            shared = np.sort(grams[first[own[first] > 1]])
+            prefixes.append(shared.astype(np.int64))
+            fragment = np.searchsorted(FRAGMENT_ENDS, own)
+            segments.append([grams[fragment == f].tobytes() for f in range(len(FRAGMENT_ENDS) + 1)] if len(shared) else None)
+        return pa.table(
+            {
+                "doc_id": part.column("doc_id"),
+                "n": pa.array([len(s) for s in block.sets], pa.int64()),
+                "node": pa.array([node_of(s) if len(s) else None for s in block.sets], pa.int64()),
+                "prefix": pa.array(prefixes, pa.list_(pa.int64())),
+                "segments": pa.array(segments, pa.list_(pa.binary())),
+            }
+        )
+
+    sent = rows.groupBy("block").applyInArrow(send, "range int, block int, grams binary, counts binary")
+    answered = sent.groupBy("range").applyInArrow(add, "block int, range int, totals binary")
+    cut = rows.groupBy("block").cogroup(answered.groupBy("block"))
+    cut = stored(cut.applyInArrow(order, "doc_id long, n long, node long, prefix array<long>, segments array<binary>"), "neardup-sets")
+    sets = cut.groupBy("doc_id").agg(F.max(F.struct("n", "node")).alias("s")).select("doc_id", "s.n", "s.node")
+    sets = stored(sets, "neardup-documents")
     sizes = stored(sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "neardup-nodes")
 
     # Linked sets differ in size by the threshold at most, so they fall into one class of sizes or into neighbouring ones.
     step = max(math.log(100 / percent) * 1.000001, 1e-9)
-    sized = holders.join(sizes.select("node", "n"), "node").withColumn("size", F.floor(F.log("n") / step))
-    sized = stored(sized, "neardup-sized")
+    sized = cut.select(F.explode("prefix").alias("gram"), "node", "n").distinct()
+    sized = stored(sized.withColumn("size", F.floor(F.log("n") / step)), "neardup-holders")
     classes = sized.groupBy("gram", "size").agg(F.min("node").alias("first"), F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("held"))
     classes = stored(classes, "neardup-sizes")
     star = sized.join(classes.where("held > 1"), ["gram", "size"]).select(F.col("node").alias("a"), F.col("first").alias("b"))
@@ -231,49 +172,29 @@ def near_duplicates(
     beside = classes.drop("low").join(above, ["gram", "size"]).where(F.col("high") * 100 >= F.col("low") * percent)
     groups = components(star.unionByName(beside.select("a", F.col("first").alias("b"))), "neardup-groups")
 
-    # One document stands for a node; its text is read again only if the node shares a prefix.
     members = groups.withColumnRenamed("component", "grp").join(sizes, "node")
     tiles = members.groupBy("grp").agg(
         F.greatest(F.lit(1), F.ceil(F.count("*") / tile_nodes), F.ceil(F.sum("n") / tile_grams)).cast("int").alias("k")
     )
     members = members.join(tiles, "grp").withColumn("tile", F.pmod(F.hash("node"), F.col("k")))
-    members = stored(members.select("grp", "k", "tile", "node", "doc_id"), "neardup-members")
-
-    def cut(batches):
-        import pyarrow as pa
-
-        keys = WordKeys()
-        names = ["grp", "k", "tile", "node", "doc_id", "segments"]
-        for batch in batches:
-            for start in range(0, batch.num_rows, 64):
-                part = batch.slice(start, 64)
-                grams = [shingle_set(words_of(t.as_py()), keys, size) for t in part.column("text")]
-                own = [i for i, g in enumerate(grams) if len(g) and node_of(g) == part.column("node")[i].as_py()]
-                part, grams = part.take(pa.array(own, pa.int32())), [grams[i] for i in own]
-                segments = pa.array([order.value.segments(g) for g in grams], pa.list_(pa.binary()))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names[:5]), segments], names)
-
-    texts = rows.join(members, "doc_id")
-    segmented = texts.select("grp", "k", "tile", "node", "doc_id", "text").mapInArrow(
-        cut, "grp long, k int, tile int, node long, doc_id long, segments array<binary>"
-    )
-    # Tile i meets every tile j: the set goes once to each, and only once where a group is one tile.
+    # One document stands for a node. Tile i meets every tile j: a set goes once to each, and only once where a group is one tile.
+    found = cut.select("doc_id", "node", "prefix", "segments").join(members.drop("n"), ["doc_id", "node"])
     meets = F.transform(
         F.sequence(F.lit(0), F.col("k") - 1),
         lambda j: F.struct(F.least("tile", j).alias("i"), F.greatest("tile", j).alias("j")),
     )
-    dealt = segmented.select("grp", "tile", F.explode(meets).alias("m"), "doc_id", "segments").select(
-        "grp", "m.i", "m.j", "tile", "doc_id", "segments"
+    dealt = found.select("grp", "tile", F.explode(meets).alias("m"), "doc_id", "prefix", "segments").select(
+        "grp", "m.i", "m.j", "tile", "doc_id", "prefix", "segments"
     )
 
     def join(key, part):
         import pyarrow as pa
 
-        edges = join_tile(part, percent, order.value)
+        edges = join_tile(part, percent)
         return pa.table({"a": np.array([e[0] for e in edges], np.int64), "b": np.array([e[1] for e in edges], np.int64)})
 
-    found = stored(dealt.groupBy("grp", "i", "j").applyInArrow(join, "a long, b long"), "neardup-links")
-    linked = components(found, "neardup-classes").select(F.col("node").alias("doc_id"), F.col("component"))
+    links_ = stored(dealt.groupBy("grp", "i", "j").applyInArrow(join, "a long, b long"), "neardup-links")
+    linked = components(links_, "neardup-classes").select(F.col("node").alias("doc_id"), F.col("component"))
     named = sizes.join(linked, "doc_id", "left").select(F.col("node").alias("key"), F.coalesce("component", "doc_id").alias("component_id"))
     # Every document finds its set's class; a set with very many copies is a key that adaptive execution splits.
     return sets.join(named, F.col("node") == F.col("key"), "left").select(
@@ -281,12 +202,12 @@ def near_duplicates(
     )
 
 
-def join_tile(part, percent: int, order: Order) -> list[tuple[int, int]]:
+def join_tile(part, percent: int) -> list[tuple[int, int]]:
     """Links among the documents of one or two tiles, without those that earlier links already join."""
     ids = part.column("doc_id").to_pylist()
     tiles = part.column("tile").to_pylist()
     segments = [[np.frombuffer(s, np.uint64) for s in row] for row in part.column("segments").to_pylist()]
-    prefixes = [order.prefix(np.concatenate(row), percent) for row in segments]
+    prefixes = [np.array(p, np.int64) for p in part.column("prefix").to_pylist()]
     n = len(ids)
     if n < 2:
         return []
