@@ -20,6 +20,23 @@ from pyspark.sql import functions as F
 
 from tidemeter.llm.common import mix, rolled, stored, text_bytes, words_of
 
+#: Bytes of a key that are sent; the key range tells the rest but for a few bits. A range holds a fixed number of n-grams
+#: whatever the corpus, so two of them agree in one range of several hundred.
+SENT = 6
+
+
+def shortened(keys: np.ndarray) -> np.ndarray:
+    """The sent bytes of keys, lowest first."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SENT]
+
+
+def lengthened(sent: bytes) -> np.ndarray:
+    """Sent bytes as numbers."""
+    out = np.zeros((len(sent) // SENT, 8), np.uint8)
+    out[:, :SENT] = np.frombuffer(sent, np.uint8).reshape(-1, SENT)
+    return out.view("<u8").ravel()
+
+
 #: Keys of the text's begin and end, which are no words.
 BEGIN, END = np.uint64(0x6A09E667F3BCC908), np.uint64(0xBB67AE8584CAA73B)
 
@@ -194,7 +211,7 @@ def score_texts(
             {
                 "range": pa.array([r for r, _, _ in packed], pa.int32()),
                 "block": pa.array([key[0].as_py()] * len(packed), pa.int32()),
-                "keys": pa.array([k.tobytes() for _, k, _ in packed], pa.binary()),
+                "keys": pa.array([shortened(k).tobytes() for _, k, _ in packed], pa.binary()),
                 "counts": pa.array([c.astype(np.uint32).tobytes() for _, _, c in packed], pa.binary()),
             }
         )
@@ -203,15 +220,16 @@ def score_texts(
         """Corpus counts for every packet of a range, and a row without block for the range's words."""
         import pyarrow as pa
 
-        keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("keys")]
+        keys = [lengthened(x.as_py()) for x in part.column("keys")]
         every, place = np.unique(np.concatenate(keys), return_inverse=True)
         counts = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in part.column("counts")])
         totals = np.bincount(place, weights=counts.astype(np.float64), minlength=len(every)).astype(np.uint64)
         ends = np.cumsum([len(k) for k in keys])
         answers = [totals[place[e - len(k) : e]].tobytes() for k, e in zip(keys, ends)]
         words = totals[(every & np.uint64(3)) == 0]
-        ends_key = mix(np.array([END]))[0] >> np.uint64(2) << np.uint64(2)
-        at = np.flatnonzero(every == ends_key)
+        ends_key = mix(np.array([END])) >> np.uint64(2) << np.uint64(2)
+        here = int(ends_key[0] >> np.uint64(32)) * ranges >> 32 == key[0].as_py()
+        at = np.flatnonzero(every == lengthened(shortened(ends_key).tobytes())[0]) if here else []
         n = len(answers)
         return pa.table(
             {
