@@ -1,4 +1,4 @@
-"""Streaming queries. Each runs over the whole event table and is compared with closed windows only."""
+"""Streaming queries. Each runs over the whole event table, closes all windows at its end, and equals its batch twin."""
 
 from __future__ import annotations
 
@@ -14,10 +14,7 @@ from tidemeter.sources import tables
 from tidemeter.streaming import flows
 from tidemeter.streaming import ingest as stream_ingest
 
-# Windows are closed once they end at or before the last event less the allowed delay.
-MARK = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
-CLOSED_SQL = f"""{O.TAPS}, c5 AS (SELECT station, {O.bucket(5)} AS w, count(*) AS n FROM taps GROUP BY ALL),
-closed AS (SELECT * FROM c5 WHERE w + INTERVAL 5 MINUTE <= {MARK}),
+CLOSED_SQL = f"""{O.TAPS}, closed AS (SELECT station, {O.bucket(5)} AS w, count(*) AS n FROM taps GROUP BY ALL),
 est AS (SELECT station, {O.day('w')} AS date, w, n, avg(n) OVER p AS estimate, lead(w) OVER (PARTITION BY station, CAST(w AS DATE) ORDER BY w) AS next_w
         FROM closed WINDOW p AS (PARTITION BY station, CAST(w AS DATE) ORDER BY w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))"""
 
@@ -29,8 +26,8 @@ first AS (SELECT *, CASE WHEN time_bucket({width}, w) = w THEN w ELSE time_bucke
 ticks AS (SELECT station, estimate, unnest(generate_series(first, next_w - INTERVAL 1 SECOND, {width})) AS tick FROM first WHERE first < next_w)"""
 
 
-def _counts(spark: SparkSession, sf: str) -> DataFrame:
-    return flows.tumbling_counts(flows.event_stream(flows.stream_session(spark), sf))
+def _counts(spark: SparkSession, sf: str, end: str) -> DataFrame:
+    return flows.tumbling_counts(flows.event_stream(flows.stream_session(spark), sf, end=end))
 
 
 @query("s14_replay_counts", f"WITH {O.TAPS} SELECT station, count(*) AS n, round(sum(exits), 4) AS exits FROM taps GROUP BY station")
@@ -43,19 +40,22 @@ def replay_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("r1_tumbling_counts", f"WITH {CLOSED_SQL} SELECT station, {O.stamp('w')} AS w, n FROM closed")
 def tumbling_counts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = flows.run_to_files(spark, _counts(spark, sf), "tumbling")
+    end = flows.open_end(spark)
+    rows = flows.run_to_files(spark, _counts(spark, sf, end), "tumbling", end=end)
     return rows.select("station", stamp("w").alias("w"), "n")
 
 
 @query("r2_rolling_rates", f"WITH {CLOSED_SQL} SELECT station, {O.stamp('w')} AS w, n, round(estimate, 6) AS estimate FROM est")
 def rolling_rates(spark: SparkSession, sf: str) -> DataFrame:
-    rows = flows.run_to_files(spark, flows.rolling_rates(_counts(spark, sf)), "rolling")
+    end = flows.open_end(spark)
+    rows = flows.run_to_files(spark, flows.rolling_rates(_counts(spark, sf, end)), "rolling", end=end)
     return rounded(rows.select("station", stamp("w").alias("w"), "n", "estimate"))
 
 
 @query("r3_sampled_rates", f"WITH {_ticks_sql(15)} SELECT station, {O.stamp('tick')} AS tick, round(estimate, 6) AS estimate FROM ticks")
 def sampled_rates(spark: SparkSession, sf: str) -> DataFrame:
-    rows = flows.run_to_files(spark, flows.rolling_rates(_counts(spark, sf), tick_minutes=15), "sampled")
+    end = flows.open_end(spark)
+    rows = flows.run_to_files(spark, flows.rolling_rates(_counts(spark, sf, end), tick_minutes=15), "sampled", end=end)
     return rounded(rows.select("station", stamp("w").alias("tick"), "estimate"))
 
 
@@ -65,15 +65,17 @@ def sampled_rates(spark: SparkSession, sf: str) -> DataFrame:
 SELECT {O.stamp('tick')} AS tick, station, estimate, CAST(row_number() OVER (PARTITION BY tick ORDER BY estimate DESC, station) AS INT) AS place FROM r QUALIFY place <= 3""",
 )
 def leaderboard(spark: SparkSession, sf: str) -> DataFrame:
-    ticks = flows.rolling_rates(_counts(spark, sf), tick_minutes=30)
-    path = flows.run_batches(spark, ticks, "leaderboard", flows.keep_leaderboard)
+    end = flows.open_end(spark)
+    ticks = flows.rolling_rates(_counts(spark, sf, end), tick_minutes=30)
+    path = flows.run_batches(spark, ticks, "leaderboard", flows.keep_leaderboard, end)
     return flows.read_leaderboard(spark, path).select(stamp("w").alias("tick"), "station", "estimate", "place")
 
 
 @query("r5_trip_stream", f"WITH {O.trips()} SELECT card, origin, destination, {O.stamp('t1', True)} AS t1, {O.stamp('t2', True)} AS t2 FROM trips WHERE t2 - t1 <= INTERVAL 72 HOUR")
 def trip_stream(spark: SparkSession, sf: str) -> DataFrame:
-    stream = flows.stream_trips(flows.event_stream(flows.stream_session(spark), sf))
-    rows = flows.run_to_files(spark, stream, "trips")
+    end = flows.open_end(spark)
+    stream = flows.stream_trips(flows.event_stream(flows.stream_session(spark), sf, end=end))
+    rows = flows.run_to_files(spark, stream, "trips", end=end)
     return rows.select("card", "origin", "destination", stamp("t1", True).alias("t1"), stamp("t2", True).alias("t2"))
 
 
@@ -94,8 +96,9 @@ def rolling_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("r6_rolling_shares_stream", f"WITH {_live_sql(15)}")
 def rolling_shares_stream(spark: SparkSession, sf: str) -> DataFrame:
-    stream = flows.stream_trips(flows.event_stream(flows.stream_session(spark), sf))
-    path = flows.run_batches(spark, stream, "shares", flows.keep_rolling_shares)
+    end = flows.open_end(spark)
+    stream = flows.stream_trips(flows.event_stream(flows.stream_session(spark), sf, end=end))
+    path = flows.run_batches(spark, stream, "shares", flows.keep_rolling_shares, end)
     found = flows.read_rolling_shares(spark, path)
     return rounded(found.select(stamp("tick").alias("tick"), "origin", "destination", "n", "p"))
 
@@ -105,12 +108,13 @@ def rolling_shares_stream(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH {O.TAPS}, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY station ORDER BY ts, event_id) <= INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS o FROM taps),
 b AS (SELECT *, sum(o) OVER (PARTITION BY station ORDER BY ts, event_id) AS batch FROM g),
 s AS (SELECT station, batch, min(ts) AS first, max(ts) AS last, count(*) AS n FROM b GROUP BY ALL)
-SELECT station, {O.stamp('first', True)} AS first, n FROM s WHERE last + INTERVAL 10 MINUTE <= {MARK}""",
+SELECT station, {O.stamp('first', True)} AS first, n FROM s""",
 )
 def bursts(spark: SparkSession, sf: str) -> DataFrame:
     """Bursts with a ten-minute gap, since the test events are minutes apart."""
-    stream = flows.bursts(flows.event_stream(flows.stream_session(spark), sf), "10 minutes")
-    return flows.run_to_files(spark, stream, "bursts").select("station", stamp("first", True).alias("first"), "n")
+    end = flows.open_end(spark)
+    stream = flows.bursts(flows.event_stream(flows.stream_session(spark), sf, end=end), "10 minutes")
+    return flows.run_to_files(spark, stream, "bursts", end=end).select("station", stamp("first", True).alias("first"), "n")
 
 
 @query(
@@ -135,16 +139,15 @@ def incremental_ingest(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "r9_two_flow_replay",
     f"""WITH {O.TAPS}, f AS (SELECT 'in' AS flow, station, ts FROM taps UNION ALL SELECT 'out', station, ts FROM taps WHERE exits >= 50),
-m AS (SELECT least(max(ts) FILTER (flow = 'in'), max(ts) FILTER (flow = 'out')) - INTERVAL 10 MINUTE AS mark FROM f),
-c AS (SELECT flow, station, {O.bucket(5)} AS w, count(*) AS n FROM f GROUP BY ALL),
-k AS (SELECT c.* FROM c, m WHERE w + INTERVAL 5 MINUTE <= mark)
+k AS (SELECT flow, station, {O.bucket(5)} AS w, count(*) AS n FROM f GROUP BY ALL)
 SELECT flow, station, {O.stamp('w')} AS w, n, round(avg(n) OVER (PARTITION BY flow, station, CAST(w AS DATE) ORDER BY w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS estimate FROM k""",
 )
 def two_flow_replay(spark: SparkSession, sf: str) -> DataFrame:
     """Check-ins and check-outs as two sources in one stream; check-outs are the events of at least 50."""
     session = flows.stream_session(spark)
-    entering = flows.event_stream(session, sf).select(F.lit("in").alias("flow"), "station", "ts")
-    leaving = flows.event_stream(session, sf).where("exits >= 50").select(F.lit("out").alias("flow"), "station", "ts")
+    end = flows.open_end(spark)
+    entering = flows.event_stream(session, sf, end=end).select(F.lit("in").alias("flow"), "station", "ts")
+    leaving = flows.event_stream(session, sf, end=end).where("exits >= 50").select(F.lit("out").alias("flow"), "station", "ts")
     counts = flows.tumbling_counts(entering.union(leaving), keys=["flow", "station"])
-    rows = flows.run_to_files(spark, flows.rolling_rates(counts, ["flow", "station"]), "two-flow")
+    rows = flows.run_to_files(spark, flows.rolling_rates(counts, ["flow", "station"]), "two-flow", end=end)
     return rounded(rows.select("flow", "station", stamp("w").alias("w"), "n", "estimate"))

@@ -7,9 +7,10 @@ batch twin in ``tidemeter.operators`` gives the same rows once the windows are c
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -26,12 +27,11 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 def stream_session(spark: SparkSession) -> SparkSession:
     """A session of the same application for stateful queries.
 
-    State partitions are fixed for the life of a query, so they follow the cores at hand, and state
-    lives in RocksDB, off the heap.
+    State partitions are fixed for the life of a query, so they are a setting: the session's shuffle
+    partitions. State lives in RocksDB, off the heap.
     """
     session = use_utc(spark.newSession())
-    wanted = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    session.conf.set("spark.sql.shuffle.partitions", str(wanted))
+    session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return session
 
@@ -50,9 +50,36 @@ def read_stream(
     return reader.load(path)
 
 
-def event_stream(spark: SparkSession, folder: str, glob: str = "events.parquet", files_per_trigger: int | None = None) -> DataFrame:
-    """The event table as a tap stream with watermark."""
-    raw = read_stream(spark, folder, EVENT_SCHEMA, files_per_trigger=files_per_trigger, glob=glob)
+#: The end mark: a row of no station, later than any tap and within the range of nanosecond clocks.
+END_MARK = [(-1, datetime(2200, 1, 1), -1, "", 1e9, None)]
+
+
+def open_end(spark: SparkSession) -> str:
+    """A folder that will hold the end mark of a stream once its input is complete."""
+    path = scratch_path(spark, "end")
+    spark.createDataFrame([], EVENT_SCHEMA).write.parquet(path)
+    return path
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+
+
+def event_stream(
+    spark: SparkSession, folder: str, glob: str | None = None, files_per_trigger: int | None = None, end: str | None = None
+) -> DataFrame:
+    """The event table as a tap stream with watermark, whether it is one file or a folder of files.
+
+    ``glob`` names other files of ``folder`` instead of the event table. ``end`` is a folder of ``open_end``.
+    """
+    path = folder
+    if glob is None:
+        table = f"{folder}/events.parquet"
+        path, glob = (table, None) if is_folder(spark, table) else (folder, "events.parquet")
+    raw = read_stream(spark, path, EVENT_SCHEMA, files_per_trigger=files_per_trigger, glob=glob)
+    if end:
+        raw = raw.unionByName(read_stream(spark, end, EVENT_SCHEMA))
     taps = raw.select(
         "event_id",
         F.col("ts").cast("timestamp").alias("ts"),
@@ -133,7 +160,9 @@ def rolling_rates(counts: DataFrame, keys: list[str] | None = None, last: int =
 class LastSeen(StatefulProcessor):
     """Previous tap of a card; a change of station within ``hours`` emits a trip.
 
-    A timer on event time releases the state once the watermark has passed the retention.
+    Taps wait in state until the watermark has passed them and are then taken in order of event time, so rows that
+    cross triggers out of order give the same trips as the batch form. State is what the watermark holds back of a
+    card and its last tap, which a timer releases after the retention.
     """
 
     def __init__(self, hours: int = 72):
@@ -141,29 +170,47 @@ class LastSeen(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "ts timestamp, station string")
+        self.seen = handle.getValueState("seen", "us bigint, station string")
+        self.pending = handle.getListState("pending", "us bigint, event_id bigint, station string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = self.seen.get() if self.seen.exists() else None
-        # the rows of one trigger, which the trigger's file limit bounds
-        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        origin = batch["station"].shift(1)
-        t1 = batch["ts"].shift(1)
-        if before is not None:
-            t1.iloc[0], origin.iloc[0] = pd.Timestamp(before[0]), before[1]
-        moved = origin.notna() & (origin != batch["station"]) & (batch["ts"] - t1 <= pd.Timedelta(hours=self.hours))
-        last = batch.iloc[-1]
-        self.seen.update((last["ts"].to_pydatetime(), last["station"]))
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(int(last["ts"].timestamp() * 1000) + self.hours * HOUR_MS)
-        yield pd.DataFrame(
-            {"card": key[0], "origin": origin[moved], "destination": batch["station"][moved], "t1": t1[moved], "t2": batch["ts"][moved]}
-        )
+        first = None
+        for frame in rows:
+            us = frame["ts"].astype("datetime64[us]").astype("int64")
+            self.pending.appendList(list(zip(us.tolist(), frame["event_id"].tolist(), frame["station"].tolist())))
+            first = int(us.min()) if first is None else min(first, int(us.min()))
+        if first is not None:
+            self.handle.registerTimer(first // 1000 + 1)
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.seen.clear()
-        return iter(())
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        held = list(self.pending.get()) if self.pending.exists() else []
+        due = sorted((tuple(r) for r in held if r[0] <= passed), key=lambda r: r[:2])
+        rest = [tuple(r) for r in held if r[0] > passed]
+        before = tuple(self.seen.get()) if self.seen.exists() else None
+        keep = self.hours * HOUR_MS * 1000
+        trips = []
+        for us, _, station in due:
+            if before is not None and before[1] != station and us - before[0] <= keep:
+                trips.append((before[1], station, before[0], us))
+            before = (us, station)
+        if rest:
+            self.pending.put(rest)
+            self.handle.registerTimer(min(r[0] for r in rest) // 1000 + 1)
+        else:
+            self.pending.clear()
+        if before is not None and (rest or before[0] + keep > passed):
+            self.seen.update(before)
+            if not rest:
+                self.handle.registerTimer((before[0] + keep) // 1000 + 1)
+        elif before is not None:
+            self.seen.clear()
+        out = pd.DataFrame(trips, columns=["origin", "destination", "t1", "t2"])
+        for name in ("t1", "t2"):
+            out[name] = pd.to_datetime(out[name], unit="us")
+        out.insert(0, "card", key[0])
+        yield out
 
     def close(self) -> None:
         pass
@@ -186,41 +233,48 @@ def stream_trips(taps: DataFrame, hours: int = 72) -> DataFrame:
 # --- running streams ---------------------------------------------------------------------------
 
 
-def _finish(writer: DataStreamWriter) -> None:
-    query = writer.trigger(availableNow=True).start()
-    query.awaitTermination()
+def _finish(writer: DataStreamWriter, spark: SparkSession, end: str | None) -> None:
+    """Take everything available; then, if the input is complete, the end mark, which closes all windows."""
+    writer.trigger(availableNow=True).start().awaitTermination()
+    if end:
+        spark.createDataFrame(END_MARK, EVENT_SCHEMA).write.mode("append").parquet(end)
+        writer.trigger(availableNow=True).start().awaitTermination()
 
 
-def run_to_files(spark: SparkSession, stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
+def run_to_files(spark: SparkSession, stream: DataFrame, label: str, mode: str = "append", end: str | None = None) -> DataFrame:
     """Run a stream over everything available into files of the shared folder and read them back."""
     path = scratch_path(spark, label)
-    _finish(
-        stream.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint")
-    )
+    writer = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint")
+    _finish(writer, spark, end)
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def run_batches(spark: SparkSession, stream: DataFrame, label: str, handle: Callable[[DataFrame, int, str], None]) -> str:
+def run_batches(
+    spark: SparkSession, stream: DataFrame, label: str, handle: Callable[[DataFrame, int, str], None], end: str | None = None
+) -> str:
     """Run a stream through ``handle(batch, id, path)``; returns the path. A repeated batch id must overwrite itself."""
     path = scratch_path(spark, label)
-    _finish(
+    writer = (
         stream.writeStream.outputMode("append")
         .foreachBatch(lambda batch, i: handle(batch, i, path))
         .option("checkpointLocation", f"{path}/checkpoint")
     )
+    _finish(writer, spark, end)
     return path
 
 
 def keep_leaderboard(batch: DataFrame, batch_id: int, path: str, top: int = 3) -> None:
     """Store the ticks of a batch and rank those ticks again over all their stations.
 
-    Both writes replace the batch's own folder, so a repeated batch changes nothing.
+    Both writes replace the batch's own folder, so a repeated batch changes nothing. Ticks are stored by day, and
+    only the days of a batch are read again.
     """
     session = batch.sparkSession
-    batch.write.mode("overwrite").parquet(f"{path}/ticks/batch={batch_id}")
-    touched = batch.select("w").distinct()
-    stored = session.read.schema("station string, date string, w timestamp, n bigint, estimate double, batch int").parquet(f"{path}/ticks")
-    known = stored.where(F.col("batch") <= batch_id).join(touched, "w", "left_semi")
+    batch.withColumn("day", F.to_date("w")).write.mode("overwrite").partitionBy("day").parquet(f"{path}/ticks/batch={batch_id}")
+    touched = batch.select(F.to_date("w").alias("day"), "w").distinct()
+    schema = "station string, date string, w timestamp, n bigint, estimate double, batch int, day date"
+    stored = session.read.schema(schema).parquet(f"{path}/ticks")
+    known = stored.where(F.col("batch") <= batch_id).join(touched, ["day", "w"], "left_semi")
     rated = known.withColumn("estimate", F.round("estimate", 2))
     place = F.row_number().over(_by_tick())
     ranked = rated.withColumn("place", place).where(F.col("place") <= top).select("w", "station", "estimate", "place")
@@ -228,8 +282,6 @@ def keep_leaderboard(batch: DataFrame, batch_id: int, path: str, top: int = 3) -
 
 
 def _by_tick():
-    from pyspark.sql import Window
-
     return Window.partitionBy("w").orderBy(F.desc("estimate"), "station")
 
 
