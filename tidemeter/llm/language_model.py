@@ -37,6 +37,16 @@ def lengthened(sent: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers as all their first bytes, then all their second ones: the high bytes of small counts compress to nothing."""
+    return numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes()
+
+
+def from_planes(sent: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(sent, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
 #: Keys of the text's begin and end, which are no words.
 BEGIN, END = np.uint64(0x6A09E667F3BCC908), np.uint64(0xBB67AE8584CAA73B)
 
@@ -212,7 +222,7 @@ def score_texts(
                 "range": pa.array([r for r, _, _ in packed], pa.int32()),
                 "block": pa.array([key[0].as_py()] * len(packed), pa.int32()),
                 "keys": pa.array([shortened(k).tobytes() for _, k, _ in packed], pa.binary()),
-                "counts": pa.array([c.astype(np.uint32).tobytes() for _, _, c in packed], pa.binary()),
+                "counts": pa.array([planes(c.astype(np.uint32)) for _, _, c in packed], pa.binary()),
             }
         )
 
@@ -222,10 +232,10 @@ def score_texts(
 
         keys = [lengthened(x.as_py()) for x in part.column("keys")]
         every, place = np.unique(np.concatenate(keys), return_inverse=True)
-        counts = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in part.column("counts")])
+        counts = np.concatenate([from_planes(x.as_py(), np.uint32) for x in part.column("counts")])
         totals = np.bincount(place, weights=counts.astype(np.float64), minlength=len(every)).astype(np.uint64)
         ends = np.cumsum([len(k) for k in keys])
-        answers = [totals[place[e - len(k) : e]].tobytes() for k, e in zip(keys, ends)]
+        answers = [planes(totals[place[e - len(k) : e]]) for k, e in zip(keys, ends)]
         words = totals[(every & np.uint64(3)) == 0]
         ends_key = mix(np.array([END])) >> np.uint64(2) << np.uint64(2)
         here = int(ends_key[0] >> np.uint64(32)) * ranges >> 32 == key[0].as_py()
@@ -254,7 +264,7 @@ def score_texts(
 
         block = block_of(part)
         answers = answers.sort_by("range")
-        totals = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in answers.column("totals")]) if answers.num_rows else np.empty(0, np.uint64)
+        totals = np.concatenate([from_planes(x.as_py(), np.uint64) for x in answers.column("totals")]) if answers.num_rows else np.empty(0, np.uint64)
         if len(totals) != len(block.keys):
             raise ValueError(f"{len(totals)} counts for {len(block.keys)} n-grams of block {key[0]}")
         machine = Automaton(block, totals, tokens, types, ends, mu)
