@@ -27,6 +27,16 @@ def test_lines_above_the_ratio_go(spark):
     assert out[3].row.pages == 2 and linededup.drop_boilerplate(frame(spark, [])).collect() == []
 
 
+def test_pipeline_drops_planted_passages_and_keeps_copies(spark):
+    passage, copied = " ".join(f"planted{i}" for i in range(80)), " ".join(f"copied{i}" for i in range(80))
+    rows = [(i, f"own line {i}" + (f"\n{passage}\nMIT License" if i % 100 == 0 else ""), "hot") for i in range(2000)]
+    rows += [(5000 + i, f"{copied}\nend of copy", "hot") for i in range(300)] + [(6000 + i, f"pair\nrest {i}", "small") for i in range(2)]
+    lines = corpus_pipeline.drop_lines(spark, frame(spark, rows), SF)
+    out = {r.doc_id: r.text for r in lines.collect()}
+    assert len(out) == len(rows) and [i for i in range(2000) if out[i] != f"own line {i}"] == []
+    assert {out[5000 + i] for i in range(300)} == {f"{copied}\nend of copy"} and out[6001] == "pair\nrest 1"
+
+
 def spans(spark, texts, sources=None):
     docs = frame(spark, [(i, t, (sources or "abcdefgh")[i % 8]) for i, t in enumerate(texts)])
     rows = secrets.find_secrets(docs).select("doc_id", secrets.joined(F.col("base")).alias("b"), secrets.joined(F.col("added")).alias("a"), "shared")
