@@ -73,6 +73,22 @@ def test_widely_copied_values_are_no_owners_secret(spark):
     assert secrets.find_secrets(frame(spark, [])).collect() == []
 
 
+def test_a_value_in_many_unlike_documents_of_one_owner_is_copied(spark):
+    example, live, other = "Zm9vYmFyYmF6cXV4MTIzNDU2", "QWxhZGRpbjpvcGVuIHNlc2FtZTEy", "c2VjcmV0b2ZvbmVvd25lcjE3"
+    words = lambda s, n: [f"{s}{n}x{j}" for j in range(30)]
+    near = lambda n: " ".join(w if j != n % 30 else f"new{n}" for j, w in enumerate(words("b", 0)))
+    texts = [f"{' '.join(words('a', i))} use {example} here" for i in range(60)]  # one owner, unlike documents: an example
+    texts += [f"{near(i)} use {live} here" for i in range(60)]  # one owner, near copies of one document: live
+    texts += [f"{' '.join(words('c', i))} use {other} here" for i in range(4)]  # one owner, few documents: live
+    texts += [f"{' '.join(words('d', 0))} password=abcdefgh1jklmnop"]
+    docs = frame(spark, [(i, t, "hot") for i, t in enumerate(texts)])
+    assert docs.where("doc_id = 0").select(F.size(F.array_distinct(secrets.sketch_of(F.col("text"))))).first()[0] == secrets.SKETCHES
+    out = {r.doc_id: len(r.added) for r in secrets.find_secrets(docs).collect()}
+    assert [out[i] for i in range(60)] == [0] * 60 and [out[i] for i in range(60, 125)] == [1] * 64 + [0]
+    clean = {r.row.doc_id: r.row.text for r in secrets.redact(docs).collect()}
+    assert clean[0] == texts[0] and live not in clean[70] and other not in clean[121] and clean[124].endswith(" [SECRET]")
+
+
 def test_redaction_merges_overlaps(spark):
     rows = [(1, "é apikey=0123456789abcdef end", "s"), (1, "é apikey=0123456789abcdef end", "s"), (None, None, None), (2, "clean", "s")]
     out = [r.row.text for r in secrets.redact(frame(spark, rows)).collect()]

@@ -2,7 +2,8 @@
 
 Fixed patterns give the base spans. Every other long token of letters and digits is a candidate. Candidates are
 aggregated over the corpus by the hash of their value: by distinct repositories and by distinct owners. A value that
-many owners have is a widely copied example; one that few have looks live, and its spans are added.
+many owners have, or that stands in many unlike repositories of each of its owners, is a widely copied example; any
+other looks live, and its spans are added.
 """
 
 from __future__ import annotations
@@ -33,6 +34,9 @@ KINDS = (
 TOKEN = ("owner", "[A-Za-z0-9+/_=-]{20,}", 0, 20)
 ORDER = {"assign": 0, "access": 1, "hex": 2, "owner": 3}
 
+#: Min-hashes of a text. Two near copies that share a part J of their shingles differ in all of them at (1 - J) to this power.
+SKETCHES = 8
+
 SPAN = "struct<start: int, rank: int, kind: string, end: int, value: bigint>"
 
 
@@ -64,8 +68,22 @@ def spans_of(frame: DataFrame, text: str, kind: str, pattern: str, group: int, l
     return frame.withColumn(out, spans).drop("__all")
 
 
+def sketch_of(text: Column) -> Column:
+    """Min-hashes of the runs of three words, so that near copies have some in common."""
+    words = F.split(text, "\\s+")
+    runs = F.transform(F.arrays_zip(words, F.slice(words, 2, F.size(words)), F.slice(words, 3, F.size(words))), lambda x: F.xxhash64(x))
+
+    def least(keys: Column, n: int) -> Column:
+        return F.array_min(F.transform(keys, lambda x: F.xxhash64(x, F.lit(n))))
+
+    return F.element_at(F.transform(F.array(runs), lambda keys: F.array(*[least(keys, n) for n in range(SKETCHES)])), 1)
+
+
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repository: str = "doc_id") -> DataFrame:
-    """(doc_id, key, owner, repository, base, more): base spans of every row, and candidates that overlap none of them."""
+    """(doc_id, key, owner, repository, base, more, sketch): base spans of every row, and candidates that overlap none of them.
+
+    ``sketch`` is null where a row has neither.
+    """
     rows = docs.select(
         F.col(doc_id).alias("doc_id"),
         F.xxhash64(F.col(doc_id), F.col(text)).alias("key"),
@@ -80,34 +98,53 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str
     base = F.array_sort(F.concat(*names[:-1]))
     more = F.filter("__owner", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     rows = rows.withColumn("base", base)
-    return rows.select("doc_id", "key", "owner", "repository", "base", more.alias("more"))
+    rows = rows.withColumn("more", more)
+    sketch = F.when(F.size("base") + F.size("more") > 0, sketch_of(F.col("text")))
+    return rows.select("doc_id", "key", "owner", "repository", "base", "more", sketch.alias("sketch"))
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
-    """(value, repositories, owners) of every candidate value in the corpus.
+    """(value, repositories, owners, unlike) of every candidate value in the corpus.
 
-    Pairs are made distinct before they are counted, so a value that everybody has meets in small partial sums.
+    ``unlike`` are the repositories whose text has no min-hash in common with another of the value and owner; all the
+    others of an owner, near copies, count as one. Pairs are made distinct before they are counted, so a value that
+    everybody has meets in small partial sums.
     """
     every = scanned.where(F.size("base") + F.size("more") > 0).select(
-        F.explode(F.transform(F.concat("base", "more"), lambda x: x["value"])).alias("value"), "owner", "repository"
+        F.explode(F.transform(F.concat("base", "more"), lambda x: x["value"])).alias("value"), "owner", "repository", "sketch"
     )
-    pairs = every.groupBy("value", "owner", "repository").agg(F.lit(1).alias("one"))
-    by_owner = pairs.groupBy("value", "owner").agg(F.count("*").alias("n"))
-    return by_owner.groupBy("value").agg(F.sum("n").alias("repositories"), F.count("*").alias("owners"))
+    pairs = every.groupBy("value", "owner", "repository").agg(F.min("sketch").alias("sketch"))
+    hashes = pairs.select("value", "owner", "repository", F.posexplode("sketch").alias("n", "least"))
+    held = hashes.groupBy("value", "owner", "n", "least").agg(F.count("*").alias("holders"), F.min("repository").alias("repository"))
+    own = F.count_if(F.col("holders") == 1)
+    by_repository = held.groupBy("value", "owner", "repository").agg((own == SKETCHES).alias("alone"))
+    alone = by_repository.groupBy("value", "owner").agg(F.count_if("alone").alias("alone"))
+    by_owner = pairs.groupBy("value", "owner").agg(F.count("*").alias("n")).join(alone, ["value", "owner"])
+    unlike = F.col("alone") + (F.col("n") > F.col("alone")).cast("int")
+    return by_owner.groupBy("value").agg(F.sum("n").alias("repositories"), F.count("*").alias("owners"), F.sum(unlike).alias("unlike"))
 
 
 def find_secrets(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repository: str = "doc_id", most_owners: int = 2
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    owner: str = "source",
+    repository: str = "doc_id",
+    most_owners: int = 2,
+    most_repositories: int = 10,
 ) -> DataFrame:
     """(doc_id, key, base, added, shared): spans of every row.
 
-    ``base`` are the spans of the fixed patterns, ``added`` the candidates whose value at most ``most_owners`` owners have,
-    ``shared`` the number of base spans whose value more owners have (copied examples; they stay). Spans are
+    ``base`` are the spans of the fixed patterns, ``added`` the candidates whose value is not copied, ``shared`` the
+    number of base spans whose value is (copied examples; they stay). A value is copied if more than ``most_owners``
+    owners have it, or if it has more than ``most_repositories`` unlike repositories for each owner. Spans are
     (start, rank, kind, end, value), in order, in code points. ``key`` is a hash of id and text, which equal rows share.
     A null text counts as empty, a null owner or repository as one of that name. Every row is returned.
     """
     scanned = stored(scan(docs, doc_id, text, owner, repository), "secret-scan")
-    owners = ownership(scanned).select("value", (F.col("owners") > most_owners).alias("copied"))
+    owners = ownership(scanned).select(
+        "value", ((F.col("owners") > most_owners) | (F.col("unlike") > F.col("owners") * most_repositories)).alias("copied")
+    )
     marked = (
         scanned.where(F.size("base") + F.size("more") > 0)
         .select("key", F.explode(F.concat("base", "more")).alias("span"))
@@ -134,7 +171,10 @@ def joined(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", mask: str = "[SECRET]", most_owners: int = 2) -> DataFrame:
-    """``row`` (all columns of ``docs``) with every base and added span of ``text`` replaced by ``mask``; overlapping spans are one."""
+    """``row`` (all columns of ``docs``) with every base and added span of ``text`` replaced by ``mask``; overlapping spans are one.
+
+    The fixed patterns are masked whether copied or not; of the other candidates only those that are not copied.
+    """
     found = find_secrets(docs, doc_id, text, owner, doc_id, most_owners)
     spans = F.array_sort(F.concat("base", "added"))
     hit = found.where(F.size(spans) > 0).select("key", spans.alias("spans")).dropDuplicates(["key"])
