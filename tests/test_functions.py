@@ -93,3 +93,9 @@ def test_hash_is_stable_under_repartition(spark):
     a = spark.range(100).select("id", C.unit_hash("id").alias("u")).orderBy("id").collect()
     b = spark.range(100).repartition(7).select("id", C.unit_hash("id").alias("u")).orderBy("id").collect()
     assert a == b and all(0 <= r["u"] < 1 for r in a)
+
+
+def test_ks_p_values_agree_across_the_exact_limit(spark):
+    points = [(n, z / n**0.5) for n in (2001.0, 2500.0) for z in (0.45, 0.6, 0.8, 1.0, 1.3, 1.7)]
+    got = spark.createDataFrame(points, "n double, d double").select("n", "d", S.ks_sf("n", "d").alias("p")).collect()
+    assert all(abs(r.p - (1 - S.kolmogorov_exact_cdf(int(r.n), r.d))) < 1e-7 for r in got)
