@@ -43,12 +43,19 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every class of near duplicates, the one of smallest id; of several rows with one id, one."""
-    classes = neardup.near_duplicates(docs)
-    first = classes.where("doc_id = component_id").select(F.col("doc_id").alias("__first"))
-    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("__first"))
-    kept = whole.join(first, "__first", "left_semi").dropDuplicates(["__first"]).select("row")
-    return _columns(kept.unionByName(whole.where("__first IS NULL").select("row")), docs)
+    """One text of every class of near duplicates, the one of smallest id (then of smallest key); of equal rows, one.
+
+    A key of id and text stands for a row, so rows that share an id but hold unlike texts are judged apart and all stay.
+    """
+    number = F.col("doc_id").cast("long")
+    key = F.xxhash64(number, F.coalesce("text", F.lit("")))
+    rows = docs.where(number.isNotNull())
+    classes = neardup.near_duplicates(rows.select(key.alias("doc_id"), "text")).select(F.col("doc_id").alias("__key"), "component_id")
+    ids = rows.select(key.alias("__key"), number.alias("__id")).distinct()
+    first = classes.join(ids, "__key").groupBy("component_id").agg(F.min(F.struct("__id", "__key")).alias("first")).select("first.*")
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), number.alias("__id"), key.alias("__key"))
+    kept = whole.join(first, ["__id", "__key"], "left_semi").groupBy("__id", "__key").agg(F.min("row").alias("row")).select("row")
+    return _columns(kept.unionByName(whole.where("__id IS NULL").select("row")), docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

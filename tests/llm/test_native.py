@@ -144,6 +144,13 @@ def test_registered(spark):
     assert set(ORACLES) <= set(QUERIES) and set(TABLES)
 
 
+def test_unlike_texts_of_one_id_all_stay(spark):
+    words = lambda s: " ".join(f"{s}{i}" for i in range(60))
+    rows = [(1, words("a"), "s"), (1, words("b"), "s"), (1, words("b"), "s"), (2, words("b") + " more", "s"), (2, words("c"), "s"), (3, "", "s"), (3, None, "s")]
+    kept = [(r.doc_id, (r.text or "")[:2]) for r in corpus_pipeline.keep_first_copies(spark, frame(spark, rows), SF).collect()]
+    assert sorted(kept) == [(1, "a0"), (1, "b0"), (2, "c0"), (3, "")]
+
+
 def test_pipeline_stages(spark):
     key = "password=abcdefghijklmnop"
     words = lambda n, s: " ".join(f"{s}{n}x{i}" for i in range(60))
