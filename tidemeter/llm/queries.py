@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemeter.llm import bpe, language_model, linededup, neardup, packing, postings, quality, secrets, topk, urlgraph
+from tidemeter.llm import bpe, decontamination, language_model, linededup, neardup, packing, postings, quality, resampling, secrets, topk, urlgraph, whitening
 from tidemeter.llm.common import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -219,3 +219,85 @@ def op2_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
     scored = quality.score_quality(docs, model).select("row.doc_id", "score", "predicted")
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights, scores and ranks of every document, a quarter of the long enough ones drawn towards the benchmark texts."""
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), buckets=10_000, longest=2, least_words=20, percent=25, seed=7)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: One table of the crc32, from its polynomial.
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+ORACLES["op11_importance_resampling"] = f"""
+WITH crc AS MATERIALIZED (SELECT {_CRC_TABLE} AS t),
+d AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT {_WORDS} AS w FROM benchmark),
+df AS MATERIALIZED (
+  SELECT doc_id, feature, count(*) AS n FROM (
+    SELECT doc_id, unnest(w) AS feature FROM d
+    UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM d
+  ) GROUP BY ALL
+), bf AS MATERIALIZED (
+  SELECT feature, count(*) AS n FROM (
+    SELECT unnest(w) AS feature FROM b
+    UNION ALL SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM b
+  ) GROUP BY ALL
+), f AS MATERIALIZED (SELECT DISTINCT feature, hex(encode(feature)) AS h FROM (SELECT feature FROM df UNION SELECT feature FROM bf)),
+g AS MATERIALIZED (
+  SELECT feature, xor(list_reduce(
+    list_prepend(4294967295, list_transform(range(0, len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+    lambda c, x: xor(t[1 + (xor(c, x) & 255)], c >> 8)), 4294967295) % 10000 AS bucket
+  FROM f, crc
+), s AS (SELECT bucket, sum(n) AS s FROM df JOIN g USING (feature) GROUP BY 1),
+t AS (SELECT bucket, sum(n) AS t FROM bf JOIN g USING (feature) GROUP BY 1),
+every AS (SELECT (SELECT coalesce(sum(n), 0) FROM df) AS sa, (SELECT coalesce(sum(n), 0) FROM bf) AS ta),
+gain AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (sa + 10000)::DOUBLE / ((s + 1)::DOUBLE * (ta + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (bucket), every
+), w AS (
+  SELECT doc_id, sum(n) AS n, sum(n * gain) AS total FROM df JOIN g USING (feature) JOIN gain USING (bucket) GROUP BY 1
+), x AS (
+  SELECT d.doc_id, len(w) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_features,
+    CAST(CASE WHEN n IS NULL THEN 0 ELSE (total - ((total % n) + n) % n) // n END AS BIGINT) AS weight,
+    CAST('0x' || substr(sha256('7:' || d.doc_id), 1, 8) AS BIGINT) AS h
+  FROM d LEFT JOIN w USING (doc_id)
+), y AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM x),
+z AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM y WHERE n_words >= 20),
+q AS (SELECT count(*) * 25 // 100 AS most FROM y WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= most THEN rank END AS rank FROM y LEFT JOIN z USING (doc_id), q
+"""
+
+
+@query
+def op12_exact_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the first 16 whitened components; tested against a brute-force version."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
+
+
+@query
+def op13_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stand in ten-word windows of benchmark items, and these items."""
+    found = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), length=10)
+    listed = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed, (F.col("n_hit") > 0).alias("contaminated"))
+
+
+ORACLES["op13_prefix_decontamination"] = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS MATERIALIZED (SELECT item_id, {_WORDS} AS w FROM benchmark),
+windows AS MATERIALIZED (
+  SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS run
+  FROM (SELECT item_id, w, least(10, len(w)) AS size, unnest(range(1, 2 + greatest(len(w) - 10, 0))) AS i FROM b WHERE len(w) > 0)
+), places AS MATERIALIZED (
+  SELECT doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') AS run
+  FROM (SELECT doc_id, w, size, unnest(range(1, 2 + len(w) - size)) AS i FROM d, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size)
+), hits AS MATERIALIZED (SELECT doc_id, i, size, item_id FROM places JOIN windows USING (size, run)),
+words AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS place FROM hits) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, words.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
