@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import tap_frame
 from tidemeter.operators import cluster, curves, density, dispersion, goodness, hawkes, intensity, process, ranktests, rates, smoothing
-from tidemeter.operators import split, trips
+from tidemeter.operators import linkage, split, trips
 from tidemeter.sources import facts as facts_io
 from tidemeter.sources import ledger as ledger_io
 from tidemeter.sources import stations as stations_io
@@ -66,17 +66,26 @@ def test_batches(spark):
 
 def test_split_operators_agree_with_one_sort_and_spread_a_hot_key(spark):
     rng = random.Random(1)
-    rows = [("hot" if rng.random() < 0.5 else f"k{rng.randrange(20)}", rng.randrange(10_000), i) for i in range(3000)]
-    df = spark.createDataFrame(rows, "k string, t int, id int").withColumn("chunk", F.floor(F.col("t") / 500)).withColumn("one", F.lit(1))
-    run = split.running_total(df, ["k"], "chunk", ["t", "id"], {"c": "one"})
-    prev = split.previous_row(df, ["k"], "chunk", ["t", "id"], ["id"], "p")
+    rows = [("hot" if rng.random() < 0.9 else f"k{rng.randrange(20)}", int(rng.paretovariate(0.3)) % 10**9, i) for i in range(12_000)]
+    rows += [(None, 5, 20_000 + i) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, t int, id int").withColumn("one", F.lit(1)).repartition(5)
+    both = split.in_order(df, ["k"], ["t", "id"], totals={"c": "one"}, before=("p", ["id"]))
     pdf = pd.DataFrame(rows, columns=["k", "t", "id"]).sort_values(["k", "t", "id"])
-    expected = dict(zip(pdf["id"], zip(pdf.groupby("k").cumcount() + 1, pdf.groupby("k")["id"].shift(1))))
-    for r in run.collect():
-        assert r["c"] == expected[r["id"]][0]
-    for r in prev.collect():
-        want = expected[r["id"]][1]
-        assert (r["p"] is None and want != want) or r["p"]["id"] == want
+    grouped = pdf.groupby("k", dropna=False)
+    expected = dict(zip(pdf["id"], zip(grouped.cumcount() + 1, grouped["id"].shift(1))))
+    found = both.collect()
+    assert len(found) == len(rows)
+    for r in found:
+        count, before = expected[r["id"]]
+        assert r["c"] == count and ((r["p"] is None and before != before) or r["p"]["id"] == before)
+    sizes = [r["count"] for r in split.cut(df, ["k"], ["t", "id"]).where("k = 'hot'").groupBy("_piece").count().collect()]
+    assert len(sizes) > 20 and max(sizes) <= 3 * len(rows) / (4 * 8)
+
+
+def test_split_operators_without_keys_and_rows(spark):
+    df = spark.createDataFrame([(i * 37 % 1000,) for i in range(1000)], "t int").withColumn("one", F.lit(1))
+    assert all(r["c"] == r["t"] + 1 for r in split.running_total(df, [], ["t"], {"c": "one"}).collect())
+    assert split.running_total(df.where("t < 0"), [], ["t"], {"c": "one"}).collect() == []
 
 
 def test_ranks_with_a_value_that_dominates(spark):
@@ -217,6 +226,12 @@ def test_decay_recursion(spark):
     assert r["s_total"] == pytest.approx(sum(s)) and r["s_last"] == pytest.approx(s[-1])
 
 
+def nb_log_likelihood(k, mean, counts):
+    r = 1 / k
+    gammas = sum(math.lgamma(v + r) - math.lgamma(r) - math.lgamma(v + 1) for v in counts)
+    return gammas - ((counts + r) * np.log1p(k * mean)).sum() + (counts * np.log(k * mean)).sum()
+
+
 def test_nb_dispersion_is_a_maximum(spark):
     taps, _ = random_taps(spark, 400, hot_second=40)
     grid = intensity.kernel_intensity(taps).persist()
@@ -224,8 +239,9 @@ def test_nb_dispersion_is_a_maximum(spark):
     rows = grid.collect()
     mean = np.maximum([r["intensity"] for r in rows], 1e-6)
     counts = np.array([r["n"] for r in rows], float)
-    for factor in (0.8, 0.95, 1.05, 1.25):
-        assert dispersion.nb_log_likelihood(fit["k"] * factor, mean, counts) <= fit["loglik"] + 1e-7
+    assert fit["loglik"] == pytest.approx(nb_log_likelihood(fit["k"], mean, counts))
+    for factor in (0.8, 0.999, 1.001, 1.25):
+        assert nb_log_likelihood(fit["k"] * factor, mean, counts) <= fit["loglik"] + 1e-9
     pit = dispersion.randomised_pit(grid, dispersion.fit_k(grid))
     stats = pit.agg(F.min("u"), F.max("u"), F.count("u")).first()
     assert 0 <= stats[0] and stats[1] <= 1 and stats[2] == len(rows)
@@ -261,22 +277,126 @@ def test_pair_correlation_matches_all_pairs(spark):
     df = spark.createDataFrame(rows, "station string, date_type string, curve array<double>").repartition(4)
     got = cluster.pair_correlation(df, ["station", "date_type"]).first()
     r = np.corrcoef(data)[np.triu_indices(12, 1)]
-    assert got["n_days"] == 12
+    assert (got["n_days"], got["n_curves"]) == (13, 12)  # the flat day counts as a day
     assert (got["mean_corr"], got["std_corr"]) == (pytest.approx(r.mean()), pytest.approx(r.std()))
 
 
-def test_average_linkage_matches_mean_pair_distances():
+def unit_rows(rng, n, width=6):
+    z = rng.random((n, width)) + 2 * np.eye(width)[rng.integers(0, width, n)]
+    z -= z.mean(axis=1, keepdims=True)
+    return z / np.linalg.norm(z, axis=1, keepdims=True)
+
+
+def plain_linkage(z, k):
+    """Closest pair first, by mean distances kept up to date."""
+    gap = 1 - z @ z.T
+    np.fill_diagonal(gap, np.inf)
+    size, members = np.ones(len(z)), {i: [i] for i in range(len(z))}
+    while len(members) > k:
+        i, j = sorted(np.unravel_index(gap.argmin(), gap.shape))
+        gap[i] = (size[i] * gap[i] + size[j] * gap[j]) / (size[i] + size[j])
+        gap[:, i] = gap[i]
+        gap[i, i], gap[j], gap[:, j] = np.inf, np.inf, np.inf
+        size[i] += size[j]
+        members[i] += members.pop(j)
+    return {frozenset(m) for m in members.values()}
+
+
+@pytest.mark.parametrize("sizes, block", [((20, 1, 3), 1024), ((257,), 64), ((500, 40), 1024)])
+def test_average_linkage_equals_plain_linkage(spark, monkeypatch, sizes, block):
+    monkeypatch.setattr(linkage, "BLOCK", block)
     rng = np.random.default_rng(2)
-    z = rng.random((15, 6))
-    z = z - z.mean(axis=1, keepdims=True)
-    z /= np.linalg.norm(z, axis=1, keepdims=True)
-    groups = [[i] for i in range(15)]
-    while len(groups) > 4:
-        pairs = [(np.mean([1 - z[i] @ z[j] for i in a for j in b]), p, q) for p, a in enumerate(groups) for q, b in enumerate(groups) if p < q]
-        _, p, q = min(pairs)
-        groups[p] += groups.pop(q)
-    labels = cluster.average_linkage(z, np.ones(15), 4)
-    assert {frozenset(np.flatnonzero(labels == c)) for c in set(labels)} == {frozenset(g) for g in groups}
+    z = {f"T{t}": unit_rows(rng, n) for t, n in enumerate(sizes)}
+    rows = [(f"{i:04d}", t, x.tolist()) for t, part in z.items() for i, x in enumerate(part)]
+    curves = spark.createDataFrame([*rows, ("flat", "T0", [1.0] * 6)], "station string, date_type string, curve array<double>")
+    got = cluster.hierarchy(curves, 4).toPandas()
+    assert len(got) == len(rows)
+    for t, part in z.items():
+        of = got[got["date_type"] == t]
+        found = [frozenset(g["station"].astype(int)) for _, g in of.groupby("cluster")]
+        assert set(found) == plain_linkage(part, 4) and [min(g) for g in found] == sorted(min(g) for g in found)
+
+
+def blobs(spark, sizes, width=5):
+    rng = np.random.default_rng(8)
+    x = {f"T{t}": rng.normal(size=(n, width)) + 3 * rng.integers(0, 3, (n, 1)) for t, n in enumerate(sizes)}
+    rows = [(f"{i:03d}", t, v.tolist()) for t, part in x.items() for i, v in enumerate(part)]
+    return x, spark.createDataFrame(rows, "station string, date_type string, curve array<double>").repartition(4)
+
+
+def scaled(x):
+    return (x - x.mean(axis=0)) / x.std(axis=0)
+
+
+def start(x, date_type, k, seed):
+    import hashlib
+
+    picked = [min(range(len(x)), key=lambda i: hashlib.md5(f"{seed}:{i:03d}".encode()).hexdigest())]
+    while len(picked) < k:
+        picked.append(int(((x[:, None] - x[picked][None]) ** 2).sum(axis=2).min(axis=1).argmax()))
+    return x[picked]
+
+
+def plain_lloyd(x, centres):
+    while True:
+        label = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        moved = np.array([x[label == c].mean(axis=0) if (label == c).any() else centres[c] for c in range(len(centres))])
+        if np.allclose(moved, centres, atol=1e-9):
+            return label
+        centres = moved
+
+
+def test_kmeans_and_stability_against_plain_lloyd(spark):
+    x, df = blobs(spark, (60, 45, 2))
+    got = {(r["date_type"], int(r["station"])): r["cluster"] for r in cluster.kmeans_by_type(df, {"T0": 3, "T1": 4}).collect()}
+    labels = {t: plain_lloyd(scaled(x[t]), start(scaled(x[t]), t, k, 42)) for t, k in (("T0", 3), ("T1", 4))}
+    assert got == {(t, i): c for t, of in labels.items() for i, c in enumerate(of)}
+    for r in cluster.stability(df, k_values=(2, 3), seeds=(0, 42)).collect():
+        z, k = scaled(x[r["date_type"]]), r["n_clusters"]
+        a, b = (plain_lloyd(z, start(z, r["date_type"], k, s)) for s in (0, 42))
+        gap = ((z[:, None] - z[None]) ** 2).sum(axis=2)
+        own = np.array([gap[i, a == a[i]].sum() / max((a == a[i]).sum() - 1, 1) for i in range(len(z))])
+        other = np.array([min(gap[i, a == c].mean() for c in set(a) - {a[i]}) for i in range(len(z))])
+        assert r["silhouette"] == pytest.approx(((other - own) / np.maximum(own, other)).mean())
+        pairs = spark.createDataFrame(list(zip(a.tolist(), b.tolist())), "a int, b int")
+        assert r["mean_ari"] == pytest.approx(cluster.adjusted_rand(pairs, [], "a", "b").first()["ari"])
+
+
+def test_mixtures_against_plain_em(spark):
+    x, df = blobs(spark, (60, 4), width=7)  # four stations of seven positions: only the ridge makes the covariance regular
+    got = {(r["date_type"], int(r["station"])): r["cluster"] for r in cluster.mixture_by_type(df, {"T0": 3, "T1": 2}).collect()}
+    assert len(got) == 64
+    for t, k in (("T0", 3), ("T1", 2)):
+        z = scaled(x[t])
+        r = np.eye(k)[((z[:, None] - start(z, t, k, 42)[None]) ** 2).sum(axis=2).argmin(axis=1)]
+        before = -np.inf
+        for _ in range(100):
+            n = r.sum(axis=0)
+            means = r.T @ z / n[:, None]
+            spread = [(z - m).T @ ((z - m) * r[:, [c]]) / n[c] + 1e-6 * np.eye(7) for c, m in enumerate(means)]
+            logs = np.stack(
+                [np.log(n[c] / len(z)) - 0.5 * (7 * np.log(2 * np.pi) + np.linalg.slogdet(s)[1] + np.einsum("ij,ij->i", (z - m) @ np.linalg.inv(s), z - m)) for c, (m, s) in enumerate(zip(means, spread))],
+                axis=1,
+            )
+            value = np.log(np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)) + logs.max(axis=1)
+            r = np.exp(logs - value[:, None])
+            if value.mean() - before < 1e-3:
+                break
+            before = value.mean()
+        assert [got[t, i] for i in range(len(z))] == logs.argmax(axis=1).tolist()
+
+
+def test_projection_against_eigenvectors(spark):
+    x, df = blobs(spark, (30, 12, 1))
+    got = {(r["date_type"], int(r["station"])): r for r in cluster.projection(df).collect()}
+    assert len(got) == 42
+    for t in ("T0", "T1"):
+        z = x[t] - x[t].mean(axis=0)
+        _, s, v = np.linalg.svd(z)
+        assert got[t, 0]["explained2"] == pytest.approx(s[1] ** 2 / (s * s).sum())
+        for c in (0, 1):
+            sign = np.sign(v[c][np.abs(v[c]).argmax()])
+            assert [got[t, i][f"pc{c + 1}"] for i in range(len(z))] == pytest.approx((z @ v[c] * sign).tolist())
 
 
 def test_normality_against_direct_formulas(spark):

@@ -1,78 +1,119 @@
-"""Bootstrap, likelihood and residuals of negative-binomial minute counts.
+"""Bootstrap, likelihood and residuals of negative-binomial minute counts, all as expressions.
 
-Each group is the minute grid of one station-day: at most 1141 rows. The numerical step on that
-grid is a small numpy function; Spark distributes the station-days.
+A group is the minute grid of one station-day: at most 1141 minutes.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemeter.functions import columns as C
+from tidemeter.functions import special as S
+from tidemeter.functions.columns import let
 from tidemeter.operators.intensity import DAY
 
+#: Weights of a Poisson bootstrap end here: a larger one has a chance below 1e-11.
+MOST_WEIGHT = 13
+#: Uniform numbers of 32 bits that one digest holds.
+PIECES = 4
+
+
+def poisson_bounds() -> list[float]:
+    """Chances that a Poisson variable of mean one is at most 0, 1, 2, ..."""
+    terms = [math.exp(-1) / math.factorial(k) for k in range(MOST_WEIGHT)]
+    return [sum(terms[: k + 1]) for k in range(MOST_WEIGHT)]
+
+
+def bootstrap_weight(u: Column) -> Column:
+    """Number of times that a row with uniform number ``u`` enters a resample."""
+    weight = F.lit(MOST_WEIGHT)
+    for k, bound in reversed(list(enumerate(poisson_bounds()))):
+        weight = F.when(u < F.lit(bound), F.lit(k)).otherwise(weight)
+    return weight
+
 
 def bootstrap_k(series: DataFrame, replicates: int = 200, seed: int = 42) -> DataFrame:
     """Mean and 95 percent interval of the moment dispersion over resampled minutes.
 
-    The generator is seeded by a hash of the station-day, so the result does not depend on partitioning.
+    Every minute enters every resample with a Poisson weight from a digest of its key and the number of the resample, so all
+    resamples are one aggregate and the result does not depend on partitioning.
     """
-    keyed = series.withColumn("_seed", F.abs(F.xxhash64(*DAY, F.lit(seed))))
+    groups = F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // PIECES) - 1))).alias("g")
+    digest = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in (*DAY, "minute", "g")], F.lit(str(seed))))
+    pieces = F.array(*[F.conv(F.substring("digest", 1 + 8 * p, 8), 16, 10).cast("bigint") / F.lit(float(2**32)) for p in range(PIECES)])
+    drawn = series.select(*DAY, "minute", "n", groups).withColumn("digest", digest).select(*DAY, "n", "g", F.posexplode(pieces).alias("p", "u"))
+    weighted = drawn.where(F.col("g") * PIECES + F.col("p") < replicates).withColumn("w", bootstrap_weight(F.col("u")))
+    w, n = F.col("w"), F.col("n")
+    sums = weighted.groupBy(*DAY, "g", "p").agg(F.sum(w).alias("size"), F.sum(w * n).alias("total"), F.sum(w * n * n).alias("square"))
+    mean = F.col("total") / F.col("size")
+    var = (F.col("square") - F.col("total") * mean) / (F.col("size") - 1)
+    k = F.when((F.col("total") > 0) & (F.col("size") > 1), F.greatest((var - mean) / (mean * mean), F.lit(0.0))).otherwise(F.lit(0.0))
+    at = F.percentile("k", [0.025, 0.975])
+    return sums.select(*DAY, k.alias("k")).groupBy(*DAY).agg(F.avg("k").alias("k_mean"), at.alias("q")).select(
+        *DAY, "k_mean", F.col("q")[0].alias("k_low"), F.col("q")[1].alias("k_high")
+    )
 
-    def resample(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts = pdf.sort_values("minute")["n"].to_numpy(float)
-        rng = np.random.default_rng(int(pdf["_seed"].iloc[0]))
-        drawn = counts[rng.integers(0, len(counts), (replicates, len(counts)))]
-        mean, var = drawn.mean(axis=1), drawn.var(axis=1, ddof=1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            k = np.where(mean > 0, np.maximum((var - mean) / mean**2, 0.0), 0.0)
-        low, high = np.percentile(k, [2.5, 97.5])
-        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in DAY}, "k_mean": [k.mean()], "k_low": [low], "k_high": [high]})
 
-    return keyed.groupBy(*DAY).applyInPandas(resample, "station string, date date, k_mean double, k_low double, k_high double")
+def _below(n: Column) -> Column:
+    """0, 1, ..., n - 1; empty for 0."""
+    return F.when(n > 0, F.sequence(F.lit(0), n.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def nb_log_likelihood(k: float, mean: np.ndarray, counts: np.ndarray) -> float:
-    r = 1.0 / k
-    values, times = np.unique(counts, return_counts=True)
-    gammas = sum(t * (math.lgamma(v + r) - math.lgamma(r) - math.lgamma(v + 1)) for v, t in zip(values, times))
-    return float(gammas - ((counts + r) * np.log1p(k * mean)).sum() + (counts * np.log(k * mean)).sum())
+def _sum(values: Column, term) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda total, x: total + term(x))
 
 
-def fit_k(grid: DataFrame, low: float = 1e-8, high: float = 1e3) -> DataFrame:
-    """Maximum-likelihood dispersion given the intensity at every minute.
+def nb_score(grid: Column, k: Column) -> Column:
+    """Derivative of the log-likelihood in log k, up to a positive factor, over structs (n, m) of counts and means.
 
-    A coarse grid over log k brackets the maximum, golden-section steps narrow it.
+    Differences of digamma functions at whole distances are finite sums, so no series is needed.
     """
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        mean = np.maximum(pdf["intensity"].to_numpy(float), 1e-6)
-        counts = pdf["n"].to_numpy(float)
-        value = lambda log_k: nb_log_likelihood(math.exp(log_k), mean, counts)
-        coarse = np.linspace(math.log(low), math.log(high), 41)
-        best = int(np.argmax([value(x) for x in coarse]))
-        a, b = coarse[max(best - 1, 0)], coarse[min(best + 1, len(coarse) - 1)]
-        golden = (math.sqrt(5) - 1) / 2
-        c, d = b - golden * (b - a), a + golden * (b - a)
-        fc, fd = value(c), value(d)
-        while b - a > 1e-7:
-            if fc > fd:
-                b, d, fd = d, c, fc
-                c = b - golden * (b - a)
-                fc = value(c)
-            else:
-                a, c, fc = c, d, fd
-                d = a + golden * (b - a)
-                fd = value(d)
-        top = (a + b) / 2
-        return pd.DataFrame({**{x: [pdf[x].iloc[0]] for x in DAY}, "k": [math.exp(top)], "loglik": [value(top)]})
-
-    return grid.groupBy(*DAY).applyInPandas(fit, "station string, date date, k double, loglik double")
+    def term(e: Column) -> Column:
+        n, m = e["n"], e["m"]
+        gammas = F.when(n > 0, _sum(_below(n), lambda j: k / (1 + k * j))).otherwise(F.lit(0.0))
+        return F.log1p(k * m) - k * (m - n) / (1 + k * m) - gammas
+
+    return _sum(grid, term)
+
+
+def nb_log_likelihood(grid: Column, k: Column) -> Column:
+    """Log-likelihood of counts with the given means and dispersion k over structs (n, m)."""
+
+    def term(e: Column) -> Column:
+        n, m = e["n"], e["m"]
+        gammas = F.when(n > 0, _sum(_below(n), lambda j: F.log1p(k * j))).otherwise(F.lit(0.0))
+        return gammas + n * F.log(m) - S.lgamma(n + F.lit(1.0)) - (n + 1 / k) * F.log1p(k * m)
+
+    return _sum(grid, term)
+
+
+#: Halvings of the range of log k.
+HALVINGS = 50
+
+
+def fit_k(grid: DataFrame, low: float = 1e-8, high: float = 1e3) -> DataFrame:
+    """Maximum-likelihood dispersion given the intensity at every minute: the place in log k where the score crosses zero.
+
+    A day whose score is not positive at ``low`` is not overdispersed and gets ``low``.
+    """
+    minute = F.struct("n", F.greatest(F.col("intensity"), F.lit(1e-6)).alias("m"))
+    days = grid.groupBy(*DAY).agg(F.collect_list(minute).alias("grid"))
+
+    def halve(box: Column) -> Column:
+        middle = (box["low"] + box["high"]) / 2
+        rises = lambda at: nb_score(F.col("grid"), F.exp(at)) > 0
+        half = lambda up, at: F.struct(F.when(up, at).otherwise(box["low"]).alias("low"), F.when(up, box["high"]).otherwise(at).alias("high"))
+        return let(middle, lambda at: let(rises(at), lambda up: half(up, at)))
+
+    steps = F.sequence(F.lit(1), F.lit(HALVINGS))
+    start = F.struct(F.lit(math.log(low)).alias("low"), F.lit(math.log(high)).alias("high"))
+    found = days.withColumn("box", F.aggregate(steps, start, lambda box, _: halve(box)))
+    fitted = found.select(*DAY, "grid", F.exp(F.col("box.low")).alias("k"))
+    return fitted.select(*DAY, "k", nb_log_likelihood(F.col("grid"), F.col("k")).alias("loglik"))
 
 
 def randomised_pit(grid: DataFrame, k: DataFrame, seed: int = 42) -> DataFrame:

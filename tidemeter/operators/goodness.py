@@ -9,6 +9,7 @@ from tidemeter.functions import columns as C
 from tidemeter.functions import special as S
 from tidemeter.functions.columns import let
 from tidemeter.operators.split import rank_ranges, running_total, value_histogram
+from tidemeter.session import stored
 
 CDFS = {
     "uniform": lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)),
@@ -16,17 +17,14 @@ CDFS = {
 }
 
 
-def ks_statistic(df: DataFrame, keys: list[str], value: str, cdf: str, chunks: int = 1024, weight: str | None = None) -> DataFrame:
+def ks_statistic(df: DataFrame, keys: list[str], value: str, cdf: str, weight: str | None = None) -> DataFrame:
     """Largest distance between the empirical distribution and a fixed one.
 
-    The model's own CDF cuts the values into ranges, so ranges fill evenly when the model holds, and
-    equal values are merged before ranking. ``weight`` gives how often a row's value occurs.
+    Equal values are merged before ranking. ``weight`` gives how often a row's value occurs.
     """
     amount = F.sum(weight) if weight else F.count(F.lit(1))
-    hist = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(amount.alias("c"))
-    scored = hist.withColumn("f", CDFS[cdf](F.col(value)))
-    scored = scored.withColumn("_chunk", F.floor(F.col("f") * chunks))
-    ranked = running_total(scored, keys, "_chunk", [value], {"upto": "c"})
+    hist = stored(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(amount.alias("c")), "values")
+    ranked = running_total(hist, keys, [value], {"upto": "c"}).withColumn("f", CDFS[cdf](F.col(value)))
     sizes = hist.groupBy(*keys).agg(F.sum("c").alias("n"))
     n = F.col("n")
     gap = F.greatest(F.col("upto") / n - F.col("f"), F.col("f") - (F.col("upto") - F.col("c")) / n)

@@ -8,15 +8,16 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemeter.functions import columns as C
+from tidemeter.functions.columns import let
 from tidemeter.operators.goodness import ks_test, ljung_box, shifted_correlation
 from tidemeter.operators.intensity import DAY, LAST_MINUTE, kernel_intensity, open_taps, trapezoid
+from tidemeter.session import stored
 
+#: Bounds of alpha and beta, per minute.
 LOW, HIGH = 1e-8, 1e3
 
 
@@ -46,132 +47,122 @@ def with_baseline(seconds: DataFrame, grid: DataFrame) -> DataFrame:
     )
 
 
-def excitation(t: np.ndarray, n: np.ndarray, beta: np.ndarray) -> np.ndarray:
-    """Decayed number of earlier taps at the first tap of every second, one column per beta."""
-    out = np.zeros((len(t), len(beta)))
-    decay = np.exp(-np.diff(t)[:, None] * beta[None, :])
-    for i in range(1, len(t)):
-        out[i] = decay[i - 1] * (out[i - 1] + n[i - 1])
-    return out
+#: Largest exponent of one chunk of the scan; what lies two chunks back weighs less than exp(-SPAN).
+SPAN = 500.0
 
 
-BUSY_SECOND = 64
+def decayed(events: DataFrame, keys: list[str], beta: str = "beta") -> DataFrame:
+    """``s``: earlier taps of the key at the first tap of every second, each weighted by exp(-beta * age in minutes).
 
+    A scan over pairs of (decay, sum): within chunks of time in which beta spans ``SPAN`` the sum is a running total of
+    growing weights, a chunk hands its total to the next one with the decay between them, and each row adds both.
+    """
+    first = events.groupBy(*keys).agg(F.min("t").alias("_t0"))
+    width = F.lit(SPAN) / F.col(beta)
+    rows = events.join(first, keys).withColumn("_u", F.col("t") - F.col("_t0"))
+    rows = rows.withColumn("_chunk", F.floor(F.col("_u") / width)).withColumn("_in", F.col(beta) * (F.col("_u") - F.col("_chunk") * width))
+    grown = F.col("n") * F.exp("_in")
+    by_chunk = [*keys, "_chunk"]
+    within = Window.partitionBy(*by_chunk).orderBy("second").rowsBetween(Window.unboundedPreceding, -1)
+    handed = rows.groupBy(*keys, (F.col("_chunk") + 1).alias("_chunk")).agg(F.sum(grown).alias("_handed"))
+    both = rows.withColumn("_own", F.coalesce(F.sum(grown).over(within), F.lit(0.0))).join(handed, by_chunk, "left")
+    s = (F.col("_own") + F.coalesce("_handed", F.lit(0.0)) * math.exp(-SPAN)) * F.exp(-F.col("_in"))
+    return both.withColumn("s", s).drop("_t0", "_u", "_chunk", "_in", "_own", "_handed")
 
-def _stirling(x: np.ndarray) -> np.ndarray:
-    """Log gamma for positive arguments, shifted by seven."""
-    y = x + 7
-    shift = sum(np.log(x + i) for i in range(7))
-    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
 
+#: Cells of the likelihood grid on each side, and rounds, each of which halves the grid's width around its best cell.
+CELLS, ROUNDS = 9, 14
+#: Log-likelihoods are compared to so many digits; ties go to the smaller beta, then to the smaller alpha.
+DIGITS = 6
 
-def _digamma(x: np.ndarray) -> np.ndarray:
-    y = x + 7
-    shift = sum(1 / (x + i) for i in range(7))
-    return np.log(y) - 1 / (2 * y) - 1 / (12 * y**2) + 1 / (120 * y**4) - 1 / (252 * y**6) - shift
 
+def _log_sum(mu: Column, n: Column, s: Column, alpha: Column) -> Column:
+    """Sum of the log intensities of the taps of one second, which stand at s, s + 1, ..., s + n - 1."""
+    log = lambda x: F.log(F.greatest(mu + alpha * x, F.lit(1e-300)))
+    many = F.aggregate(F.sequence(F.lit(0).cast("long"), n - 1), F.lit(0.0), lambda total, j: total + log(s + j))
+    return F.when(n == 1, log(s)).otherwise(many)
 
-class _DayLikelihood:
-    """Sums over taps for one beta. The taps of one second stand at s, s + 1, ..., s + n - 1.
 
-    Ordinary seconds are expanded (at most ``BUSY_SECOND`` taps each); busier ones use gamma-function
-    differences, so memory follows the seconds of a day and not its taps.
-    """
+def _likelihoods(events: Column, betas: Column, alphas: Column, end: Column) -> Column:
+    """Struct of log sums, one for each cell of the grid, and exposures, one for each beta, in one fold over the seconds of a day."""
 
-    def __init__(self, s: np.ndarray, n: np.ndarray, mu: np.ndarray):
-        plain = n <= BUSY_SECOND
-        counts = n[plain]
-        index = np.repeat(np.arange(len(counts)), counts)
-        self.x = s[plain][index] + np.arange(len(index)) - np.repeat(np.cumsum(counts) - counts, counts)
-        self.m = mu[plain][index]
-        self.s, self.n, self.mu = s[~plain], n[~plain].astype(float), mu[~plain]
-
-    def slope(self, alpha: float) -> tuple[float, float]:
-        """Derivative of the log sum in alpha, and an upper estimate of how fast it falls."""
-        share = self.x / (self.m + alpha * self.x)
-        value, fall = share.sum(), (share * share).sum()
-        if len(self.n):
-            c = self.mu / alpha
-            busy = (self.n - c * (_digamma(c + self.s + self.n) - _digamma(c + self.s))) / alpha
-            value, fall = value + busy.sum(), fall + (busy / alpha).sum()
-        return float(value), float(fall)
-
-    def best_alpha(self, exposure: float, start: float) -> float:
-        """Root of the falling function slope - exposure: Newton steps kept inside a bracket."""
-        low, high, alpha = LOW, HIGH, min(max(start, LOW), HIGH)
-        for _ in range(80):
-            value, fall = self.slope(alpha)
-            gap = value - exposure
-            low, high = (alpha, high) if gap > 0 else (low, alpha)
-            step = alpha + gap / fall if fall > 0 else high if gap > 0 else low
-            following = step if low < step < high else math.sqrt(low * high)
-            if abs(following - alpha) <= 1e-12 * alpha:
-                return following
-            alpha = following
-        return alpha
-
-    def log_sum(self, alpha: float) -> float:
-        value = np.log(np.maximum(self.m + alpha * self.x, 1e-300)).sum()
-        if len(self.n):
-            c = self.mu / alpha + self.s
-            value += (self.n * math.log(alpha) + _stirling(c + self.n) - _stirling(c)).sum()
-        return float(value)
-
-
-def _profile(t, n, mu, mass, end, beta):
-    """Best alpha and log-likelihood for each beta; the likelihood is concave in alpha."""
-    s = excitation(t, n, beta)
-    exposure = (n.sum() - (n[:, None] * np.exp(-(end - t)[:, None] * beta[None, :])).sum(axis=0)) / beta
-    alphas, values = np.empty(len(beta)), np.empty(len(beta))
-    for j in range(len(beta)):
-        day = _DayLikelihood(s[:, j], n, mu)
-        alpha = day.best_alpha(exposure[j], beta[j] / 2)
-        alphas[j] = alpha
-        values[j] = day.log_sum(alpha) - mass - alpha * exposure[j]
-    return alphas, values
-
-
-def _best(t, n, mu, mass, end, rounds: int = 5, width: int = 13):
-    grid = np.linspace(math.log(LOW), math.log(HIGH), 2 * width - 1)
-    for _ in range(rounds):
-        alphas, values = _profile(t, n, mu, mass, end, np.exp(grid))
-        top = int(np.argmax(values))
-        found = (alphas[top], math.exp(grid[top]), values[top])
-        grid = np.linspace(grid[max(top - 1, 0)], grid[min(top + 1, len(grid) - 1)], width)
-    return found
-
-
-FIT_SCHEMA = (
-    "station string, date date, second int, t double, n bigint, tau double, alpha double, beta double, loglik double, events bigint"
-)
+    def step(acc: Column, e: Column) -> Column:
+        n = e["n"]
+        s = F.zip_with(acc["held"], betas, lambda h, b: h * F.exp(-b * (e["t"] - acc["t"])))
 
+        def following(s: Column) -> Column:
+            value = lambda v, k: v + _log_sum(e["mu"], n, F.get(s, F.floor(k / CELLS).cast("int")), F.get(alphas, k % CELLS))
+            seen = lambda x, b: x + n * (1 - F.exp(-b * (end - e["t"]))) / b
+            return F.struct(
+                e["t"].alias("t"),
+                F.transform(s, lambda x: x + n).alias("held"),
+                F.transform(acc["value"], value).alias("value"),
+                F.zip_with(acc["exposure"], betas, seen).alias("exposure"),
+            )
 
-def fit(taps: DataFrame, bandwidth: float = 5.0, end: float = float(LAST_MINUTE)) -> DataFrame:
-    """Rows per event second with the fitted parameters of its day and the rescaled gap ``tau``.
+        return let(s, following)
 
-    Alpha is maximised exactly for each beta, beta by a grid over its whole range that is narrowed five
-    times. ``tau`` is the gap from the previous event second; the other taps of the same second follow at
-    distance 0.
-    """
-    events = with_baseline(event_seconds(taps), kernel_intensity(taps, bandwidth))
-
-    def fit_day(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("second").reset_index(drop=True)
-        t, n, mu = pdf["t"].to_numpy(float), pdf["n"].to_numpy(np.int64), pdf["mu"].to_numpy(float)
-        last = max(end, float(t[-1]))
-        alpha, beta, value = _best(t, n, mu, float(pdf["mass"].iloc[0]), last)
-        s = excitation(t, n, np.array([beta]))[:, 0]
-        earlier = np.cumsum(n) - n
-        level = pdf["base"].to_numpy(float) + alpha / beta * (earlier - s)
-        tau = np.diff(level, prepend=np.nan)
-        return pd.DataFrame(
-            {
-                "station": pdf["station"], "date": pdf["date"], "second": pdf["second"], "t": t, "n": n, "tau": tau,
-                "alpha": alpha, "beta": beta, "loglik": value, "events": int(n.sum()),
-            }
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    start = F.struct(F.lit(0.0).alias("t"), zeros(CELLS).alias("held"), zeros(CELLS * CELLS).alias("value"), zeros(CELLS).alias("exposure"))
+    return F.aggregate(events, start, step)
+
+
+def _cells(low: Column, step: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: F.exp(low + i * step))
+
+
+def _narrowed(box: Column, events: Column, mass: Column, end: Column) -> Column:
+    """The grid of half the width around the best cell of ``box``; the best cell is one of the new grid's."""
+    step = box["step"]
+    bottom, top = F.lit(math.log(LOW)), F.lit(math.log(HIGH))
+
+    def placed(centre: Column) -> Column:
+        half = step / 2
+        return F.least(F.greatest(centre - half * (CELLS // 2), bottom), top - half * (CELLS - 1))
+
+    def chosen(alphas: Column, found: Column) -> Column:
+        total = lambda v, k: v - mass - F.get(alphas, k % CELLS) * F.get(found["exposure"], F.floor(k / CELLS).cast("int"))
+        scored = F.transform(found["value"], lambda v, k: F.struct(F.round(total(v, k), DIGITS).alias("value"), (-k).alias("k")))
+        return F.array_max(scored)
+
+    def moved(best: Column) -> Column:
+        b = box["b"] + F.floor(-best["k"] / CELLS) * step
+        a = box["a"] + (-best["k"] % CELLS) * step
+        return F.struct(
+            placed(b).alias("b"), placed(a).alias("a"), (step / 2).alias("step"),
+            F.exp(b).alias("beta"), F.exp(a).alias("alpha"), best["value"].alias("loglik"),
         )
 
-    return events.groupBy(*DAY).applyInPandas(fit_day, FIT_SCHEMA)
+    def search(betas: Column, alphas: Column) -> Column:
+        return let(_likelihoods(events, betas, alphas, end), lambda found: let(chosen(alphas, found), moved))
+
+    return let(_cells(box["b"], step), lambda betas: let(_cells(box["a"], step), lambda alphas: search(betas, alphas)))
+
+
+def fit(taps: DataFrame, bandwidth: float = 5.0, end: float = float(LAST_MINUTE)) -> DataFrame:
+    """Rows per event second with the fitted parameters of its day and the rescaled gap ``tau``, as a stored table.
+
+    The log-likelihood is taken on a grid over the whole range of log alpha and log beta, which is narrowed ``ROUNDS``
+    times. All of it is one expression over the seconds of a day, an array that the clock bounds. ``tau`` is the gap
+    from the previous event second; the other taps of the same second follow at distance 0.
+    """
+    events = stored(with_baseline(event_seconds(taps), kernel_intensity(taps, bandwidth)), "hawkes-events")
+    ordered = F.array_sort(F.collect_list(F.struct("t", "n", "mu")))
+    days = events.groupBy(*DAY).agg(
+        ordered.alias("ev"), F.max("mass").alias("mass"), F.greatest(F.lit(end), F.max("t")).alias("end"), F.sum("n").alias("events")
+    )
+    low, step = F.lit(math.log(LOW)), F.lit((math.log(HIGH) - math.log(LOW)) / (CELLS - 1))
+    none = [F.lit(None).cast("double").alias(c) for c in ("beta", "alpha", "loglik")]
+    box = F.struct(low.alias("b"), low.alias("a"), step.alias("step"), *none)
+    rounds = F.sequence(F.lit(1), F.lit(ROUNDS))
+    best = F.aggregate(rounds, box, lambda held, _: _narrowed(held, F.col("ev"), F.col("mass"), F.col("end")))
+    fitted = days.select(*DAY, "events", best.alias("f")).select(*DAY, "events", "f.alpha", "f.beta", "f.loglik")
+    rows = decayed(events.join(fitted, DAY), DAY)
+    day = Window.partitionBy(*DAY).orderBy("second")
+    earlier = F.coalesce(F.sum("n").over(day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    level = F.col("base") + F.col("alpha") / F.col("beta") * (earlier - F.col("s"))
+    rows = rows.withColumn("level", level).withColumn("tau", F.col("level") - F.lag("level").over(day))
+    return stored(rows.select(*DAY, "second", "t", "n", "tau", "alpha", "beta", "loglik", "events"), "hawkes-fit")
 
 
 def parameters(fitted: DataFrame) -> DataFrame:
@@ -199,29 +190,13 @@ def residual_autocorrelation(fitted: DataFrame, lags: int = 39) -> DataFrame:
 
 
 def decay_sums(taps: DataFrame, betas: list[float]) -> DataFrame:
-    """Exponential-decay recursion S = exp(-beta gap)(1 + S) over each day's event seconds, per beta.
+    """Exponential-decay recursion S = exp(-beta gap)(1 + S) over each day's taps, per beta: the last value and the sum over taps.
 
-    Returns the last value and the sum over taps. The fold runs inside Spark over an array bounded by
-    the seconds of a day; tied taps count once each.
+    Further taps of one second stand one higher each.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("second", "t", "n")))
-    days = event_seconds(taps).groupBy(*DAY).agg(ordered.alias("ev"))
-    rows = days.withColumn("beta", F.explode(F.array(*[F.lit(float(b)) for b in betas])))
-    zero = F.struct(
-        F.lit(0.0).alias("s"), F.lit(0.0).alias("total"), F.get("ev", F.lit(0))["t"].alias("t"), F.lit(0.0).alias("held")
-    )
-
-    def step(acc, e):
-        # first tap of the second decays everything before it; each further tap adds one
-        n = e["n"].cast("double")
-        first = F.exp(-F.col("beta") * (e["t"] - acc["t"])) * acc["held"]
-        return F.struct(
-            (first + n - 1).alias("s"),
-            (acc["total"] + n * first + n * (n - 1) / 2).alias("total"),
-            e["t"].alias("t"),
-            (first + n).alias("held"),
-        )
-
-    return rows.select(*DAY, "beta", F.aggregate("ev", zero, step).alias("f")).select(
-        *DAY, "beta", F.col("f.s").alias("s_last"), F.col("f.total").alias("s_total")
+    rows = event_seconds(taps).withColumn("beta", F.explode(F.array(*[F.lit(float(b)) for b in betas])))
+    n = F.col("n")
+    scanned = decayed(rows, [*DAY, "beta"])
+    return scanned.groupBy(*DAY, "beta").agg(
+        F.max_by(F.col("s") + n - 1, "second").alias("s_last"), F.sum(n * F.col("s") + n * (n - 1) / 2).alias("s_total")
     )

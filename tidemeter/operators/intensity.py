@@ -10,7 +10,8 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from tidemeter.functions import columns as C
-from tidemeter.operators.split import previous_row, time_chunk
+from tidemeter.operators.split import previous_row
+from tidemeter.session import stored
 
 FIRST_MINUTE, LAST_MINUTE = 240, 1380
 GRID = LAST_MINUTE - FIRST_MINUTE + 1
@@ -145,6 +146,6 @@ def variance_curve(binned: DataFrame, k: DataFrame, points: int = 200) -> DataFr
 def rescaled_increments(taps: DataFrame, bandwidth: float = 5.0, tiebreak: str = "event_id") -> DataFrame:
     """Compensator differences between consecutive taps, interpolated at their exact times."""
     cumulative = trapezoid(kernel_intensity(taps, bandwidth))
-    level = interpolated(taps, cumulative, "integral", "level").withColumn("_chunk", time_chunk("ts", 1))
-    paired = previous_row(level.select(*DAY, "ts", tiebreak, "level", "_chunk"), DAY, "_chunk", ["ts", tiebreak], ["level"], "before")
+    level = interpolated(taps, cumulative, "integral", "level").select(*DAY, "ts", tiebreak, "level")
+    paired = previous_row(stored(level, "levels"), DAY, ["ts", tiebreak], ["level"], "before")
     return paired.select(*DAY, "ts", tiebreak, (F.col("level") - F.col("before.level")).alias("tau")).where("tau IS NOT NULL")

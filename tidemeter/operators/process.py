@@ -8,28 +8,27 @@ from pyspark.sql import functions as F
 from tidemeter.functions import columns as C
 from tidemeter.functions import special as S
 from tidemeter.operators.goodness import ks_statistic
-from tidemeter.operators.split import previous_row, time_chunk
+from tidemeter.operators.split import in_order, previous_row
 from tidemeter.operators.trips import batches
+from tidemeter.session import stored
 
 SEGMENT = ["station", "date", "segment"]
 
 
 def _windowed(taps: DataFrame, minutes: int, segment_minutes: int, at_least: int, tiebreak: str) -> DataFrame:
-    """Taps with their window, position and window size; windows with too few taps are dropped.
-
-    Windows are a few minutes long, which bounds the rows of one sort even for a busy station.
-    """
-    window = Window.partitionBy("station", "window")
-    placed = taps.withColumn("window", C.floor_minutes("ts", minutes)).withColumn("size", F.count(F.lit(1)).over(window))
-    kept = placed.where(F.col("size") >= at_least)
-    return kept.select(
+    """Taps with window, position, window size and the time of the tap before; windows with too few taps are dropped."""
+    placed = taps.select("station", C.floor_minutes("ts", minutes).alias("window"), "ts", tiebreak, F.lit(1).alias("_one"))
+    sizes = placed.groupBy("station", "window").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= at_least)
+    ordered = in_order(placed, ["station", "window"], ["ts", tiebreak], totals={"j": "_one"}, before=("_before", ["ts"]))
+    return ordered.join(sizes, ["station", "window"]).select(
         "station",
         F.to_date("window").alias("date"),
         F.floor(C.minute_of_day("window") / segment_minutes).cast("int").alias("segment"),
         "window",
         "size",
-        F.row_number().over(window.orderBy("ts", tiebreak)).alias("j"),
+        "j",
         C.seconds_between("ts", "window").alias("t"),
+        F.coalesce(C.seconds_between("_before.ts", "window"), F.lit(0.0)).alias("t_before"),
         F.lit(float(minutes * 60)).alias("length"),
     )
 
@@ -37,16 +36,18 @@ def _windowed(taps: DataFrame, minutes: int, segment_minutes: int, at_least: int
 def arrival_transforms(
     taps: DataFrame, minutes: int = 5, segment_minutes: int = 60, at_least: int = 2, tiebreak: str = "event_id"
 ) -> DataFrame:
-    """Conditional-uniform, logarithmic and Lewis-Durbin transforms of the taps of each window."""
+    """Conditional-uniform, logarithmic and Lewis-Durbin transforms of the taps of each window.
+
+    With spacings c in rising order, Lewis' sum of (size + 2 - i) (c_i - c_(i - 1)) up to j is the sum of c up to j plus
+    (size + 1 - j) c_j, so it takes one more order.
+    """
     rows = _windowed(taps, minutes, segment_minutes, at_least, tiebreak)
     group = ["station", "window"]
-    in_order = Window.partitionBy(*group).orderBy("j")
-    before = F.coalesce(F.lag("t").over(in_order), F.lit(0.0))
     ratio = (F.col("length") - F.col("t")) / (F.col("length") - F.col("t_before"))
-    timed = (
-        rows.withColumn("t_before", before)
-        .withColumn("cu", F.col("t") / F.col("length"))
-        .withColumn("log_exp", -(F.col("size") + 1 - F.col("j")) * F.log(F.greatest(ratio, F.lit(1e-12))))
+    timed = stored(
+        rows.withColumn("cu", F.col("t") / F.col("length"))
+        .withColumn("log_exp", -(F.col("size") + 1 - F.col("j")) * F.log(F.greatest(ratio, F.lit(1e-12)))),
+        "transforms",
     )
     spacing = (F.col("t") - F.col("t_before")) / F.col("length")
     is_last = F.col("j") == F.col("size")
@@ -54,12 +55,9 @@ def arrival_transforms(
     gaps = timed.select(
         *group, "size", F.explode(F.when(is_last, F.array(spacing, tail)).otherwise(F.array(spacing))).alias("c")
     )
-    by_size = Window.partitionBy(*group).orderBy("c")
-    ranked = gaps.withColumn("j", F.row_number().over(by_size)).withColumn(
-        "z", (F.col("size") + 2 - F.col("j")) * (F.col("c") - F.coalesce(F.lag("c").over(by_size), F.lit(0.0)))
-    )
-    summed = ranked.withColumn("lewis", F.sum("z").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    return timed.join(summed.select(*group, "j", "lewis"), [*group, "j"]).select(
+    summed = in_order(gaps.withColumn("_one", F.lit(1)), group, ["c"], totals={"j": "_one", "_sum": "c"})
+    lewis = F.col("_sum") + (F.col("size") + 1 - F.col("j")) * F.col("c")
+    return timed.join(summed.select(*group, "j", lewis.alias("lewis")), [*group, "j"]).select(
         *SEGMENT, "window", "j", "size", "cu", "log_exp", "lewis"
     )
 
@@ -110,15 +108,14 @@ def piecewise_rescaled(
     level = rows.select(
         *SEGMENT, "window", "ts", tiebreak, (F.col("base") + F.col("n") * fraction).alias("level")
     )
-    paired = previous_row(level, SEGMENT, "window", ["ts", tiebreak], ["level"], "before")
+    paired = previous_row(level, SEGMENT, ["ts", tiebreak], ["level"], "before", taps.count())
     return paired.select(*SEGMENT, "ts", tiebreak, (F.col("level") - F.col("before.level")).alias("tau")).where("tau IS NOT NULL")
 
 
 def event_gaps(taps: DataFrame, keys: list[str], tiebreak: str = "event_id") -> DataFrame:
     """Seconds since the previous tap of the key."""
-    chunked = taps.withColumn("_chunk", time_chunk("ts"))
-    paired = previous_row(chunked, keys, "_chunk", ["ts", tiebreak], ["ts"], "before")
-    return paired.withColumn("gap_s", C.seconds_between("ts", "before.ts")).drop("before", "_chunk")
+    paired = previous_row(taps, keys, ["ts", tiebreak], ["ts"], "before")
+    return paired.withColumn("gap_s", C.seconds_between("ts", "before.ts")).drop("before")
 
 
 def cameron_trivedi(minute_counts: DataFrame, keys: list[str]) -> DataFrame:

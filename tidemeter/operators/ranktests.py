@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tidemeter.functions import special as S
 from tidemeter.operators.curves import points
-from tidemeter.operators.split import rank_ranges, value_histogram
+from tidemeter.operators.split import rank_ranges, running_total, value_histogram
+from tidemeter.session import stored
 
 
 def average_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -19,33 +20,38 @@ def average_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return rank_ranges(df, keys, value).withColumn("avg_rank", F.col("upto") - (F.col("n") - 1) / 2)
 
 
-def _rank_sums(df: DataFrame, keys: list[str], label: str, value: str) -> tuple[DataFrame, DataFrame]:
-    """Size and rank sum per label, and the tie term per key."""
-    ranks = average_ranks(df, keys, value)
-    labelled = value_histogram(df, keys, [label], value)
-    sums = (
-        labelled.join(ranks.select(*keys, value, "avg_rank"), [*keys, value])
-        .groupBy(*keys, label)
-        .agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("avg_rank")).alias("rank_sum"))
+def _rank_sums(df: DataFrame, keys: list[str], label: str, value: str) -> DataFrame:
+    """Size and rank sum per label, and its part of the tie term (which stands with the first label of each value).
+
+    The histogram is made once; a distinct value is one row with its few labels, so one sort ranks all labels.
+    """
+    labels = value_histogram(df, keys, [label], value).groupBy(*keys, value)
+    hist = labels.agg(F.sum("n").alias("all"), F.collect_list(F.struct(F.col(label), "n")).alias("labels"))
+    ranked = running_total(stored(hist, "ranks"), keys, [value], {"upto": "all"})
+    ranked = ranked.withColumn("avg_rank", F.col("upto") - (F.col("all") - 1) / 2)
+    rows = ranked.select(*keys, "all", "avg_rank", F.posexplode("labels").alias("i", "l")).select(*keys, "all", "avg_rank", "i", "l.*")
+    every = F.col("all").cast("double")
+    return rows.groupBy(*keys, label).agg(
+        F.sum("n").alias("n"),
+        F.sum(F.col("n") * F.col("avg_rank")).alias("rank_sum"),
+        F.sum(F.when(F.col("i") == 0, every * every * every - every)).alias("ties"),
     )
-    n = F.col("n").cast("double")
-    ties = ranks.groupBy(*keys).agg(F.sum(n * n * n - n).alias("ties"))
-    return sums, ties
 
 
 def kruskal(df: DataFrame, keys: list[str], label: str, value: str) -> DataFrame:
     """Kruskal-Wallis H with tie correction and chi-square p-value; keys with one label are left out."""
-    sums, ties = _rank_sums(df.where(F.col(label).isNotNull()), keys, label, value)
+    sums = _rank_sums(df.where(F.col(label).isNotNull()), keys, label, value)
     grouped = sums.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_groups"),
         F.sum("n").alias("n"),
         F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")).alias("ss"),
+        F.sum("ties").alias("ties"),
     )
     n = F.col("n").cast("double")
     raw = F.lit(12.0) / (n * (n + 1)) * F.col("ss") - 3 * (n + 1)
     correction = 1 - F.col("ties") / (n * n * n - n)
     h = F.when(correction > 0, raw / correction)
-    out = grouped.where("n_groups > 1").join(ties, keys).withColumn("h_stat", h)
+    out = grouped.where("n_groups > 1").withColumn("h_stat", h)
     return out.withColumn("p_value", S.chi2_sf(F.col("h_stat"), F.col("n_groups") - 1)).select(
         *keys, "n_groups", "n", "h_stat", "p_value"
     )
@@ -67,13 +73,14 @@ def monthly_stability(facts: DataFrame, value: str) -> DataFrame:
 def mann_whitney(df: DataFrame, keys: list[str], label: str, first, second, value: str) -> DataFrame:
     """U of the first sample and the two-sided normal p-value with tie and continuity correction."""
     two = df.where(F.col(label).isin(first, second))
-    sums, ties = _rank_sums(two, keys, label, value)
+    sums = _rank_sums(two, keys, label, value)
 
     def of(which, column):
         return F.coalesce(F.sum(F.when(F.col(label) == which, F.col(column))), F.lit(0))
 
     wide = sums.groupBy(*keys).agg(
-        of(first, "n").alias("n1"), of(second, "n").alias("n2"), of(first, "rank_sum").alias("r1")
+        of(first, "n").alias("n1"), of(second, "n").alias("n2"), of(first, "rank_sum").alias("r1"),
+        F.sum("ties").alias("ties"),
     )
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
@@ -82,7 +89,6 @@ def mann_whitney(df: DataFrame, keys: list[str], label: str, first, second, valu
     z = (F.greatest(F.col("u_stat"), n1 * n2 - F.col("u_stat")) - n1 * n2 / 2 - 0.5) / F.col("_sd")
     return (
         wide.where("n1 > 0 AND n2 > 0")
-        .join(ties, keys)
         .withColumn("u_stat", u)
         .withColumn("_sd", sd)
         .withColumn("p_value", F.when(F.col("_sd") > 0, F.least(F.lit(1.0), 2 * S.normal_sf(z))).otherwise(F.lit(1.0)))

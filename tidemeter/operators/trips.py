@@ -6,16 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemeter.functions import columns as C
-from tidemeter.operators.split import previous_row, running_total, time_chunk
+from tidemeter.operators.split import along, cut, previous_row
 
-CHUNK_HOURS = 6
 
-
-def trips(taps: DataFrame, tiebreak: str = "event_id", chunk_hours: int = CHUNK_HOURS) -> DataFrame:
+def trips(taps: DataFrame, tiebreak: str = "event_id") -> DataFrame:
     """A trip per card whenever two consecutive taps are at different stations."""
     clean = taps.where("station IS NOT NULL AND card IS NOT NULL").select("card", "ts", "station", tiebreak)
-    chunked = clean.withColumn("_chunk", time_chunk("ts", chunk_hours))
-    paired = previous_row(chunked, ["card"], "_chunk", ["ts", tiebreak], ["ts", "station"], "before")
+    paired = previous_row(clean, ["card"], ["ts", tiebreak], ["ts", "station"], "before")
     return paired.where(F.col("before.station") != F.col("station")).select(
         "card",
         F.col("before.station").alias("origin"),
@@ -101,18 +98,20 @@ def two_tap_gaps(taps: DataFrame) -> DataFrame:
 
 def batches(taps: DataFrame, gap_s: float = 5.0, keys: list[str] | None = None, tiebreak: str = "event_id") -> DataFrame:
     """Collapse bursts: a batch ends where the gap to the next tap exceeds ``gap_s``; its first tap remains."""
-    keys = keys or ["station"]
-    chunked = taps.withColumn("_chunk", time_chunk("ts"))
-    gaps = previous_row(chunked, keys, "_chunk", ["ts", tiebreak], ["ts"], "before")
-    gap = C.seconds_between("ts", "before.ts")
-    return gaps.where(gap.isNull() | (gap > gap_s)).drop("before", "_chunk")
+    return numbered_batches(taps, gap_s, keys, tiebreak, numbers=False).where("first").drop("first")
 
 
 def batch_ids(taps: DataFrame, gap_s: float = 5.0, keys: list[str] | None = None, tiebreak: str = "event_id") -> DataFrame:
     """Number every tap with its batch, counted from 1 per key."""
-    keys = keys or ["station"]
-    chunked = taps.withColumn("_chunk", time_chunk("ts"))
-    gaps = previous_row(chunked, keys, "_chunk", ["ts", tiebreak], ["ts"], "before")
-    gap = C.seconds_between("ts", "before.ts")
-    flagged = gaps.withColumn("_opens", F.when(gap.isNull() | (gap > gap_s), 1).otherwise(0))
-    return running_total(flagged, keys, "_chunk", ["ts", tiebreak], {"batch": "_opens"}).drop("before", "_opens", "_chunk")
+    return numbered_batches(taps, gap_s, keys, tiebreak).drop("first")
+
+
+def numbered_batches(taps: DataFrame, gap_s: float = 5.0, keys: list[str] | None = None, tiebreak: str = "event_id", numbers: bool = True) -> DataFrame:
+    """Every tap with ``first``, whether it opens a batch, and with the number of its ``batch``; one sort serves both."""
+    keys, order = keys or ["station"], ["ts", tiebreak]
+    gaps = along(cut(taps, keys, order), keys, order, before=("_before", ["ts"]))
+    gap = C.seconds_between("ts", "_before.ts")
+    flagged = gaps.withColumn("first", gap.isNull() | (gap > gap_s)).drop("_before")
+    if numbers:
+        flagged = along(flagged.withColumn("_opens", F.col("first").cast("int")), keys, order, totals={"batch": "_opens"}).drop("_opens")
+    return flagged.drop("_piece", "_hot")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemeter.functions import columns as C
-from tidemeter.operators import cluster, curves, density, goodness, hawkes, intensity, process, rates, sampling, trips
+from tidemeter.operators import cluster, curves, density, dispersion, goodness, hawkes, intensity, process, rates, sampling, split, trips
 from tidemeter.operators import ranktests
 from tidemeter.plans import oracle as O
 from tidemeter.plans.registry import day, query, rounded, stamp
@@ -176,7 +176,7 @@ SELECT station, label AS date_type, count(*) AS pairs, round(sum(r), 6) AS sum_r
 def curve_pair_sums(spark: SparkSession, sf: str) -> DataFrame:
     """Number and summed correlation of all curve pairs of a group, from the Gram identity."""
     pairs = cluster.pair_correlation(aligned_curves(spark, sf), ["station", "date_type"])
-    n = F.col("n_days") * (F.col("n_days") - 1) / 2
+    n = F.col("n_curves") * (F.col("n_curves") - 1) / 2
     return rounded(pairs.select("station", "date_type", n.cast("bigint").alias("pairs"), (F.col("mean_corr") * n).alias("sum_r")))
 
 
@@ -476,12 +476,20 @@ def moment_dispersion(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("a25_bootstrap_dispersion")
-def bootstrap_dispersion(spark: SparkSession, sf: str) -> DataFrame:
-    from tidemeter.operators.dispersion import bootstrap_k
+BOUNDS_SQL = f"[{', '.join(f'{b!r}e0' for b in dispersion.poisson_bounds())}]"
+
 
+@query(
+    "a25_bootstrap_dispersion",
+    f"""WITH {O.minute_series()}, dg AS (SELECT station, d, n, g, md5(station || '|' || d || '|' || minute || '|' || g || '|42') AS h FROM series, (SELECT unnest(range(50)) AS g)),
+w AS (SELECT station, d, n, g, p, len(list_filter({BOUNDS_SQL}, lambda b: b <= CAST('0x' || substr(h, 1 + 8 * p, 8) AS BIGINT) / 4294967296e0)) AS w FROM dg, (SELECT unnest(range(4)) AS p)),
+s AS (SELECT station, d, sum(w) AS size, sum(w * n) AS total, sum(w * n * n) AS square FROM w GROUP BY station, d, g, p),
+k AS (SELECT station, d, CASE WHEN total > 0 AND size > 1 THEN greatest(((square - total * total / size) / (size - 1) - total / size) / pow(total / size, 2), 0) ELSE 0 END AS k FROM s)
+SELECT station, {O.day('d')} AS date, round(avg(k), 6) AS k_mean, round(quantile_cont(k, 0.025), 6) AS k_low, round(quantile_cont(k, 0.975), 6) AS k_high FROM k GROUP BY ALL""",
+)
+def bootstrap_dispersion(spark: SparkSession, sf: str) -> DataFrame:
     series = intensity.minute_series(intensity.minute_counts(tables.taps(spark, sf)))
-    return rounded(bootstrap_k(series).select("station", day("date").alias("date"), "k_mean", "k_low", "k_high"))
+    return rounded(dispersion.bootstrap_k(series).select("station", day("date").alias("date"), "k_mean", "k_low", "k_high"))
 
 
 @query(
@@ -536,7 +544,7 @@ def destination_shares_by_window(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "a30_curve_correlation",
     f"""WITH {O.curves(60, 10, 20)}, {PAIRS_SQL.format(label='day_of_week', where='')},
-d AS (SELECT station, day_of_week AS label, count(DISTINCT (year, month, day)) AS n_days FROM z WHERE norm > 1e-12 GROUP BY ALL)
+d AS (SELECT station, day_of_week AS label, count(DISTINCT (year, month, day)) AS n_days FROM z GROUP BY ALL)
 SELECT p.station, label AS day_of_week, max(n_days) AS n_days, round(avg(r), 6) AS mean_corr, round(stddev_pop(r), 6) AS std_corr
 FROM pr p JOIN d USING (station, label) GROUP BY ALL""",
 )
@@ -609,10 +617,7 @@ def adjusted_rand(spark: SparkSession, sf: str) -> DataFrame:
 FROM taps WINDOW w AS (PARTITION BY card ORDER BY ts, event_id)""",
 )
 def previous_tap(spark: SparkSession, sf: str) -> DataFrame:
-    from tidemeter.operators.split import previous_row, time_chunk
-
-    chunked = tables.taps(spark, sf).withColumn("_chunk", time_chunk("ts"))
-    paired = previous_row(chunked, ["card"], "_chunk", ["ts", "event_id"], ["ts", "station"], "p")
+    paired = split.previous_row(tables.taps(spark, sf), ["card"], ["ts", "event_id"], ["ts", "station"], "p")
     return paired.select("event_id", F.col("p.station").alias("previous"), stamp("p.ts", True).alias("previous_ts"))
 
 
@@ -658,11 +663,7 @@ SELECT event_id, CAST(sum(CASE WHEN gap IS NULL OR gap > 600 * 1000000 THEN 1 EL
 )
 def gap_batches(spark: SparkSession, sf: str) -> DataFrame:
     """Batches with a ten-minute gap, since the test events are minutes apart."""
-    taps = tables.taps(spark, sf)
-    firsts = trips.batches(taps, 600.0).select("event_id", F.lit(True).alias("first"))
-    return trips.batch_ids(taps, 600.0).join(firsts, "event_id", "left").select(
-        "event_id", "batch", F.coalesce("first", F.lit(False)).alias("first")
-    )
+    return trips.numbered_batches(tables.taps(spark, sf), 600.0).select("event_id", "batch", "first")
 
 
 @query(

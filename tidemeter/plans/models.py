@@ -63,13 +63,44 @@ def average_model_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(curves.evaluate_average_curve(_facts(spark, sf), "count_in", BIN))
 
 
-@query("m7_nb_dispersion")
+#: log(1 + x) by its series where x is small, as DuckDB has no log1p.
+LOG1P = "(CASE WHEN abs({0}) < 1e-3 THEN {0} - pow({0}, 2) / 2 + pow({0}, 3) / 3 - pow({0}, 4) / 4 + pow({0}, 5) / 5 ELSE ln(1 + {0}) END)"
+
+
+def _dispersion_sql(halvings: int = dispersion.HALVINGS) -> str:
+    """CTEs ending in fitted(station, d, k, loglik): the score's crossing by written-out halvings of log k from 1e-8 to 1e3."""
+    km = LOG1P.format("(k * m)")
+    parts = [f"""{O.minute_grid()}, nm AS MATERIALIZED (SELECT station, d, n, greatest(lam, 1e-6) AS m FROM grid),
+h_0 AS MATERIALIZED (SELECT station, d, ln(1e-8) AS low, ln(1e3) AS high FROM nm GROUP BY ALL)"""]
+    for r in range(1, halvings + 1):
+        parts.append(f"""h_{r} AS MATERIALIZED (
+  SELECT station, d, CASE WHEN score > 0 THEN (low + high) / 2 ELSE low END AS low, CASE WHEN score > 0 THEN high ELSE (low + high) / 2 END AS high FROM (
+    SELECT station, d, low, high, sum({km} - k * (m - n) / (1 + k * m) - coalesce(list_sum(list_transform(range(n), lambda j: k / (1 + k * j))), 0)) AS score
+    FROM (SELECT *, exp((low + high) / 2) AS k FROM nm JOIN h_{r - 1} USING (station, d)) GROUP BY ALL))""")
+    gammas = "coalesce(list_sum(list_transform(range(n), lambda j: " + LOG1P.format("(k * j)") + ")), 0)"
+    parts.append(f"""fitted AS (SELECT station, d, k, sum({gammas} + n * ln(m) - lgamma(n + 1) - (n + 1 / k) * {km}) AS loglik
+  FROM (SELECT station, d, n, m, exp(low) AS k FROM nm JOIN h_{halvings} USING (station, d)) GROUP BY ALL)""")
+    return ",\n".join(parts)
+
+
+@query(
+    "m7_nb_dispersion",
+    f"""WITH {_dispersion_sql()} SELECT station, {O.day('d')} AS date, round(k, 4) AS k, round(loglik, 4) AS loglik FROM fitted""",
+)
 def nb_dispersion(spark: SparkSession, sf: str) -> DataFrame:
     fitted = dispersion.fit_k(intensity.kernel_intensity(tables.taps(spark, sf)))
     return rounded(fitted.select("station", day("date").alias("date"), "k", "loglik"), 4)
 
 
-@query("m8_randomised_pit")
+@query(
+    "m8_randomised_pit",
+    f"""WITH {O.minute_grid()},
+mk AS (SELECT station, d, 1 / greatest((var_samp(n) - avg(n)) / (avg(n) * avg(n)), 1e-8) AS r FROM grid GROUP BY ALL),
+rq AS (SELECT station, d, minute, n, r, greatest(lam, 1e-6) AS mu, greatest(lam, 1e-6) / (greatest(lam, 1e-6) + r) AS q FROM grid JOIN mk USING (station, d)),
+pr AS (SELECT *, list_transform(range(n + 1), lambda i: exp(-r * {LOG1P.format('(mu / r)')}) * coalesce(list_product(list_transform(range(1, i + 1), lambda j: (j - 1 + r) / j * q)), 1)) AS p FROM rq)
+SELECT station, {O.day('d')} AS date, CAST(minute AS INT) AS minute, n,
+ round(least(1e0, coalesce(list_sum(p[1:n]), 0) + {O.unit_hash(42, 'station', 'd', 'minute')} * p[n + 1]), 6) AS u FROM pr""",
+)
 def randomised_pit(spark: SparkSession, sf: str) -> DataFrame:
     """Residuals with the moment estimate of k, whose value does not depend on an optimiser."""
     grid = intensity.kernel_intensity(tables.taps(spark, sf))
@@ -77,7 +108,40 @@ def randomised_pit(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(residuals.select("station", day("date").alias("date"), "minute", "n", "u"))
 
 
-@query("m9_self_exciting_fit")
+def _fit_sql(rounds: int = hawkes.ROUNDS) -> str:
+    """CTEs ending in fitted(station, d, alpha, beta, loglik): decayed sums over all pairs of seconds of a day, a grid of nine by
+    nine that is halved around its best cell in every written-out round. Bounds are 1e-8 and 1e3 on both axes."""
+    day = "PARTITION BY station, d ORDER BY minute"
+    parts = [f"""{O.minute_grid()},
+area AS (SELECT *, coalesce((lam + lag(lam) OVER ({day})) / 2, 0) AS area FROM grid),
+run AS (SELECT *, sum(area) OVER ({day}) AS a FROM area),
+edge AS (SELECT *, coalesce(lead(lam) OVER ({day}), lam) AS y1, coalesce(lead(a) OVER ({day}), a) AS a1, max(a) OVER (PARTITION BY station, d) AS mass FROM run),
+es AS (SELECT station, CAST(ts AS DATE) AS d, hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS sec, count(*) AS n FROM taps WHERE {O.OPEN} GROUP BY ALL),
+ev AS MATERIALIZED (SELECT es.station, es.d, sec, sec / 60e0 AS t, es.n, lam + (y1 - lam) * (sec / 60e0 - minute) AS mu, a + (a1 - a) * (sec / 60e0 - minute) AS base, mass
+  FROM es JOIN edge e ON e.station = es.station AND e.d = es.d AND e.minute = sec // 60),
+dy AS MATERIALIZED (SELECT station, d, max(mass) AS mass, greatest(1380e0, max(t)) AS fin, sum(n) AS events FROM ev GROUP BY ALL),
+nine AS MATERIALIZED (SELECT unnest(range(9)) AS i),
+box_0 AS MATERIALIZED (SELECT station, d, ln(1e-8) AS b, ln(1e-8) AS a, (ln(1e3) - ln(1e-8)) / 8 AS w, 0e0 AS beta, 0e0 AS alpha, 0e0 AS loglik FROM dy)"""]
+    for r in range(1, rounds + 1):
+        placed = "least(greatest({0} + {1} * w - 4 * w / 2, ln(1e-8)), ln(1e3) - 8 * w / 2)"
+        parts.append(f"""c_{r} AS MATERIALIZED (SELECT station, d, i, exp(b + i * w) AS beta FROM box_{r - 1}, nine),
+s_{r} AS MATERIALIZED (SELECT e.station, e.d, e.sec, c.i, e.n, e.mu, coalesce(sum(p.n * exp(-c.beta * (e.t - p.t))), 0) AS s
+  FROM ev e JOIN c_{r} c ON c.station = e.station AND c.d = e.d LEFT JOIN ev p ON p.station = e.station AND p.d = e.d AND p.sec < e.sec
+  GROUP BY e.station, e.d, e.sec, c.i, e.n, e.mu),
+x_{r} AS MATERIALIZED (SELECT station, d, i, sum(n * (1 - exp(-beta * (fin - t))) / beta) AS x FROM ev JOIN c_{r} USING (station, d) JOIN dy USING (station, d) GROUP BY ALL),
+l_{r} AS MATERIALIZED (SELECT s.station, s.d, s.i, j.i AS j, sum(ln(greatest(s.mu + exp(a + j.i * w) * (s.s + q), 1e-300))) AS v
+  FROM (SELECT *, unnest(range(n)) AS q FROM s_{r}) s JOIN box_{r - 1} USING (station, d), nine j GROUP BY ALL),
+v_{r} AS (SELECT l.station, l.d, l.i, j, round(v - mass - exp(a + j * w) * x, 6) AS v, b, a, w FROM l_{r} l JOIN x_{r} USING (station, d, i) JOIN box_{r - 1} USING (station, d) JOIN dy USING (station, d)),
+box_{r} AS MATERIALIZED (SELECT station, d, {placed.format("b", "i")} AS b, {placed.format("a", "j")} AS a, w / 2 AS w, exp(b + i * w) AS beta, exp(a + j * w) AS alpha, v AS loglik
+  FROM v_{r} QUALIFY row_number() OVER (PARTITION BY station, d ORDER BY v DESC, i, j) = 1)""")
+    return ",\n".join(parts) + f",\nfitted AS (SELECT * FROM box_{rounds})"
+
+
+@query(
+    "m9_self_exciting_fit",
+    f"""WITH {_fit_sql()} SELECT station, {O.day('d')} AS date, round(alpha, 4) AS alpha, round(beta, 4) AS beta, round(alpha / beta, 4) AS branching,
+ round(loglik, 4) AS loglik, CAST(events AS BIGINT) AS events FROM fitted JOIN dy USING (station, d)""",
+)
 def self_exciting_fit(spark: SparkSession, sf: str) -> DataFrame:
     fitted = hawkes.parameters(hawkes.fit(tables.taps(spark, sf)))
     return rounded(fitted.select("station", day("date").alias("date"), "alpha", "beta", "branching", "loglik", "events"), 4)
@@ -89,7 +153,16 @@ def self_exciting_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(tested.withColumn("date", day("date")), 4)
 
 
-@query("m10_residual_autocorrelation")
+@query(
+    "m10_residual_autocorrelation",
+    f"""WITH {_fit_sql()},
+lv AS (SELECT e.station, e.d, e.sec, e.base + any_value(alpha / beta) * coalesce(sum(p.n * (1 - exp(-beta * (e.t - p.t)))), 0) AS level
+  FROM ev e JOIN fitted f ON f.station = e.station AND f.d = e.d LEFT JOIN ev p ON p.station = e.station AND p.d = e.d AND p.sec < e.sec GROUP BY e.station, e.d, e.sec, e.base),
+ta AS (SELECT *, level - lag(level) OVER (PARTITION BY station, d ORDER BY sec) AS tau FROM lv),
+pt AS (SELECT station, d, 1 - exp(-tau) AS x, row_number() OVER (PARTITION BY station, d ORDER BY sec) AS i FROM ta WHERE tau > 0)
+SELECT a.station, {O.day('a.d')} AS date, CAST(l AS INT) AS lag, CASE WHEN var_pop(a.x) > 0 AND var_pop(z.x) > 0 THEN round(corr(a.x, z.x), 4) + 0e0 END AS acf
+FROM pt a, (SELECT unnest(range(1, 40)) AS l) JOIN pt z ON z.station = a.station AND z.d = a.d AND z.i = a.i - l GROUP BY ALL""",
+)
 def residual_autocorrelation(spark: SparkSession, sf: str) -> DataFrame:
     acf = hawkes.residual_autocorrelation(hawkes.fit(tables.taps(spark, sf)))
     return rounded(acf.withColumn("date", day("date")), 4)
@@ -130,13 +203,14 @@ def mixture_by_type(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("m14_correlation_hierarchy")
 def correlation_hierarchy(spark: SparkSession, sf: str) -> DataFrame:
-    return cluster.hierarchy(fine_signatures(spark, sf), "WD", 4)
+    """All day types; checked against plain average linkage in the tests."""
+    return cluster.hierarchy(fine_signatures(spark, sf), 4)
 
 
 @query("m14_embedding_hierarchy")
 def embedding_hierarchy(spark: SparkSession, sf: str) -> DataFrame:
-    """The same on the feature vectors, which exceed the leaf limit and are first divided by bisection."""
-    return cluster.hierarchy(embedding_signatures(spark, sf), "WD", 4)
+    """The same on the feature vectors."""
+    return cluster.hierarchy(embedding_signatures(spark, sf), 4)
 
 
 def embedding_signatures(spark: SparkSession, sf: str) -> DataFrame:
@@ -153,12 +227,7 @@ def projection(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("m16_stability")
 def stability(spark: SparkSession, sf: str) -> DataFrame:
-    working = aligned_curves_fine(spark, sf)
-    return rounded(cluster.stability(working), 4)
-
-
-def aligned_curves_fine(spark: SparkSession, sf: str) -> DataFrame:
-    return fine_signatures(spark, sf).where("date_type = 'WD'")
+    return rounded(cluster.stability(fine_signatures(spark, sf)), 4)
 
 
 @query(

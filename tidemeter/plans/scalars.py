@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemeter.functions import calendar as K
 from tidemeter.functions import columns as C
 from tidemeter.operators import curves as V
+from tidemeter.operators.split import small
 from tidemeter.operators import families, intensity, rates
 from tidemeter.plans import oracle as O
 from tidemeter.plans.registry import day, query, rounded, stamp
@@ -192,7 +193,7 @@ FROM taps JOIN f ON f.station = taps.station AND f.d = CAST(ts AS DATE)""",
 )
 def elapsed_time(spark: SparkSession, sf: str) -> DataFrame:
     rows = tables.taps(spark, sf).withColumn("d", F.to_date("ts"))
-    first = rows.groupBy("station", "d").agg(F.min("ts").alias("t0"))
+    first = small(rows.groupBy("station", "d").agg(F.min("ts").alias("t0")), "first-taps")
     return rounded(
         rows.join(first, ["station", "d"]).select(
             "event_id", C.seconds_between("ts", "t0").alias("elapsed_s"), C.fractional_minute("ts").alias("minute")

@@ -13,6 +13,7 @@ from tidemeter.operators import rates
 from tidemeter.plans import oracle as O
 from tidemeter.plans.registry import day, query, rounded, stamp
 from tidemeter.session import scratch_path
+from tidemeter.session import stored as written
 from tidemeter.sources import facts as facts_io
 from tidemeter.sources import ledger as ledger_io
 from tidemeter.sources import stations as stations_io
@@ -22,9 +23,37 @@ SELECTED_DATES = ["20240105", "20240106", "20240108", "20240117"]
 LEDGER_PROCESS = "daily_check_ins_counts_15min"
 
 
+def header_files(rows: DataFrame, names: dict[str, str]) -> str:
+    """Text rows as CSV files under the headers of the daily files, which stand the other way round on odd days; returns the folder.
+
+    ``rows`` has the columns that ``names`` maps headers to, and ``odd``.
+    """
+    path = scratch_path(rows.sparkSession, "headers")
+    columns = [F.col(c).alias(header) for header, c in names.items()]
+    rows.where(~F.col("odd")).select(*columns).write.option("header", True).csv(f"{path}/even")
+    rows.where("odd").select(*columns[::-1], F.lit("x").alias("Linea")).write.option("header", True).csv(f"{path}/odd")
+    return path
+
+
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    odd = (F.dayofmonth("ts") % 2 == 1).alias("odd")
+    return tables.taps(spark, sf).select(
+        stamp("ts", True).alias("ts"), day("ts").alias("date"), F.date_format("ts", "HH:mm:ss").alias("time"), "station_field", "card", "exits", odd
+    )
+
+
 @query("s1_checkin_scan", f"WITH {O.TAPS} SELECT {O.stamp('ts', True)} AS ts, station_field FROM taps")
 def checkin_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.taps(spark, sf).select(stamp("ts", True).alias("ts"), "station_field")
+    """Check-ins written as daily files in two orders of columns and read back by their headers."""
+    back = tables.read_checkin_files(spark, header_files(_texts(spark, sf), tables.CHECKIN_COLUMNS))
+    return back.select(stamp("ts", True).alias("ts"), "station_field")
+
+
+@query("s1_synthetic_scan", f"WITH {O.TAPS} SELECT {O.day('ts')} AS date, station_field, count(*) AS n FROM taps GROUP BY ALL")
+def synthetic_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The same for the files of simulated validations, counted by day and station."""
+    back = tables.read_synthetic_files(spark, header_files(_texts(spark, sf), tables.SYNTHETIC_COLUMNS))
+    return back.groupBy(day("ts").alias("date"), "station_field").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -33,10 +62,9 @@ def checkin_scan(spark: SparkSession, sf: str) -> DataFrame:
 SELECT {O.stamp("CAST(date || ' ' || time AS TIMESTAMP)")} AS ts, station_field, exits FROM raw""",
 )
 def checkout_scan(spark: SparkSession, sf: str) -> DataFrame:
-    raw = tables.taps(spark, sf).select(
-        day("ts").alias("date"), F.date_format("ts", "HH:mm:ss").alias("time"), "station_field", "exits"
-    )
-    return raw.select(stamp(C.join_date_time("date", "time")).alias("ts"), "station_field", "exits")
+    """Check-outs written as daily files in two orders of columns and read back by their headers."""
+    back = tables.read_checkout_files(spark, header_files(_texts(spark, sf), tables.CHECKOUT_COLUMNS))
+    return back.select(stamp("ts").alias("ts"), "station_field", "exits")
 
 
 @query("s3_card_scan", f"WITH {O.TAPS} SELECT {O.stamp('ts', True)} AS ts, station, card FROM taps")
@@ -153,18 +181,14 @@ FACT_KEYS = rates.FACT_KEYS
 @query(
     "s9_fact_upsert",
     f"""WITH {O.count_facts(15)},
-stored AS (SELECT station, {", ".join(FACT_KEYS[1:])}, count_in, variance_in_1min FROM facts WHERE count_in IS NOT NULL AND day_of_week < 5),
-incoming AS (SELECT station, {", ".join(FACT_KEYS[1:])}, count_out FROM facts WHERE count_out IS NOT NULL AND time >= 600)
-SELECT {", ".join(FACT_KEYS)}, count_in, count_out, round(variance_in_1min, 6) AS variance_in_1min
-FROM stored FULL JOIN incoming USING ({", ".join(FACT_KEYS)})""",
+first AS (SELECT * FROM facts WHERE time < 1500), second AS (SELECT * FROM facts WHERE time >= 900)
+SELECT {", ".join(FACT_KEYS)}, coalesce(s.count_in, f.count_in) AS count_in, coalesce(s.count_out, f.count_out) AS count_out,
+ round(coalesce(s.variance_in_1min, f.variance_in_1min), 6) AS variance_in_1min FROM first f FULL JOIN second s USING ({", ".join(FACT_KEYS)})""",
 )
 def fact_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    """Check-in facts of working weekdays, then check-out measures from 06:00 on the same key."""
-    taps = tables.taps(spark, sf)
-    keyed = rates.with_calendar(rates.counts_in(taps)).where("day_of_week < 5")
-    stored = keyed.select(*FACT_KEYS, "count_in", F.lit(None).cast("int").alias("count_out"), "variance_in_1min")
-    incoming = rates.with_calendar(rates.counts_out(taps)).where("time >= 600").select(*FACT_KEYS, "count_out")
-    merged = facts_io.upsert(stored, incoming, FACT_KEYS, facts_io.COUNT_MEASURES)
+    """All facts in two halves of the day that overlap from 09:00 to 15:00; the union is the whole table."""
+    facts = written(rates.count_facts(tables.taps(spark, sf), 15), "facts")
+    merged = facts_io.upsert(facts.where("time < 1500"), facts.where("time >= 900"), FACT_KEYS, facts_io.COUNT_MEASURES)
     return rounded(merged.select(*FACT_KEYS, "count_in", "count_out", "variance_in_1min"))
 
 

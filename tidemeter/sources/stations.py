@@ -30,8 +30,8 @@ def new_members(stations: DataFrame, found: DataFrame) -> DataFrame:
 
 def insert_members(stations: DataFrame, found: DataFrame) -> DataFrame:
     """Dimension with unknown members appended; ids continue after the highest one, in code order."""
-    fresh = new_members(stations, found).withColumn("_chunk", F.substring("code", 1, 3)).withColumn("_one", F.lit(1))
-    numbered = running_total(fresh, [], "_chunk", ["code"], {"position": "_one"})
+    fresh = new_members(stations, found).withColumn("_one", F.lit(1))
+    numbered = running_total(fresh, [], ["code"], {"position": "_one"})
     top = stations.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).scalar()
     added = numbered.select((top + F.col("position")).cast("int").alias("id"), "code", "name")
     return stations.select("id", "code", "name").unionByName(added)

@@ -8,13 +8,14 @@ from pyspark.sql import types as T
 
 from tidemeter.functions import columns as C
 from tidemeter.session import use_utc
+from tidemeter.sources.daily_csv import read_daily_csv
 
 # Column names of the daily files.
 CHECKIN_COLUMNS = {"Fecha_Transaccion": "ts", "Estacion_Parada": "station_field", "Numero_Tarjeta": "card"}
 CHECKOUT_COLUMNS = {"Fecha_Transaccion": "date", "Tiempo": "time", "Estacion": "station_field", "Salidas_S": "exits"}
 SYNTHETIC_COLUMNS = {"Fecha_Hora_Transaccion": "ts", "Estacion": "station_field"}
 
-CSV_TYPES = {"ts": T.TimestampType(), "exits": T.DoubleType()}
+CSV_TYPES = {"ts": "timestamp", "exits": "double"}
 
 EVENT_SCHEMA = T.StructType(
     [
@@ -28,28 +29,20 @@ EVENT_SCHEMA = T.StructType(
 )
 
 
-def _read_csv(spark: SparkSession, path: str, names: dict[str, str]) -> DataFrame:
-    """Header CSV with the wanted columns by name, whatever else the files hold."""
-    raw = spark.read.option("header", True).csv(path)
-    return raw.select(
-        *[F.col(source).cast(CSV_TYPES.get(target, T.StringType())).alias(target) for source, target in names.items()],
-        F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)\.csv$", 1).alias("file_id"),
-    )
-
-
 def read_checkin_files(spark: SparkSession, path: str) -> DataFrame:
     """One row per validation: ts, station_field, card, file_id."""
-    return _read_csv(use_utc(spark), path, CHECKIN_COLUMNS)
+    return read_daily_csv(use_utc(spark), path, CHECKIN_COLUMNS, CSV_TYPES)
 
 
 def read_checkout_files(spark: SparkSession, path: str) -> DataFrame:
     """One row per gate and quarter hour: ts, station_field, exits, file_id."""
-    raw = _read_csv(use_utc(spark), path, CHECKOUT_COLUMNS)
+    raw = read_daily_csv(use_utc(spark), path, CHECKOUT_COLUMNS, CSV_TYPES)
     return raw.select(C.join_date_time("date", "time").alias("ts"), "station_field", "exits", "file_id")
 
 
 def read_synthetic_files(spark: SparkSession, path: str) -> DataFrame:
-    return _read_csv(use_utc(spark), path, SYNTHETIC_COLUMNS)
+    """One row per simulated validation: ts, station_field, file_id."""
+    return read_daily_csv(use_utc(spark), path, SYNTHETIC_COLUMNS, CSV_TYPES)
 
 
 def select_files(df: DataFrame, file_ids: list[str] | None, file_id: str = "file_id") -> DataFrame:

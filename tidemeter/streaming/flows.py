@@ -61,6 +61,20 @@ def open_end(spark: SparkSession) -> str:
     return path
 
 
+def close_end(spark: SparkSession, end: str) -> None:
+    spark.createDataFrame(END_MARK, EVENT_SCHEMA).write.mode("append").parquet(end)
+
+
+def known_end(spark: SparkSession) -> str:
+    """A folder that holds the end mark already, for a stream that takes its whole input in one batch.
+
+    The watermark follows the mark after that batch, and the batch without data that ends the run closes all windows.
+    """
+    path = open_end(spark)
+    close_end(spark, path)
+    return path
+
+
 def is_folder(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
@@ -92,9 +106,10 @@ def event_stream(
 
 
 def tumbling_counts(taps: DataFrame, minutes: int = 5, keys: list[str] | None = None) -> DataFrame:
+    """Closed windows: keys, start ``w``, count ``n``, and ``closed``, their event time for the operators that follow."""
     keys = keys or ["station"]
     counted = taps.groupBy(F.window("ts", f"{minutes} minutes").alias("window"), *keys).agg(F.count(F.lit(1)).alias("n"))
-    return counted.select(*keys, F.col("window.start").alias("w"), "n")
+    return counted.select(*keys, F.col("window.start").alias("w"), "n", F.window_time("window").alias("closed"))
 
 
 def bursts(taps: DataFrame, gap: str = "5 seconds") -> DataFrame:
@@ -109,13 +124,14 @@ class RollingRate(StatefulProcessor):
     """Mean of the latest counts of a key; optionally the ticks that each estimate covers.
 
     A key is one station (and flow) on one day. State is at most ``last`` counts and the previous
-    window, whatever the traffic.
+    window, whatever the traffic, and a timer releases it once the watermark has passed the day.
     """
 
     def __init__(self, key_names: list[str], last: int = 3, tick_minutes: int | None = None):
         self.key_names, self.last, self.tick_minutes = key_names, last, tick_minutes
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.recent = handle.getListState("recent", "n bigint")
         self.previous = handle.getValueState("previous", "w timestamp, estimate double")
 
@@ -135,10 +151,18 @@ class RollingRate(StatefulProcessor):
             if not self.tick_minutes:
                 out.append((w, int(n), before[1]))
         self.recent.put([(n,) for n in held])
+        if not self.previous.exists():
+            day_end = pd.Timestamp(before[0]).normalize() + pd.Timedelta(days=1)
+            self.handle.registerTimer(day_end.value // 1_000_000)
         self.previous.update(before)
         frame = pd.DataFrame(out, columns=["w", "n", "estimate"])
         yield frame.assign(**dict(zip(self.key_names, key)))[[*self.key_names, "w", "n", "estimate"]]
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.recent.clear()
+        self.previous.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
@@ -153,7 +177,7 @@ def rolling_rates(counts: DataFrame, keys: list[str] | None = None, last: int =
         statefulProcessor=RollingRate(keys, last, tick_minutes),
         outputStructType=f"{fields}, w timestamp, n bigint, estimate double",
         outputMode="append",
-        timeMode="None",
+        timeMode="EventTime",
     )
 
 
@@ -237,7 +261,7 @@ def _finish(writer: DataStreamWriter, spark: SparkSession, end: str | None) -> N
     """Take everything available; then, if the input is complete, the end mark, which closes all windows."""
     writer.trigger(availableNow=True).start().awaitTermination()
     if end:
-        spark.createDataFrame(END_MARK, EVENT_SCHEMA).write.mode("append").parquet(end)
+        close_end(spark, end)
         writer.trigger(availableNow=True).start().awaitTermination()
 
 
@@ -263,6 +287,23 @@ def run_batches(
     return path
 
 
+def run_slices(spark: SparkSession, stream: DataFrame, label: str, handle: Callable[[DataFrame, int, str], None]) -> str:
+    """Run a stream of a replay batch after batch until its source has no further slice; returns the path."""
+    path = scratch_path(spark, label)
+    writer = stream.writeStream.outputMode("append").foreachBatch(lambda batch, i: handle(batch, i, path))
+    query = writer.option("checkpointLocation", f"{path}/checkpoint").trigger(processingTime="0 seconds").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return path
+
+
+def keep_batch(batch: DataFrame, batch_id: int, path: str) -> None:
+    """Store the rows of a batch under its number."""
+    batch.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+
+
 def keep_leaderboard(batch: DataFrame, batch_id: int, path: str, top: int = 3) -> None:
     """Store the ticks of a batch and rank those ticks again over all their stations.
 
