@@ -17,8 +17,8 @@ from tidemeter.operators.intensity import DAY
 
 #: Weights of a Poisson bootstrap end here: a larger one has a chance below 1e-11.
 MOST_WEIGHT = 13
-#: Uniform numbers of 32 bits that one digest holds.
-PIECES = 4
+#: A prime; a resample maps the key of a row, below it, by a line modulo the prime, so weights of two rows are independent.
+PRIME = 2**31 - 1
 
 
 def poisson_bounds() -> list[float]:
@@ -35,19 +35,24 @@ def bootstrap_weight(u: Column) -> Column:
     return weight
 
 
+def resample_lines(replicates: int) -> list[tuple[int, int]]:
+    """Slope and offset of every resample's line: powers of two primitive roots of the prime."""
+    return [(pow(16807, r + 1, PRIME), pow(48271, r + 1, PRIME)) for r in range(replicates)]
+
+
 def bootstrap_k(series: DataFrame, replicates: int = 200, seed: int = 42) -> DataFrame:
     """Mean and 95 percent interval of the moment dispersion over resampled minutes.
 
-    Every minute enters every resample with a Poisson weight from a digest of its key and the number of the resample, so all
+    Every minute enters every resample with a Poisson weight from a hash of its key and the number of the resample, so all
     resamples are one aggregate and the result does not depend on partitioning.
     """
-    groups = F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // PIECES) - 1))).alias("g")
-    digest = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in (*DAY, "minute", "g")], F.lit(str(seed))))
-    pieces = F.array(*[F.conv(F.substring("digest", 1 + 8 * p, 8), 16, 10).cast("bigint") / F.lit(float(2**32)) for p in range(PIECES)])
-    drawn = series.select(*DAY, "minute", "n", groups).withColumn("digest", digest).select(*DAY, "n", "g", F.posexplode(pieces).alias("p", "u"))
-    weighted = drawn.where(F.col("g") * PIECES + F.col("p") < replicates).withColumn("w", bootstrap_weight(F.col("u")))
+    key = F.floor(C.unit_hash(*DAY, "minute", seed=seed) * F.lit(float(PRIME)))
+    lines = F.array(*[F.struct(F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b")) for a, b in resample_lines(replicates)])
+    drawn = series.select(*DAY, "n", key.alias("key")).select(*DAY, "n", "key", F.posexplode(lines).alias("r", "line"))
+    u = ((F.col("key") * F.col("line.a") + F.col("line.b")) % PRIME) / F.lit(float(PRIME))
     w, n = F.col("w"), F.col("n")
-    sums = weighted.groupBy(*DAY, "g", "p").agg(F.sum(w).alias("size"), F.sum(w * n).alias("total"), F.sum(w * n * n).alias("square"))
+    weighted = drawn.select(*DAY, "r", "n", bootstrap_weight(u).alias("w")).where("w > 0")
+    sums = weighted.groupBy(*DAY, "r").agg(F.sum(w).alias("size"), F.sum(w * n).alias("total"), F.sum(w * n * n).alias("square"))
     mean = F.col("total") / F.col("size")
     var = (F.col("square") - F.col("total") * mean) / (F.col("size") - 1)
     k = F.when((F.col("total") > 0) & (F.col("size") > 1), F.greatest((var - mean) / (mean * mean), F.lit(0.0))).otherwise(F.lit(0.0))

@@ -144,7 +144,8 @@ def fit(taps: DataFrame, bandwidth: float = 5.0, end: float = float(LAST_MINUTE)
 
     The log-likelihood is taken on a grid over the whole range of log alpha and log beta, which is narrowed ``ROUNDS``
     times. All of it is one expression over the seconds of a day, an array that the clock bounds. ``tau`` is the gap
-    from the previous event second; the other taps of the same second follow at distance 0.
+    from the previous event second; the other taps of the same second follow at distance 0. A day whose best alpha is its
+    lower bound has no excitation that could tell beta, which is then its upper bound.
     """
     events = stored(with_baseline(event_seconds(taps), kernel_intensity(taps, bandwidth)), "hawkes-events")
     ordered = F.array_sort(F.collect_list(F.struct("t", "n", "mu")))
@@ -157,6 +158,7 @@ def fit(taps: DataFrame, bandwidth: float = 5.0, end: float = float(LAST_MINUTE)
     rounds = F.sequence(F.lit(1), F.lit(ROUNDS))
     best = F.aggregate(rounds, box, lambda held, _: _narrowed(held, F.col("ev"), F.col("mass"), F.col("end")))
     fitted = days.select(*DAY, "events", best.alias("f")).select(*DAY, "events", "f.alpha", "f.beta", "f.loglik")
+    fitted = fitted.withColumn("beta", F.when(F.col("alpha") < 2 * LOW, F.lit(HIGH)).otherwise(F.col("beta")))
     rows = decayed(events.join(fitted, DAY), DAY)
     day = Window.partitionBy(*DAY).orderBy("second")
     earlier = F.coalesce(F.sum("n").over(day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -476,14 +476,17 @@ def moment_dispersion(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-BOUNDS_SQL = f"[{', '.join(f'{b!r}e0' for b in dispersion.poisson_bounds())}]"
+LINES_SQL = ", ".join(f"({r}, {a}, {b})" for r, (a, b) in enumerate(dispersion.resample_lines(200)))
+WEIGHT_SQL = " ".join(f"WHEN u < {b!r} THEN {k}" for k, b in enumerate(dispersion.poisson_bounds()))
 
 
 @query(
     "a25_bootstrap_dispersion",
-    f"""WITH {O.minute_series()}, dg AS (SELECT station, d, n, g, md5(station || '|' || d || '|' || minute || '|' || g || '|42') AS h FROM series, (SELECT unnest(range(50)) AS g)),
-w AS (SELECT station, d, n, g, p, len(list_filter({BOUNDS_SQL}, lambda b: b <= CAST('0x' || substr(h, 1 + 8 * p, 8) AS BIGINT) / 4294967296e0)) AS w FROM dg, (SELECT unnest(range(4)) AS p)),
-s AS (SELECT station, d, sum(w) AS size, sum(w * n) AS total, sum(w * n * n) AS square FROM w GROUP BY station, d, g, p),
+    f"""WITH {O.minute_series()}, lines(r, a, b) AS (VALUES {LINES_SQL}),
+h AS MATERIALIZED (SELECT station, d, n, CAST(floor({O.unit_hash(42, 'station', 'd', 'minute')} * 2147483647e0) AS BIGINT) AS key FROM series),
+u AS (SELECT station, d, n, r, ((key * a + b) % 2147483647) / 2147483647e0 AS u FROM h, lines),
+w AS (SELECT station, d, n, r, CASE {WEIGHT_SQL} ELSE 13 END AS w FROM u),
+s AS (SELECT station, d, sum(w) AS size, sum(w * n) AS total, sum(w * n * n) AS square FROM w GROUP BY station, d, r),
 k AS (SELECT station, d, CASE WHEN total > 0 AND size > 1 THEN greatest(((square - total * total / size) / (size - 1) - total / size) / pow(total / size, 2), 0) ELSE 0 END AS k FROM s)
 SELECT station, {O.day('d')} AS date, round(avg(k), 6) AS k_mean, round(quantile_cont(k, 0.025), 6) AS k_low, round(quantile_cont(k, 0.975), 6) AS k_high FROM k GROUP BY ALL""",
 )

@@ -134,7 +134,7 @@ l_{r} AS MATERIALIZED (SELECT s.station, s.d, s.i, j.i AS j, sum(ln(greatest(s.m
 v_{r} AS (SELECT l.station, l.d, l.i, j, round(v - mass - exp(a + j * w) * x, 6) AS v, b, a, w FROM l_{r} l JOIN x_{r} USING (station, d, i) JOIN box_{r - 1} USING (station, d) JOIN dy USING (station, d)),
 box_{r} AS MATERIALIZED (SELECT station, d, {placed.format("b", "i")} AS b, {placed.format("a", "j")} AS a, w / 2 AS w, exp(b + i * w) AS beta, exp(a + j * w) AS alpha, v AS loglik
   FROM v_{r} QUALIFY row_number() OVER (PARTITION BY station, d ORDER BY v DESC, i, j) = 1)""")
-    return ",\n".join(parts) + f",\nfitted AS (SELECT * FROM box_{rounds})"
+    return ",\n".join(parts) + f",\nfitted AS (SELECT station, d, alpha, CASE WHEN alpha < 2e-8 THEN 1e3 ELSE beta END AS beta, loglik FROM box_{rounds})"
 
 
 @query(
