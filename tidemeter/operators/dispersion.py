@@ -14,6 +14,7 @@ from tidemeter.functions import columns as C
 from tidemeter.functions import special as S
 from tidemeter.functions.columns import let
 from tidemeter.operators.intensity import DAY
+from tidemeter.operators.split import spread
 
 #: Weights of a Poisson bootstrap end here: a larger one has a chance below 1e-11.
 MOST_WEIGHT = 13
@@ -106,7 +107,7 @@ def fit_k(grid: DataFrame, low: float = 1e-8, high: float = 1e3) -> DataFrame:
     A day whose score is not positive at ``low`` is not overdispersed and gets ``low``.
     """
     minute = F.struct("n", F.greatest(F.col("intensity"), F.lit(1e-6)).alias("m"))
-    days = grid.groupBy(*DAY).agg(F.collect_list(minute).alias("grid"))
+    days = spread(grid, DAY).groupBy(*DAY).agg(F.collect_list(minute).alias("grid"))
 
     def halve(box: Column) -> Column:
         middle = (box["low"] + box["high"]) / 2

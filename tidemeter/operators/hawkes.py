@@ -15,6 +15,7 @@ from tidemeter.functions import columns as C
 from tidemeter.functions.columns import let
 from tidemeter.operators.goodness import ks_test, ljung_box, shifted_correlation
 from tidemeter.operators.intensity import DAY, LAST_MINUTE, kernel_intensity, open_taps, trapezoid
+from tidemeter.operators.split import spread
 from tidemeter.session import stored
 
 #: Bounds of alpha and beta, per minute.
@@ -70,73 +71,74 @@ def decayed(events: DataFrame, keys: list[str], beta: str = "beta") -> DataFrame
     return both.withColumn("s", s).drop("_t0", "_u", "_chunk", "_in", "_own", "_handed")
 
 
-#: Cells of the likelihood grid on each side, and rounds, each of which halves the grid's width around its best cell.
-CELLS, ROUNDS = 9, 14
+#: Cells on each side of the first likelihood grid and of the later ones, and rounds, each of which halves the step around the best cell.
+WIDE, NARROW, ROUNDS = 13, 5, 12
 #: Log-likelihoods are compared to so many digits; ties go to the smaller beta, then to the smaller alpha.
 DIGITS = 6
 
 
-def _log_sum(mu: Column, n: Column, s: Column, alpha: Column) -> Column:
-    """Sum of the log intensities of the taps of one second, which stand at s, s + 1, ..., s + n - 1."""
-    log = lambda x: F.log(F.greatest(mu + alpha * x, F.lit(1e-300)))
-    many = F.aggregate(F.sequence(F.lit(0).cast("long"), n - 1), F.lit(0.0), lambda total, j: total + log(s + j))
-    return F.when(n == 1, log(s)).otherwise(many)
+def _log_sums(held: Column, e: Column, s: Column, alphas: Column) -> Column:
+    """The sums held for every beta and alpha, and the log intensities of the taps of one second, at s, s + 1, ..., s + n - 1."""
+    log = lambda x, a: F.log(e["mu"] + a * x)
+    taps = F.sequence(F.lit(0).cast("long"), e["n"] - 1)
+    several = lambda x, a: F.aggregate(taps, F.lit(0.0), lambda total, j: total + log(x + j, a))
+    added = lambda term: F.zip_with(held, s, lambda row, x: F.zip_with(row, alphas, lambda v, a: v + term(x, a)))
+    return F.when(e["n"] == 1, added(log)).otherwise(added(several))
 
 
-def _likelihoods(events: Column, betas: Column, alphas: Column, end: Column) -> Column:
-    """Struct of log sums, one for each cell of the grid, and exposures, one for each beta, in one fold over the seconds of a day."""
+def _likelihoods(events: Column, betas: Column, alphas: Column, end: Column, cells: int) -> Column:
+    """Struct of log sums, a row for each beta and an entry for each alpha, and exposures, one for each beta, in one fold over the seconds of a day."""
 
     def step(acc: Column, e: Column) -> Column:
         n = e["n"]
         s = F.zip_with(acc["held"], betas, lambda h, b: h * F.exp(-b * (e["t"] - acc["t"])))
 
         def following(s: Column) -> Column:
-            value = lambda v, k: v + _log_sum(e["mu"], n, F.get(s, F.floor(k / CELLS).cast("int")), F.get(alphas, k % CELLS))
             seen = lambda x, b: x + n * (1 - F.exp(-b * (end - e["t"]))) / b
             return F.struct(
                 e["t"].alias("t"),
                 F.transform(s, lambda x: x + n).alias("held"),
-                F.transform(acc["value"], value).alias("value"),
+                _log_sums(acc["value"], e, s, alphas).alias("value"),
                 F.zip_with(acc["exposure"], betas, seen).alias("exposure"),
             )
 
         return let(s, following)
 
-    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
-    start = F.struct(F.lit(0.0).alias("t"), zeros(CELLS).alias("held"), zeros(CELLS * CELLS).alias("value"), zeros(CELLS).alias("exposure"))
+    zeros = F.array_repeat(F.lit(0.0), cells)
+    start = F.struct(F.lit(0.0).alias("t"), zeros.alias("held"), F.array_repeat(zeros, cells).alias("value"), zeros.alias("exposure"))
     return F.aggregate(events, start, step)
 
 
-def _cells(low: Column, step: Column) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: F.exp(low + i * step))
+def _cells(low: Column, step: Column, cells: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda i: F.exp(low + i * step))
 
 
-def _narrowed(box: Column, events: Column, mass: Column, end: Column) -> Column:
-    """The grid of half the width around the best cell of ``box``; the best cell is one of the new grid's."""
+def _narrowed(box: Column, events: Column, mass: Column, end: Column, cells: int) -> Column:
+    """The grid of half the step around the best cell of ``box``, up to the cells beside it; the best cell is one of the new grid's."""
     step = box["step"]
     bottom, top = F.lit(math.log(LOW)), F.lit(math.log(HIGH))
 
     def placed(centre: Column) -> Column:
         half = step / 2
-        return F.least(F.greatest(centre - half * (CELLS // 2), bottom), top - half * (CELLS - 1))
+        return F.least(F.greatest(centre - half * (NARROW // 2), bottom), top - half * (NARROW - 1))
 
     def chosen(alphas: Column, found: Column) -> Column:
-        total = lambda v, k: v - mass - F.get(alphas, k % CELLS) * F.get(found["exposure"], F.floor(k / CELLS).cast("int"))
-        scored = F.transform(found["value"], lambda v, k: F.struct(F.round(total(v, k), DIGITS).alias("value"), (-k).alias("k")))
+        total = lambda v, k: v - mass - F.get(alphas, k % cells) * F.get(found["exposure"], F.floor(k / cells).cast("int"))
+        scored = F.transform(F.flatten(found["value"]), lambda v, k: F.struct(F.round(total(v, k), DIGITS).alias("value"), (-k).alias("k")))
         return F.array_max(scored)
 
     def moved(best: Column) -> Column:
-        b = box["b"] + F.floor(-best["k"] / CELLS) * step
-        a = box["a"] + (-best["k"] % CELLS) * step
+        b = box["b"] + F.floor(-best["k"] / cells) * step
+        a = box["a"] + (-best["k"] % cells) * step
         return F.struct(
             placed(b).alias("b"), placed(a).alias("a"), (step / 2).alias("step"),
             F.exp(b).alias("beta"), F.exp(a).alias("alpha"), best["value"].alias("loglik"),
         )
 
     def search(betas: Column, alphas: Column) -> Column:
-        return let(_likelihoods(events, betas, alphas, end), lambda found: let(chosen(alphas, found), moved))
+        return let(_likelihoods(events, betas, alphas, end, cells), lambda found: let(chosen(alphas, found), moved))
 
-    return let(_cells(box["b"], step), lambda betas: let(_cells(box["a"], step), lambda alphas: search(betas, alphas)))
+    return let(_cells(box["b"], step, cells), lambda betas: let(_cells(box["a"], step, cells), lambda alphas: search(betas, alphas)))
 
 
 def fit(taps: DataFrame, bandwidth: float = 5.0, end: float = float(LAST_MINUTE)) -> DataFrame:
@@ -149,14 +151,15 @@ def fit(taps: DataFrame, bandwidth: float = 5.0, end: float = float(LAST_MINUTE)
     """
     events = stored(with_baseline(event_seconds(taps), kernel_intensity(taps, bandwidth)), "hawkes-events")
     ordered = F.array_sort(F.collect_list(F.struct("t", "n", "mu")))
-    days = events.groupBy(*DAY).agg(
+    days = spread(events, DAY).groupBy(*DAY).agg(
         ordered.alias("ev"), F.max("mass").alias("mass"), F.greatest(F.lit(end), F.max("t")).alias("end"), F.sum("n").alias("events")
     )
-    low, step = F.lit(math.log(LOW)), F.lit((math.log(HIGH) - math.log(LOW)) / (CELLS - 1))
+    low, step = F.lit(math.log(LOW)), F.lit((math.log(HIGH) - math.log(LOW)) / (WIDE - 1))
     none = [F.lit(None).cast("double").alias(c) for c in ("beta", "alpha", "loglik")]
     box = F.struct(low.alias("b"), low.alias("a"), step.alias("step"), *none)
     rounds = F.sequence(F.lit(1), F.lit(ROUNDS))
-    best = F.aggregate(rounds, box, lambda held, _: _narrowed(held, F.col("ev"), F.col("mass"), F.col("end")))
+    search = lambda held, cells: _narrowed(held, F.col("ev"), F.col("mass"), F.col("end"), cells)
+    best = let(search(box, WIDE), lambda first: F.aggregate(rounds, first, lambda held, _: search(held, NARROW)))
     fitted = days.select(*DAY, "events", best.alias("f")).select(*DAY, "events", "f.alpha", "f.beta", "f.loglik")
     fitted = fitted.withColumn("beta", F.when(F.col("alpha") < 2 * LOW, F.lit(HIGH)).otherwise(F.col("beta")))
     rows = decayed(events.join(fitted, DAY), DAY)

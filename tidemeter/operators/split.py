@@ -24,6 +24,11 @@ PIECES, SAMPLES, HASHES = 4, 16, 1 << 30
 SMALL = 500_000
 
 
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Groups dealt over all shuffle partitions, for work that is long for its bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def small(frame: DataFrame, label: str) -> DataFrame:
     """The frame written once; it is broadcast where its counted rows are few, else joined as the optimizer sees fit."""
     held = stored(frame, label)

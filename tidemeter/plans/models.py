@@ -109,8 +109,8 @@ def randomised_pit(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _fit_sql(rounds: int = hawkes.ROUNDS) -> str:
-    """CTEs ending in fitted(station, d, alpha, beta, loglik): decayed sums over all pairs of seconds of a day, a grid of nine by
-    nine that is halved around its best cell in every written-out round. Bounds are 1e-8 and 1e3 on both axes."""
+    """CTEs ending in fitted(station, d, alpha, beta, loglik): decayed sums over all pairs of seconds of a day, a grid of 13 by
+    13, then grids of five by five with half the step around the best cell in every written-out round. Bounds are 1e-8 and 1e3 on both axes."""
     day = "PARTITION BY station, d ORDER BY minute"
     parts = [f"""{O.minute_grid()},
 area AS (SELECT *, coalesce((lam + lag(lam) OVER ({day})) / 2, 0) AS area FROM grid),
@@ -120,21 +120,21 @@ es AS (SELECT station, CAST(ts AS DATE) AS d, hour(ts) * 3600 + minute(ts) * 60
 ev AS MATERIALIZED (SELECT es.station, es.d, sec, sec / 60e0 AS t, es.n, lam + (y1 - lam) * (sec / 60e0 - minute) AS mu, a + (a1 - a) * (sec / 60e0 - minute) AS base, mass
   FROM es JOIN edge e ON e.station = es.station AND e.d = es.d AND e.minute = sec // 60),
 dy AS MATERIALIZED (SELECT station, d, max(mass) AS mass, greatest(1380e0, max(t)) AS fin, sum(n) AS events FROM ev GROUP BY ALL),
-nine AS MATERIALIZED (SELECT unnest(range(9)) AS i),
-box_0 AS MATERIALIZED (SELECT station, d, ln(1e-8) AS b, ln(1e-8) AS a, (ln(1e3) - ln(1e-8)) / 8 AS w, 0e0 AS beta, 0e0 AS alpha, 0e0 AS loglik FROM dy)"""]
-    for r in range(1, rounds + 1):
-        placed = "least(greatest({0} + {1} * w - 4 * w / 2, ln(1e-8)), ln(1e3) - 8 * w / 2)"
-        parts.append(f"""c_{r} AS MATERIALIZED (SELECT station, d, i, exp(b + i * w) AS beta FROM box_{r - 1}, nine),
+box_0 AS MATERIALIZED (SELECT station, d, ln(1e-8) AS b, ln(1e-8) AS a, (ln(1e3) - ln(1e-8)) / 12 AS w, 0e0 AS beta, 0e0 AS alpha, 0e0 AS loglik FROM dy)"""]
+    placed = "least(greatest({0} + {1} * w - w, ln(1e-8)), ln(1e3) - 2 * w)"
+    for r in range(1, rounds + 2):
+        cells = f"(SELECT unnest(range({13 if r == 1 else 5})) AS i)"
+        parts.append(f"""c_{r} AS MATERIALIZED (SELECT station, d, i, exp(b + i * w) AS beta FROM box_{r - 1}, {cells}),
 s_{r} AS MATERIALIZED (SELECT e.station, e.d, e.sec, c.i, e.n, e.mu, coalesce(sum(p.n * exp(-c.beta * (e.t - p.t))), 0) AS s
   FROM ev e JOIN c_{r} c ON c.station = e.station AND c.d = e.d LEFT JOIN ev p ON p.station = e.station AND p.d = e.d AND p.sec < e.sec
   GROUP BY e.station, e.d, e.sec, c.i, e.n, e.mu),
 x_{r} AS MATERIALIZED (SELECT station, d, i, sum(n * (1 - exp(-beta * (fin - t))) / beta) AS x FROM ev JOIN c_{r} USING (station, d) JOIN dy USING (station, d) GROUP BY ALL),
 l_{r} AS MATERIALIZED (SELECT s.station, s.d, s.i, j.i AS j, sum(ln(greatest(s.mu + exp(a + j.i * w) * (s.s + q), 1e-300))) AS v
-  FROM (SELECT *, unnest(range(n)) AS q FROM s_{r}) s JOIN box_{r - 1} USING (station, d), nine j GROUP BY ALL),
+  FROM (SELECT *, unnest(range(n)) AS q FROM s_{r}) s JOIN box_{r - 1} USING (station, d), {cells} j GROUP BY ALL),
 v_{r} AS (SELECT l.station, l.d, l.i, j, round(v - mass - exp(a + j * w) * x, 6) AS v, b, a, w FROM l_{r} l JOIN x_{r} USING (station, d, i) JOIN box_{r - 1} USING (station, d) JOIN dy USING (station, d)),
 box_{r} AS MATERIALIZED (SELECT station, d, {placed.format("b", "i")} AS b, {placed.format("a", "j")} AS a, w / 2 AS w, exp(b + i * w) AS beta, exp(a + j * w) AS alpha, v AS loglik
   FROM v_{r} QUALIFY row_number() OVER (PARTITION BY station, d ORDER BY v DESC, i, j) = 1)""")
-    return ",\n".join(parts) + f",\nfitted AS (SELECT station, d, alpha, CASE WHEN alpha < 2e-8 THEN 1e3 ELSE beta END AS beta, loglik FROM box_{rounds})"
+    return ",\n".join(parts) + f",\nfitted AS (SELECT station, d, alpha, CASE WHEN alpha < 2e-8 THEN 1e3 ELSE beta END AS beta, loglik FROM box_{rounds + 1})"
 
 
 @query(
