@@ -254,20 +254,49 @@ def test_bootstrap_does_not_depend_on_partitions(spark):
     assert first == second and first["k_low"] <= first["k_mean"] <= first["k_high"]
 
 
-def test_smoothing_meets_its_budget():
+def dense_smoothing(x, y, budget, at):
+    """The same curve by dense matrices: value and slope at given places, sse, and second derivatives."""
+    n, h = len(x), np.diff(x)
+    q, r = np.zeros((n, n - 2)), np.zeros((n - 2, n - 2))
+    for j in range(n - 2):
+        q[j : j + 3, j] = 1 / h[j], -1 / h[j] - 1 / h[j + 1], 1 / h[j + 1]
+        r[j, j] = (h[j] + h[j + 1]) / 3
+        if j:
+            r[j, j - 1] = r[j - 1, j] = h[j] / 6
+    fit = lambda penalty: y - penalty * q @ np.linalg.solve(r + penalty * q.T @ q, q.T @ y)
+    values = np.polyval(np.polyfit(x, y, 1), x)
+    if ((y - values) ** 2).sum() > budget:
+        low, high = -25.0, 40.0
+        for _ in range(80):
+            middle = (low + high) / 2
+            low, high = (middle, high) if ((y - fit(math.exp(middle))) ** 2).sum() <= budget else (low, middle)
+        values = fit(math.exp(low)) if budget > 0 else y
+    g = np.concatenate([[0], np.linalg.solve(r, q.T @ values), [0]])
+    i = np.clip(np.searchsorted(x, at, side="right") - 1, 0, n - 2)
+    w = x[i + 1] - x[i]
+    a, b = (x[i + 1] - at) / w, (at - x[i]) / w
+    value = a * values[i] + b * values[i + 1] + ((a**3 - a) * g[i] + (b**3 - b) * g[i + 1]) * w**2 / 6
+    slope = (values[i + 1] - values[i]) / w + ((1 - 3 * a**2) * g[i] + (3 * b**2 - 1) * g[i + 1]) * w / 6
+    return value, slope, ((y - values) ** 2).sum()
+
+
+@pytest.mark.parametrize("budget", [10.0, 1.0, 0.0])
+def test_smoothing_against_dense_matrices(spark, budget):
     rng = np.random.default_rng(0)
-    x = np.arange(240.0, 1381, 15)
-    y = 5 + 4 * np.sin(x / 150) + rng.normal(0, 0.5, len(x))
-    fitted, sse = smoothing.smooth_within(x, y, 10.0)
-    assert sse == pytest.approx(10.0, rel=1e-4)
-    rough = smoothing.smooth_within(x, y, 1.0)[0]
-    bend = lambda v: (np.diff(v, 2) ** 2).sum()
-    assert bend(fitted) < bend(rough)
-    assert smoothing.smooth_within(x, 2 * x + 1, 1.0)[0] == pytest.approx(2 * x + 1)
-    value, slope = smoothing.evaluate_spline(x, y, x)
-    assert value == pytest.approx(y)
-    near = smoothing.evaluate_spline(x, y, x[:-1] + 1e-4)[0]
-    assert slope[:-1] == pytest.approx((near - y[:-1]) / 1e-4, abs=1e-4)
+    even = np.arange(240.0, 1381, 15)
+    uneven = np.sort(rng.choice(even, 30, replace=False))
+    waves = {"a": (even, 5 + 4 * np.sin(even / 150) + rng.normal(0, 0.5, len(even))), "b": (uneven, np.cos(uneven / 90) + rng.normal(0, 0.5, 30))}
+    waves |= {"line": (even, 2 * even + 1), "three": (np.array([0.0, 2.0, 3.0]), np.array([1.0, 5.0, -4.0]))}
+    rows = [(s, "WD", float(a), float(b)) for s, (x, y) in waves.items() for a, b in zip(x, y)] + [("one", "WD", 4.0, 7.0), ("two", "WD", 1.0, 2.0), ("two", "WD", 3.0, 6.0)]
+    df = spark.createDataFrame(rows, "station string, date_type string, t double, v double")
+    got = smoothing.smooth_curves(df, "t", "v", budget).toPandas().sort_values("i")
+    for station, (x, y) in waves.items():
+        of = got[got["station"] == station]
+        value, slope, sse = dense_smoothing(x, y, budget, np.linspace(x[0], x[-1], 3 * len(x)))
+        assert of["value"].to_numpy() == pytest.approx(value, abs=1e-6) and of["slope"].to_numpy() == pytest.approx(slope, abs=1e-6)
+        assert of["sse"].iloc[0] == pytest.approx(sse, abs=1e-7)
+    assert set(got[got["station"] == "one"]["value"]) == {7.0}
+    assert got[got["station"] == "two"]["value"].tolist() == pytest.approx(np.linspace(2, 6, 6).tolist())
 
 
 def test_pair_correlation_matches_all_pairs(spark):
