@@ -143,19 +143,20 @@ def cameron_trivedi(minute_counts: DataFrame, keys: list[str]) -> DataFrame:
     return scored.select(*keys, "m", "slope", "z", S.normal_sf(F.col("z")).alias("p_value"))
 
 
-def poisson_versus_nb(counts: DataFrame, keys: list[str], minutes_label: str = "hour") -> DataFrame:
-    """AIC of Poisson and unit-dispersion negative-binomial models with one mean per hour.
+def poisson_versus_nb(counts: DataFrame, keys: list[str], factor: str | None = "hour") -> DataFrame:
+    """AIC of Poisson and unit-dispersion negative-binomial models with one mean per level of a factor, or with an intercept only.
 
-    A factor with every level free makes the hourly averages the fitted means of both families, so the
-    likelihoods are sums over counts. ``counts`` is (keys, hour, n), non-empty windows only.
+    A factor with every level free makes the averages of its levels the fitted means of both families, so the
+    likelihoods are sums over counts. ``counts`` is (keys, factor, n), non-empty windows only.
     """
-    means = counts.groupBy(*keys, minutes_label).agg(F.avg("n").alias("mu"))
-    rows = counts.join(means, [*keys, minutes_label])
+    levels = [factor] if factor else []
+    means = counts.groupBy(*keys, *levels).agg(F.avg("n").alias("mu"))
+    rows = counts.join(means, [*keys, *levels])
     n, mu = F.col("n").cast("double"), F.col("mu")
     poisson = n * F.log(mu) - mu - S.lgamma(n + 1)
     geometric = n * F.log(mu / (1 + mu)) - F.log(1 + mu)
     pearson = (n - mu) * (n - mu)
-    params = 2 * F.count_distinct(minutes_label)
+    params = 2 * F.count_distinct(factor) if factor else F.lit(2)
     return rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("windows"),
         (params - 2 * F.sum(poisson)).alias("poisson_aic"),

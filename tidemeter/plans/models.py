@@ -181,21 +181,77 @@ def poisson_versus_nb(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(process.poisson_versus_nb(counts, ["station"]), 4)
 
 
-def fine_signatures(spark: SparkSession, sf: str) -> DataFrame:
+@query(
+    "m11_intercept_only",
+    f"""WITH {O.TAPS}, c AS (SELECT station, {O.bucket(15)} AS w, count(*) AS n FROM taps GROUP BY ALL),
+m AS (SELECT station, n, avg(n) OVER (PARTITION BY station) AS mu FROM c)
+SELECT station, count(*) AS windows, round(2 - 2 * sum(n * ln(mu) - mu - lgamma(n + 1)), 4) AS poisson_aic,
+ round(2 - 2 * sum(n * ln(mu / (1 + mu)) - ln(1 + mu)), 4) AS nb_aic, round(sum(pow(n - mu, 2) / mu), 4) AS poisson_chi2,
+ round(sum(pow(n - mu, 2) / (mu + mu * mu)), 4) AS nb_chi2, round(var_samp(n) / avg(n), 4) AS vmr FROM m GROUP BY station""",
+)
+def intercept_only(spark: SparkSession, sf: str) -> DataFrame:
+    """The pair of models with one mean for all windows of a station."""
+    return rounded(process.poisson_versus_nb(rates.window_counts(tables.taps(spark, sf), 15), ["station"], None), 4)
+
+
+def fine_signatures(spark: SparkSession, sf: str, measure: str = "lambda_in") -> DataFrame:
     """Signatures of twenty finer stations (event type and card group); five are too few to cluster."""
-    taps = tables.taps(spark, sf).withColumn("station", F.concat_ws("-", "station", F.col("card") % 4))
-    daily = curves.daily_curves(rates.rate_facts(taps, BIN), "lambda_in", min_points=5)
+    daily = curves.daily_curves(rates.rate_facts(_fine_taps(spark, sf), BIN), measure, min_points=5)
     return curves.signatures(curves.aligned_curves(daily, LENGTH, 5))
 
 
+def _fine_taps(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.taps(spark, sf).withColumn("station", F.concat_ws("-", "station", F.col("card") % 4))
+
+
 K_BY_TYPE = {"WD": 3, "SA": 2, "SU": 4, "HO": 5}
 
 
-@query("m12_kmeans_by_type")
+def _kmeans_sql(curves_sql: str, k_by_type: dict[str, int], rounds: int = 16, seed: int = 42) -> str:
+    """K-means to its fixed point: standardised signatures, farthest-first start, written-out rounds; ``curves_sql`` ends in cp."""
+    fine = curves_sql.replace("event_type AS station,", "event_type || '-' || (user_id % 4) AS station,")
+    parts = [f"""{fine},
+sg AS (SELECT station, date_type, pos, avg(v) AS v FROM cp GROUP BY ALL),
+ms AS (SELECT date_type, pos, avg(v) AS m, stddev_pop(v) AS s FROM sg GROUP BY ALL),
+st AS MATERIALIZED (SELECT station, date_type, pos, CASE WHEN s > 1e-12 THEN (v - m) / s ELSE 0 END AS z FROM sg JOIN ms USING (date_type, pos)),
+kk(date_type, k) AS (VALUES {", ".join(f"('{t}', {k})" for t, k in k_by_type.items())}),
+able AS (SELECT date_type, k FROM st JOIN kk USING (date_type) GROUP BY ALL HAVING count(DISTINCT station) >= k),
+chosen_0 AS MATERIALIZED (SELECT date_type, 0 AS c, arg_min(station, md5('{seed}:' || station)) AS station FROM st SEMI JOIN able USING (date_type) GROUP BY date_type)"""]
+    for i in range(1, max(k_by_type.values())):
+        parts.append(f"""gap_{i} AS (SELECT date_type, station, min(d) AS gap FROM (
+  SELECT s.date_type, s.station, c.c, round(sum(pow(s.z - x.z, 2)), 10) AS d FROM st s JOIN chosen_{i - 1} c USING (date_type)
+  JOIN st x ON x.date_type = s.date_type AND x.station = c.station AND x.pos = s.pos GROUP BY ALL) GROUP BY ALL),
+chosen_{i} AS MATERIALIZED (SELECT * FROM chosen_{i - 1} UNION ALL (SELECT date_type, {i}, station FROM gap_{i} JOIN able USING (date_type)
+  WHERE k > {i} QUALIFY row_number() OVER (PARTITION BY date_type ORDER BY gap DESC, station) = 1))""")
+    last = max(k_by_type.values()) - 1
+    parts.append(f"cen_0 AS MATERIALIZED (SELECT date_type, c, pos, z FROM chosen_{last} JOIN st USING (date_type, station))")
+    for r in range(1, rounds + 1):
+        parts.append(f"""lab_{r} AS MATERIALIZED (SELECT date_type, station, c FROM (
+  SELECT s.date_type, s.station, n.c, round(sum(pow(s.z - n.z, 2)), 10) AS d FROM st s JOIN cen_{r - 1} n USING (date_type, pos) GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY date_type, station ORDER BY d, c) = 1),
+cen_{r} AS MATERIALIZED (SELECT o.date_type, o.c, o.pos, coalesce(round(m.z, 10), o.z) AS z FROM cen_{r - 1} o
+  LEFT JOIN (SELECT date_type, c, pos, avg(z) AS z FROM st JOIN lab_{r} USING (date_type, station) GROUP BY ALL) m USING (date_type, c, pos))""")
+    return "WITH " + ",\n".join(parts) + f"\nSELECT station, date_type, CAST(c AS INT) AS cluster FROM lab_{rounds}"
+
+
+@query("m12_kmeans_by_type", _kmeans_sql(O.curves(60, 5, 20), K_BY_TYPE))
 def kmeans_by_type(spark: SparkSession, sf: str) -> DataFrame:
     return cluster.kmeans_by_type(fine_signatures(spark, sf), K_BY_TYPE)
 
 
+@query("m12_kmeans_out", _kmeans_sql(O.curves(60, 5, 20, measure="lambda_out"), dict.fromkeys(K_BY_TYPE, 2)))
+def kmeans_out(spark: SparkSession, sf: str) -> DataFrame:
+    """Signatures of the way out, two clusters for every day type."""
+    return cluster.kmeans_by_type(fine_signatures(spark, sf, "lambda_out"), dict.fromkeys(K_BY_TYPE, 2))
+
+
+@query("m12_kmeans_time_range", _kmeans_sql(O.curves(60, 4, 9, start=600, end=1400), dict.fromkeys(K_BY_TYPE, 2)))
+def kmeans_time_range(spark: SparkSession, sf: str) -> DataFrame:
+    """Signatures of 06:00 to 14:00 from days with at least half of its hours, two clusters."""
+    facts = rates.rate_facts(_fine_taps(spark, sf), BIN)
+    return cluster.kmeans_by_type(curves.range_signatures(facts, "lambda_in", 600, 1400, BIN, 0.5), dict.fromkeys(K_BY_TYPE, 2))
+
+
 @query("m13_mixture_by_type")
 def mixture_by_type(spark: SparkSession, sf: str) -> DataFrame:
     return cluster.mixture_by_type(fine_signatures(spark, sf), {"WD": 2, "SA": 2, "SU": 2, "HO": 2})

@@ -96,9 +96,11 @@ dense AS (SELECT g.station, g.date_type, g.date, s.time, coalesce(f.count_in, 0)
           LEFT JOIN fx f ON f.station = g.station AND f.date_type = g.date_type AND f.date = g.date AND f.time = s.time)"""
 
 
-def curves(minutes: int, min_points: int, target: int, unit_sum: bool = True, start: int = 400, end: int = 2300) -> str:
+def curves(
+    minutes: int, min_points: int, target: int, unit_sum: bool = True, start: int = 400, end: int = 2300, measure: str = "lambda_in"
+) -> str:
     """CTEs ending in cp(station, year, month, day, day_of_week, date_type, pos, v): resampled daily curves."""
-    share = "lambda_in / sum(lambda_in) OVER (PARTITION BY station, year, month, day)" if unit_sum else "lambda_in"
+    share = f"{measure} / sum({measure}) OVER (PARTITION BY station, year, month, day)" if unit_sum else measure
     keys = "station, year, month, day, day_of_week, date_type"
     return f"""{rate_facts(minutes)},
 rk AS (SELECT {keys}, {share} AS x, row_number() OVER (PARTITION BY station, year, month, day ORDER BY time) - 1 AS i,

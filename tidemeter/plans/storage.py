@@ -15,6 +15,7 @@ from tidemeter.plans.registry import day, query, rounded, stamp
 from tidemeter.session import scratch_path
 from tidemeter.session import stored as written
 from tidemeter.sources import facts as facts_io
+from tidemeter.sources import ingest
 from tidemeter.sources import ledger as ledger_io
 from tidemeter.sources import stations as stations_io
 from tidemeter.sources import tables
@@ -256,3 +257,22 @@ def daily_csv_sink(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(
         back.groupBy(day("date").alias("date"), "station_field").agg(F.count(F.lit(1)).alias("n"), F.sum("exits").alias("exits")), 4
     )
+
+
+@query(
+    "s8_rate_ingest",
+    f"""WITH {O.rate_facts(15)}, code AS (SELECT DISTINCT station, trim(replace(split_part(station_field, ')', 1), '(', '')) AS code FROM taps)
+SELECT code, {", ".join(FACT_KEYS[1:])}, round(lambda_in, 6) AS estimated_lambda_in, round(lambda_out, 6) AS estimated_lambda_out FROM rates JOIN code USING (station)""",
+)
+def rate_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily check-in and check-out files, read by their headers, ingested into a table of rates; the check-ins come twice."""
+    texts = _texts(spark, sf)
+    ins = written(tables.read_checkin_files(spark, header_files(texts, tables.CHECKIN_COLUMNS)), "check-ins")
+    outs = written(tables.read_checkout_files(spark, header_files(texts, tables.CHECKOUT_COLUMNS)), "check-outs")
+    store, rates_table = ingest.empty_store(spark), ingest.empty_rates(spark)
+    for rows, process_type in ((ins, ingest.ESTIMATES_IN), (outs, ingest.ESTIMATES_OUT), (ins, ingest.ESTIMATES_IN)):
+        store, rates_table = ingest.ingest_rates(store, rates_table, rows, process_type)
+        store.stations, store.ledger, store.minutes = (written(part, "rate-store") for part in (store.stations, store.ledger, store.minutes))
+        rates_table = written(rates_table, "rates")
+    named = rates_table.join(store.stations.withColumnRenamed("id", "station_id"), "station_id")
+    return rounded(named.select("code", *FACT_KEYS[1:], *facts_io.RATE_MEASURES))

@@ -15,6 +15,10 @@ from tidemeter.sources import facts, ledger, stations
 
 CHECKINS = "daily_check_ins_counts_15min"
 CHECKOUTS = "daily_check_outs_counts_15min"
+ESTIMATES_IN = "daily_check_ins_estimates"
+ESTIMATES_OUT = "daily_check_outs_estimates"
+LEAVING = (CHECKOUTS, ESTIMATES_OUT)
+RATE_COLUMNS = [*facts.COUNT_KEYS, *facts.RATE_MEASURES]
 FACT_COLUMNS = [*facts.COUNT_KEYS, *facts.COUNT_MEASURES]
 FACT_SCHEMA = (
     "year int, month int, day int, day_of_week int, time int, date_type string, station_id int, "
@@ -52,7 +56,7 @@ def minutes_of(rows: DataFrame, process_type: str) -> DataFrame:
     Two spellings of one station add up because grouping is by the parsed code.
     """
     keyed = rows.withColumn("code", C.station_code("station_field")).where("code IS NOT NULL AND ts IS NOT NULL")
-    exits = F.sum("exits") if process_type == CHECKOUTS else F.lit(None).cast("double")
+    exits = F.sum("exits") if process_type in LEAVING else F.lit(None).cast("double")
     return keyed.groupBy("code", C.floor_minutes("ts", 1).alias("minute")).agg(F.count(F.lit(1)).alias("n"), exits.alias("exits")).select(
         "code", "minute", F.lit(process_type).alias("process_type"), "n", "exits"
     )
@@ -76,6 +80,38 @@ def facts_of(minutes: DataFrame, dimension: DataFrame) -> DataFrame:
     return named.select(*FACT_COLUMNS)
 
 
+def rates_of(minutes: DataFrame, dimension: DataFrame, process_type: str) -> DataFrame:
+    """Quarter-hour rates of one direction from minute sums: mean check-ins of the 5-minute bins that hold any, or exits per 5 minutes."""
+    bins = minutes.where(F.col("process_type") == process_type).groupBy("code", C.floor_minutes("minute", 5).alias("bin")).agg(
+        F.sum("n").alias("n"), F.sum("exits").alias("exits")
+    )
+    windows = bins.groupBy(F.col("code").alias("station"), C.floor_minutes("bin", 15).alias("window")).agg(
+        F.avg("n").alias("lambda_in"), (F.sum("exits") / 3).alias("lambda_out")
+    )
+    measure = "lambda_out" if process_type in LEAVING else "lambda_in"
+    dated = rates.with_calendar(windows.select("station", "window", F.col(measure).alias(f"estimated_{measure}")))
+    named = stations.attach_station(dated.withColumnRenamed("station", "code"), dimension).withColumnRenamed("id", "station_id")
+    return named.select(*facts.COUNT_KEYS, f"estimated_{measure}")
+
+
+def ingest_rates(store: Store, table: DataFrame, rows: DataFrame, process_type: str) -> tuple[Store, DataFrame]:
+    """Apply the files that the ledger does not list yet to a table of rates (``RATE_COLUMNS``); only the days they touch change.
+
+    Check-ins and check-outs are ingested apart: each overwrites its own measure on known keys and leaves the other one. Counts stay.
+    """
+    after, added = _step(store, rows, process_type)
+    after.facts = store.facts
+    days = added.select(F.to_date("minute").alias("date")).distinct()
+    touched = after.minutes.join(days, F.to_date("minute") == days["date"], "left_semi")
+    merged = facts.upsert(table, rates_of(touched, after.stations, process_type), facts.COUNT_KEYS, facts.RATE_MEASURES)
+    return after, merged
+
+
+def empty_rates(spark: SparkSession) -> DataFrame:
+    fields = dict(f.split() for f in FACT_SCHEMA.split(", "))
+    return spark.createDataFrame([], ", ".join([*(f"{k} {fields[k]}" for k in facts.COUNT_KEYS), *(f"{m} double" for m in facts.RATE_MEASURES)]))
+
+
 def days_of(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_date("ts").alias("date")).where("date IS NOT NULL").distinct()
 
