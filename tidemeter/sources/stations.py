@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemeter.functions import columns as C
 from tidemeter.operators.split import running_total
+from tidemeter.session import stored
 
 
 def by_code(stations: DataFrame, *codes: str) -> DataFrame:
@@ -30,7 +31,7 @@ def new_members(stations: DataFrame, found: DataFrame) -> DataFrame:
 
 def insert_members(stations: DataFrame, found: DataFrame) -> DataFrame:
     """Dimension with unknown members appended; ids continue after the highest one, in code order."""
-    fresh = new_members(stations, found).withColumn("_one", F.lit(1))
+    fresh = stored(new_members(stations, found), "members").withColumn("_one", F.lit(1))
     numbered = running_total(fresh, [], ["code"], {"position": "_one"})
     top = stations.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).scalar()
     added = numbered.select((top + F.col("position")).cast("int").alias("id"), "code", "name")
