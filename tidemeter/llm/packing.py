@@ -42,7 +42,6 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.merge = self.tokenizer.model.tokenize
         self.letters = {ord(chr(b)): letter for b, letter in byte_letters().items()}
         self.plain = Remembered(self._plain, most // 2)
