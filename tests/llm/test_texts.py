@@ -63,9 +63,9 @@ def test_encode_documents_edges(spark, library):
 
 def test_word_tokenizer_equals_the_library():
     whole, own, rng = Tokenizer.from_file(WORDS), packing.WordTokenizer(WORDS, 300), random.Random(3)
-    whole.encode_special_tokens = True
-    for _ in range(5000):
-        text = "".join(rng.choice(LETTERS) for _ in range(rng.randint(0, 25)))
+    pieces = [*LETTERS, "<|endoftext|>", "<|startoftext|>", "<|endof", "text|>"]
+    for _ in range(6000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 25)))
         assert own.encode(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
@@ -218,3 +218,25 @@ def test_quality_without_labels_or_rows(spark):
     assert quality.score_quality(frame(spark, ["a"]), None).first().score == 0.5
     texts, labels = labelled(spark, 20)
     assert quality.score_quality(frame(spark, []), quality.fit(frame(spark, texts), labels, F.lit(True))).collect() == []
+
+
+def test_components_of_random_graphs(spark):
+    from tidemeter.llm.common import components
+
+    rng = random.Random(9)
+    edges = [(rng.randrange(3000), rng.randrange(3000)) for _ in range(1500)] + [(5000 + i, 5001 + i) for i in range(400)] + [(9000, 9001 + i) for i in range(300)] + [(7, 7)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(6)
+    got = {r.node: r.component for r in components(frame, "test-components").collect()}
+    assert got == {x: find(x) for e in edges for x in e if e[0] != e[1]}
+    assert components(frame.where("a < 0"), "test-components").collect() == []

@@ -106,14 +106,46 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(F.col(column))), F.lit(0)).cast("long")).first()[0]
 
 
+def least_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of some edges and the smallest node that each can reach by them."""
+    nodes, places = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = places[: len(a)], places[len(a) :]
+    label = np.arange(len(nodes))
+    while len(a):
+        least = np.minimum(label[a], label[b])
+        for side in (a, b):
+            np.minimum.at(label, label[side], least)
+        while (label[label] != label).any():
+            label = label[label]
+        differ = label[a] != label[b]
+        a, b = a[differ], b[differ]
+    return nodes, nodes[label]
+
+
+def stars(edges: DataFrame) -> DataFrame:
+    """The edges of every task as one star for each component that they form; the graph's components stay."""
+
+    def contract(batches):
+        import pyarrow as pa
+
+        held = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches]
+        if not held:
+            return
+        nodes, low = least_labels(*(np.concatenate(side) for side in zip(*held, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[nodes != low]), pa.array(low[nodes != low])], ["a", "b"])
+
+    return edges.select("a", "b").mapInArrow(contract, "a long, b long")
+
+
 def components(edges: DataFrame, label: str) -> DataFrame:
-    """(node, component) of every node in the undirected ``edges`` (a, b); the component is its smallest node.
+    """(node, component) of every node in the undirected ``edges`` (a, b), longs; the component is its smallest node.
 
-    Alternates two joins until nothing changes: every node sends the smallest node of its neighbourhood to its
-    larger neighbours, then to its smaller ones. Each round is a written table. Edges to a node of many
-    neighbours are aggregated before they meet.
+    Every task first contracts the edges of its files to stars. Then two joins alternate until nothing changes: every
+    node sends the smallest node of its neighbourhood to its larger neighbours, then to its smaller ones. Each round is a
+    written table. Edges to a node of many neighbours are aggregated before they meet.
     """
-    edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
+    edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), label)
+    edges = stored(stars(edges).distinct(), label)
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -127,7 +159,7 @@ def components(edges: DataFrame, label: str) -> DataFrame:
             .where("a <> b")
             .distinct()
         )
-        edges = stored(small, label)
+        edges = stored(stars(stored(small, label)), label)
         state = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.lit(0))).first()
         if state == seen:
             break
