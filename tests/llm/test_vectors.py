@@ -98,8 +98,21 @@ def test_nearest_edges_and_many_copies(spark):
     assert [r for r in rows if r[0] == 0] == [(0, k, k) for k in range(1, 6)]
     assert [r for r in rows if r[0] == 50] == [(50, k + 1, k) for k in range(5)]
     assert postings.nearest(frame(spark, []), ask()).collect() == []
-    one = postings.nearest(frame(spark, [(0, [1e200 if False else 1.0])]), ask())
-    assert one.collect() == []
+    assert postings.nearest(frame(spark, [(0, [1e200])]), ask()).collect() == []
+    wide = [(0, [1e200, 1e200]), (1, [1e-200, 1e-200]), (2, [1e200, -1e-200]), (3, [-3e-310, 0.0]), (4, [1.7e308, 1.7e308])]
+    found = sorted(tuple(r)[1:] for r in postings.nearest(frame(spark, wide), ask()).collect())
+    assert [r[:2] for r in found] == [(1, 1), (2, 4), (3, 2), (4, 3)]
+    assert [r[2] for r in found] == pytest.approx([1.0, 1.0, 0.5**0.5, -(0.5**0.5)])
+
+
+def test_queries_of_a_small_far_group_find_k_rows(spark):
+    rng = np.random.default_rng(4)
+    near = [(i, [1.0, *(1e-4 * rng.normal(size=5)).tolist()]) for i in range(4000)]
+    far = [(5000 + 50 * i, [-1.0, 0.1 * i, 0.0, 0.0, 0.0, 0.0]) for i in range(3)]
+    found = postings.nearest(frame(spark, near + far), ask(), list_rows=256, most_lists=16).collect()
+    for query in (5000, 5050, 5100):
+        mine = sorted((r["rank"], r.vec_id) for r in found if r.query_id == query)
+        assert len(mine) == 5 and {i for _, i in mine[:2]} == {5000, 5050, 5100} - {query}
 
 
 def test_graph_walk_finds_the_lists_of_a_scan():
@@ -108,6 +121,6 @@ def test_graph_walk_finds_the_lists_of_a_scan():
     graph = postings.neighbour_graph(centres)
     for point in rng.normal(size=(20, 8)):
         d = np.sqrt(((centres - point) ** 2).sum(1))
-        found = postings.graph_lists(point, centres, graph, 1.3)
+        found = postings.graph_lists(point, centres, graph, 1.3, np.ones(300, int), 6)
         want = set(np.flatnonzero(d <= 1.3 * d.min()).tolist())
         assert len(want & set(found)) >= 0.9 * len(want)

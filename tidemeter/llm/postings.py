@@ -67,8 +67,14 @@ def neighbour_graph(centres: np.ndarray, degree: int = 16) -> np.ndarray:
     return np.hstack([np.concatenate(near), ring])
 
 
-def graph_lists(point: np.ndarray, centres: np.ndarray, graph: np.ndarray, ratio: float, beam: int = 32) -> list[int]:
-    """Centres within ``ratio`` of the nearest one found, by walking the graph nearest first."""
+def graph_lists(
+    point: np.ndarray, centres: np.ndarray, graph: np.ndarray, ratio: float, sizes: np.ndarray, least: int, beam: int = 32
+) -> list[int]:
+    """Centres within ``ratio`` of the nearest one found, by walking the graph nearest first.
+
+    ``sizes`` counts every vector in one list, its nearest. Where the lists so kept hold fewer than ``least`` vectors, the
+    walk goes on and the next ones are kept too, all lists if need be.
+    """
 
     def far(which):
         return np.sqrt(np.maximum(((centres[which] - point) ** 2).sum(1), 0))
@@ -79,19 +85,26 @@ def graph_lists(point: np.ndarray, centres: np.ndarray, graph: np.ndarray, ratio
     heap = [(float(d), int(c)) for d, c in zip(far(start), start)]
     heapq.heapify(heap)
     visited: list[tuple[float, int]] = []
-    best = math.inf
+    best, met = math.inf, 0
     while heap:
         d, c = heapq.heappop(heap)
         best = min(best, d)
-        if len(visited) >= beam and d > ratio * best + 1e-12:
+        if len(visited) >= beam and d > ratio * best + 1e-12 and met >= least:
             break
         visited.append((d, c))
+        met += int(sizes[c])
         fresh = np.unique(graph[c])
         fresh = fresh[~seen[fresh]]
         seen[fresh] = True
         for e, x in zip(far(fresh).tolist(), fresh.tolist()):
             heapq.heappush(heap, (e, x))
-    return [c for d, c in visited if d <= ratio * best + 1e-12]
+    kept, met = [], 0
+    for d, c in sorted(visited):
+        if d > ratio * best + 1e-12 and met >= least:
+            break
+        kept.append(c)
+        met += int(sizes[c])
+    return kept
 
 
 def boundary_lists(points: np.ndarray, centres: np.ndarray, slack: float, most: int) -> list[list[int]]:
@@ -115,8 +128,8 @@ def boundary_lists(points: np.ndarray, centres: np.ndarray, slack: float, most:
 
 
 def covering_ratio(sample: np.ndarray, centres: np.ndarray, slack: float, most: int, k: int, cover: float) -> float:
-    """The distance ratio at which ``cover`` of the sample's true neighbours lie in a kept list."""
-    base = sample[:8192]
+    """The distance ratio, 1 at least, at which ``cover`` of the true neighbours of rows from the whole sample lie in a kept list."""
+    base = sample[:: -(-len(sample) // 8192)]
     asked = base[:: max(1, len(base) // 256)][:256]
     if len(base) <= k:
         return math.inf
@@ -127,11 +140,15 @@ def covering_ratio(sample: np.ndarray, centres: np.ndarray, slack: float, most:
     d = np.sqrt(_distances(asked, centres))
     nearest = np.maximum(d.min(1), 1e-9)
     need = [min(d[i, lists[j]]) / nearest[i] for i, row in enumerate(true) for j in row]
-    return float(np.quantile(need, cover)) * 1.01
+    return max(1.0, float(np.quantile(need, cover)) * 1.01)
 
 
 def fixed_order_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosines of paired rows in doubles, summed position by position so that equal pairs give equal scores."""
+    """Cosines of paired rows in doubles, summed position by position so that equal pairs give equal scores.
+
+    Rows are first scaled by powers of two, which rounds nothing, so that no square overflows or vanishes.
+    """
+    a, b = (np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0))[1][:, None]) for x in (a, b))
     dot, aa, bb = (np.zeros(len(a)) for _ in range(3))
     for x, y in zip(a.T, b.T):
         dot += x * y
@@ -158,7 +175,7 @@ def nearest(
 
     The centroids (at most ``most_lists``) and the distance ratio come from at most about ``sample_rows`` rows,
     chosen by a hash of the id; every row is indexed. Lists that grow beyond ``piece_rows`` are dealt out in
-    pieces which are all searched, so no row is lost. Ties go to the smaller id. Vectors that are null, zero or hold
+    pieces which are all searched, so no row is lost. A query searches lists of at least k other vectors. Ties go to the smaller id. Vectors that are null, zero or hold
     null or non-finite components, and rows with a null id, take no part. Vectors of different length are compared as
     if filled up with zeros. An empty table gives no rows.
     """
@@ -186,7 +203,7 @@ def nearest(
     lists = max(1, min(most_lists, math.ceil(rows / list_rows), len(sample)))
     centres = balanced_centroids(sample, lists)
     ratio = covering_ratio(sample, centres, slack, replicas, k, cover)
-    index = spark.sparkContext.broadcast((centres, neighbour_graph(centres), ratio))
+    index = spark.sparkContext.broadcast((centres, neighbour_graph(centres), ratio))  # bounded by most_lists
 
     def assign(batches):
         import pyarrow as pa
@@ -203,12 +220,16 @@ def nearest(
         centres_, graph, ratio_ = index.value
         for batch in batches:
             if batch.num_rows:
-                chosen = [graph_lists(x, centres_, graph, ratio_) for x in units(batch.column(1))]
+                chosen = [graph_lists(x, centres_, graph, ratio_, sizes, k + 1) for x in units(batch.column(1))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(chosen, pa.list_(pa.int32()))], ["vec_id", "vector", "lists"])
 
     dealt = "vec_id long, vector array<double>, lists array<int>"
     held = stored(frame.select("vec_id", "vector").mapInArrow(assign, dealt), "ann-lists")
+    sizes = np.zeros(len(centres), np.int64)  # vectors by their nearest list
+    for row in held.groupBy(F.col("lists")[0].alias("list")).count().collect():
+        sizes[row["list"]] = row["count"]
     asked = stored(frame.where("asks").select("vec_id", "vector").mapInArrow(walk, dealt), "ann-queries")
+    index.destroy()
     held = held.select(F.explode("lists").alias("list"), "vec_id", "vector")
     asked = asked.select(F.explode("lists").alias("list"), F.col("vec_id").alias("query_id"), F.col("vector").alias("q_vector"))
 
