@@ -197,11 +197,10 @@ def slot_dispersion(dense: DataFrame, measure: str) -> DataFrame:
     """Size r per slot from mean and population variance across days; the group median where not overdispersed."""
     stats = dense.groupBy("station", "date_type", "time").agg(F.avg(measure).alias("mu"), F.var_pop(measure).alias("var"))
     r = F.when(F.col("var") > F.col("mu"), F.col("mu") * F.col("mu") / (F.col("var") - F.col("mu")))
-    sized = stats.withColumn("r", r)
-    typical = sized.groupBy("station", "date_type").agg(
-        F.median("r").alias("median_r"), F.avg(F.when(F.col("r").isNotNull(), 1.0).otherwise(0.0)).alias("over_share")
-    )
-    return sized.join(typical, ["station", "date_type"]).withColumn("r", F.coalesce("r", "median_r"))
+    group = Window.partitionBy("station", "date_type")  # at most one row for each slot of the day
+    over = F.avg(F.when(F.col("r").isNotNull(), 1.0).otherwise(0.0)).over(group)
+    sized = stats.withColumn("r", r).withColumns({"median_r": F.median("r").over(group), "over_share": over})
+    return sized.withColumn("r", F.coalesce("r", "median_r"))
 
 
 def daily_dispersion(dense: DataFrame, measure: str, variance: str, minutes: int = 15) -> DataFrame:
@@ -209,9 +208,9 @@ def daily_dispersion(dense: DataFrame, measure: str, variance: str, minutes: int
     mu, var = F.col(measure) / F.lit(float(minutes)), F.col(variance)
     r_day = dense.withColumn("r_day", F.when(var > mu, mu * mu / (var - mu)))
     slots = r_day.groupBy("station", "date_type", "time").agg(F.median("r_day").alias("r_slot"))
-    typical = slots.groupBy("station", "date_type").agg(F.median("r_slot").alias("typical"))
+    typical = F.median("r_slot").over(Window.partitionBy("station", "date_type"))  # at most one row for each slot of the day
     r = F.greatest(F.coalesce("r_slot", "typical", F.lit(1e6)), F.lit(1e-6))
-    return slots.join(typical, ["station", "date_type"]).select("station", "date_type", "time", r.alias("r"))
+    return slots.withColumn("typical", typical).select("station", "date_type", "time", r.alias("r"))
 
 
 def global_dispersion(slot_r: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from tidemeter.operators import ranktests
 from tidemeter.plans import oracle as O
 from tidemeter.plans.registry import day, query, rounded, stamp
 from tidemeter.plans.storage import STATIONS_SQL, station_dimension
+from tidemeter.session import stored
 from tidemeter.sources import facts as facts_io
 from tidemeter.sources import stations as stations_io
 from tidemeter.sources import tables
@@ -19,7 +20,8 @@ BIN, POINTS, LENGTH = 60, 10, 20  # hourly curves: the test events are too spars
 
 
 def _open_facts(spark: SparkSession, sf: str, minutes: int = BIN) -> DataFrame:
-    return rates.count_facts(tables.taps(spark, sf), minutes).where(C.in_hours("time"))
+    """Facts of the open hours out of a written fact table, as they are read several times."""
+    return stored(rates.count_facts(tables.taps(spark, sf), minutes), "facts").where(C.in_hours("time"))
 
 
 def _dense(spark: SparkSession, sf: str, minutes: int = BIN) -> DataFrame:

@@ -11,6 +11,7 @@ from tidemeter.plans import oracle as O
 from tidemeter.plans.flow import ACCURACY_SQL, BIN, HOLDOUT_SQL, LENGTH, POINTS, aligned_curves
 from tidemeter.plans.registry import day, query, rounded
 from tidemeter.plans.scalars import _family_sql, _parameter_sql
+from tidemeter.session import stored
 from tidemeter.sources import tables
 
 
@@ -37,7 +38,7 @@ def compensator_increments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _facts(spark: SparkSession, sf: str) -> DataFrame:
-    return rates.count_facts(tables.taps(spark, sf), BIN)
+    return stored(rates.count_facts(tables.taps(spark, sf), BIN), "facts")
 
 
 @query("m3_smoothed_intensity")
