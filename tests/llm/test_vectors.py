@@ -98,9 +98,10 @@ def test_nearest_edges_and_many_copies(spark):
     assert [r for r in rows if r[0] == 0] == [(0, k, k) for k in range(1, 6)]
     assert [r for r in rows if r[0] == 50] == [(50, k + 1, k) for k in range(5)]
     assert postings.nearest(frame(spark, []), ask()).collect() == []
-    assert postings.nearest(frame(spark, [(0, [1e200])]), ask()).collect() == []
+    doubles = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert postings.nearest(doubles([(0, [1e200])]), ask()).collect() == []
     wide = [(0, [1e200, 1e200]), (1, [1e-200, 1e-200]), (2, [1e200, -1e-200]), (3, [-3e-310, 0.0]), (4, [1.7e308, 1.7e308])]
-    found = sorted(tuple(r)[1:] for r in postings.nearest(frame(spark, wide), ask()).collect())
+    found = sorted(tuple(r)[1:] for r in postings.nearest(doubles(wide), ask()).collect())
     assert [r[:2] for r in found] == [(1, 1), (2, 4), (3, 2), (4, 3)]
     assert [r[2] for r in found] == pytest.approx([1.0, 1.0, 0.5**0.5, -(0.5**0.5)])
 
