@@ -116,6 +116,21 @@ def test_queries_of_a_small_far_group_find_k_rows(spark):
         assert len(mine) == 5 and {i for _, i in mine[:2]} == {5000, 5050, 5100} - {query}
 
 
+def test_loose_queries_among_copies_find_their_neighbours(spark):
+    rng = np.random.default_rng(2)
+    pool, loose = rng.normal(size=(20, 12)), rng.normal(size=(6000, 12))
+    rows = [(i, (loose[i] if i % 50 == 0 or i % 10 == 3 else pool[i % 20]).tolist()) for i in range(6000)]
+    found = postings.nearest(frame(spark, rows), ask(), list_rows=64).collect()
+    x = np.array([v for _, v in rows], np.float32).astype(float)
+    x /= np.sqrt((x**2).sum(1))[:, None]
+    hits = 0
+    for query in range(0, 6000, 50):
+        score = x @ x[query]
+        score[query] = -2
+        hits += sum(r.score >= np.sort(score)[-5] - 1e-9 for r in found if r.query_id == query)
+    assert hits >= 0.9 * len(found) and len(found) == 600
+
+
 def test_graph_walk_finds_the_lists_of_a_scan():
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(300, 8))

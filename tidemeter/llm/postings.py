@@ -2,9 +2,10 @@
 
 Centroids are fitted on a bounded sample by halving it along its widest direction until the wanted number of
 equal parts is reached, then a few rounds of assignment with a price on large parts. Every vector goes to its nearest
-centroid and, near a boundary, to further ones that are about as near and not behind an earlier one. A query walks a
-neighbour graph over the centroids, nearest first, and keeps the lists whose distance is within a ratio of the
-nearest. The ratio is measured on the sample so that enough true neighbours are covered. Kept lists are scored exactly.
+centroid and, near a boundary, to further ones that are about as near and not behind an earlier one. A query compares
+all centroids and keeps the lists whose distance is within a ratio of the nearest. The ratio is measured with queries
+against the sample, apart for queries near a centroid and far from any, so that enough true neighbours of both are
+covered. Kept lists are scored exactly.
 """
 
 from __future__ import annotations
@@ -127,20 +128,60 @@ def boundary_lists(points: np.ndarray, centres: np.ndarray, slack: float, most:
     return out
 
 
-def covering_ratio(sample: np.ndarray, centres: np.ndarray, slack: float, most: int, k: int, cover: float) -> float:
-    """The distance ratio, 1 at least, at which ``cover`` of the true neighbours of rows from the whole sample lie in a kept list."""
-    base = sample[:: -(-len(sample) // 8192)]
-    asked = base[:: max(1, len(base) // 256)][:256]
-    if len(base) <= k:
-        return math.inf
-    score = asked @ base.T
-    score[np.arange(len(asked)), np.arange(0, len(base), max(1, len(base) // 256))[: len(asked)]] = -np.inf
-    true = np.argpartition(-score, k - 1, axis=1)[:, :k]
-    lists = boundary_lists(base, centres, slack, most)
-    d = np.sqrt(_distances(asked, centres))
-    nearest = np.maximum(d.min(1), 1e-9)
-    need = [min(d[i, lists[j]]) / nearest[i] for i, row in enumerate(true) for j in row]
-    return max(1.0, float(np.quantile(need, cover)) * 1.01)
+#: Queries and sampled rows on which ratios are measured, at most, and queries of one ratio, about.
+ASKED, GIVEN, TOGETHER = 1024, 16384, 64
+#: Distances below it are rounding.
+TINY = 1e-7
+
+
+def covering_ratios(
+    asked: np.ndarray, asked_ids: np.ndarray, sample: np.ndarray, sample_ids: np.ndarray, centres: np.ndarray, slack: float, most: int, k: int, cover: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the distance to the nearest centre, and between them the distance ratio, 1 at least, at which ``cover`` of the
+    true neighbours that queries of such a distance have in the sample lie in a kept list.
+
+    Copies lie on a centre and loose rows far from any; one ratio for all would be that of the larger group.
+    """
+    sample, sample_ids = sample[:GIVEN], sample_ids[:GIVEN]
+    if len(sample) <= k or not len(asked):
+        return np.empty(0), np.array([math.inf])
+    lists = boundary_lists(sample, centres, slack, most)
+    filled = np.array([own + own[:1] * (most - len(own)) for own in lists])
+    best, need = [], []
+    for start in range(0, len(asked), 128):
+        part, d = asked[start : start + 128], np.sqrt(_distances(asked[start : start + 128], centres))
+        score = part @ sample.T
+        score[asked_ids[start : start + 128, None] == sample_ids[None, :]] = -np.inf
+        true = np.argpartition(-score, k - 1, axis=1)[:, :k]
+        best.append(d.min(1))
+        at = np.take_along_axis(d[:, None, :], filled[true].reshape(len(part), 1, -1), 2).reshape(len(part), k, most)
+        need.append(at.min(2) / np.maximum(best[-1], TINY)[:, None])
+    best, need = np.concatenate(best), np.concatenate(need)
+    order = np.argsort(best, kind="stable")
+    parts = np.array_split(order, max(1, len(order) // TOGETHER))
+    ratios = [max(1.0, float(np.quantile(need[p], cover)) * 1.01) for p in parts]
+    return np.array([best[p[0]] for p in parts[1:]]), np.array(ratios)
+
+
+def near_lists(
+    points: np.ndarray, centres: np.ndarray, bounds: np.ndarray, ratios: np.ndarray, sizes: np.ndarray, least: int
+) -> list[list[int]]:
+    """For every point the centres within the ratio of its nearest one, and further ones until their lists hold ``least`` vectors.
+
+    All centres are compared, since walks over a graph of them can end in a wrong group.
+    """
+    out: list[list[int]] = []
+    for start in range(0, len(points), 512):
+        d = np.sqrt(_distances(points[start : start + 512], centres))
+        order = np.argsort(d, axis=1, kind="stable")
+        d = np.take_along_axis(d, order, 1)
+        ratio = ratios[np.searchsorted(bounds, d[:, 0], side="right")]
+        with np.errstate(invalid="ignore"):
+            near = (d <= (ratio * np.maximum(d[:, 0], TINY))[:, None] + TINY).sum(1)
+        held = np.cumsum(sizes[order], axis=1)
+        filled = (held < least).sum(1) + 1
+        out += [row[:n].tolist() for row, n in zip(order, np.maximum(near, filled))]
+    return out
 
 
 def fixed_order_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -173,8 +214,8 @@ def nearest(
 ) -> DataFrame:
     """About the k nearest other rows by cosine of every query row: query_id, rank, vec_id, score.
 
-    The centroids (at most ``most_lists``) and the distance ratio come from at most about ``sample_rows`` rows,
-    chosen by a hash of the id; every row is indexed. Lists that grow beyond ``piece_rows`` are dealt out in
+    The centroids (at most ``most_lists``) come from at most about ``sample_rows`` rows and the distance ratios from these and
+    at most about ``ASKED`` queries, all chosen by a hash of the id; every row is indexed. Lists that grow beyond ``piece_rows`` are dealt out in
     pieces which are all searched, so no row is lost. A query searches lists of at least k other vectors. Ties go to the smaller id. Vectors that are null, zero or hold
     null or non-finite components, and rows with a null id, take no part. Vectors of different length are compared as
     if filled up with zeros. An empty table gives no rows.
@@ -182,8 +223,8 @@ def nearest(
     frame = valid_vectors(vectors, id_column, vector_column)
     frame = frame.where(F.exists("vector", lambda x: x != 0)).select("vec_id", "vector", is_query.alias("asks"))
     frame = stored(frame, "ann-vectors")
-    known = frame.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
-    rows, width = known[0], known[1]
+    known = frame.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1)), F.count_if("asks")).first()
+    rows, width, asking = known
     spark = frame.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     if not rows:
@@ -194,16 +235,22 @@ def nearest(
         data = data / np.abs(data).max(1)[:, None]  # no square overflows
         return data / np.sqrt((data**2).sum(1))[:, None]
 
-    share = min(1.0, sample_rows / rows)
-    picked = frame.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    picked = picked.select("vec_id", "vector").limit(2 * sample_rows).toArrow().sort_by("vec_id")
-    if not picked.num_rows:
-        picked = frame.select("vec_id", "vector").limit(1).toArrow()
+    def some(of: DataFrame, wanted: int, n: int):
+        share = min(1.0, wanted / max(1, n))
+        rows_ = of.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("vec_id", "vector")
+        rows_ = rows_.limit(2 * wanted).toArrow().sort_by("vec_id")
+        return rows_ if rows_.num_rows else of.select("vec_id", "vector").limit(1).toArrow()
+
+    picked = some(frame, sample_rows, rows)
     sample = units(picked.column("vector"))
     lists = max(1, min(most_lists, math.ceil(rows / list_rows), len(sample)))
-    centres = balanced_centroids(sample, lists)
-    ratio = covering_ratio(sample, centres, slack, replicas, k, cover)
-    index = spark.sparkContext.broadcast((centres, neighbour_graph(centres), ratio))  # bounded by most_lists
+    centres = np.unique(np.round(balanced_centroids(sample, lists), 9), axis=0)  # copies have one centre
+    probes = some(frame.where("asks"), ASKED, asking)
+    if not probes.num_rows:
+        return spark.createDataFrame([], schema)
+    ids = [x.column("vec_id").to_numpy() for x in (probes, picked)]
+    bounds, ratios = covering_ratios(units(probes.column("vector")), ids[0], sample, ids[1], centres, slack, replicas, k, cover)
+    index = spark.sparkContext.broadcast((centres, bounds, ratios))  # bounded by most_lists
 
     def assign(batches):
         import pyarrow as pa
@@ -217,10 +264,10 @@ def nearest(
     def walk(batches):
         import pyarrow as pa
 
-        centres_, graph, ratio_ = index.value
+        centres_, bounds_, ratios_ = index.value
         for batch in batches:
             if batch.num_rows:
-                chosen = [graph_lists(x, centres_, graph, ratio_, sizes, k + 1) for x in units(batch.column(1))]
+                chosen = near_lists(units(batch.column(1)), centres_, bounds_, ratios_, sizes, k + 1)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(chosen, pa.list_(pa.int32()))], ["vec_id", "vector", "lists"])
 
     dealt = "vec_id long, vector array<double>, lists array<int>"
