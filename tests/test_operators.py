@@ -162,6 +162,17 @@ def brute_dbscan(secs, eps, k):
     return list(zip(secs, labels))
 
 
+def test_density_frames_are_read_once_in_crowded_days(spark):
+    """No frame is added up anew for every second: all begin at the start of the day and end at or before the row."""
+    base = pd.Timestamp(DAY + "08:00:00")
+    taps = tap_frame(spark, [("s", str(base + pd.Timedelta(seconds=s))) for s in (0, 0, 1, 60, 61, 300, 361, 362, 500)])
+    found = density.clusters(density.arrival_seconds(taps), 60, 2)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "specifiedwindowframe" in plan and "unboundedfollowing" not in plan and "RangeFrame, -" not in plan
+    got = {r.sec: (r.neighbours, r.cluster) for r in found.collect()}
+    assert got == {0: (4, 0), 1: (5, 0), 60: (5, 0), 61: (3, 0), 300: (1, -1), 361: (2, 1), 362: (2, 1), 500: (1, -1)}
+
+
 @pytest.mark.parametrize("secs", [[0, 30, 60, 200, 1000], None])
 def test_density_clusters(spark, secs):
     if secs is None:

@@ -30,9 +30,22 @@ def arrival_seconds(taps: DataFrame, start: int = 400, end: int = 2300) -> DataF
 
 
 def neighbours(seconds: DataFrame, eps: int = 60) -> DataFrame:
-    """Taps within eps seconds on either side, the tap itself included."""
-    near = Window.partitionBy(*DAY).orderBy("sec").rangeBetween(-eps, eps)
-    return seconds.withColumn("neighbours", F.sum("n").over(near))
+    """Taps within eps seconds on either side, the tap itself included.
+
+    A running total is read before the first and after the last second of every reach, so a second costs the same in
+    crowded days; a frame of the reach would be added up anew for each.
+    """
+    marks = F.array(
+        F.struct((F.col("sec") - eps).alias("at"), F.lit(0).alias("kind")),  # before what happens at that second
+        F.struct(F.col("sec").alias("at"), F.lit(1).alias("kind")),
+        F.struct((F.col("sec") + eps).alias("at"), F.lit(2).alias("kind")),  # after it
+    )
+    upto = Window.partitionBy(*DAY).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    total = F.sum(F.when(F.col("kind") == 1, F.col("n")).otherwise(0)).over(upto)
+    read = seconds.withColumn("_mark", F.explode(marks)).select("*", "_mark.at", "_mark.kind").withColumn("_total", total)
+    kept = [F.max(F.when(F.col("kind") == 1, F.col(c))).alias(c) for c in seconds.columns if c not in (*DAY, "sec")]
+    inside = F.max(F.when(F.col("kind") == 2, F.col("_total"))) - F.max(F.when(F.col("kind") == 0, F.col("_total")))
+    return read.groupBy(*DAY, "sec").agg(*kept, inside.alias("neighbours"))
 
 
 def clusters(seconds: DataFrame, eps: int = 60, min_samples: int = 3) -> DataFrame:
@@ -42,10 +55,11 @@ def clusters(seconds: DataFrame, eps: int = 60, min_samples: int = 3) -> DataFra
     nearest dense second before them if it is within eps, else the one after.
     """
     order = Window.partitionBy(*DAY).orderBy("sec")
-    past, future = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    past = order.rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(*DAY).orderBy(F.desc("sec")).rowsBetween(Window.unboundedPreceding, -1)  # runs backwards, read once
     dense = neighbours(seconds, eps).withColumn("core", F.col("neighbours") >= min_samples)
     core_sec = F.when(F.col("core"), F.col("sec"))
-    placed = dense.withColumns({"prev": F.last(core_sec, True).over(past), "next": F.first(core_sec, True).over(future)})
+    placed = dense.withColumns({"prev": F.last(core_sec, True).over(past), "next": F.last(core_sec, True).over(ahead)})
     opens = F.col("core") & (F.col("prev").isNull() | (F.col("sec") - F.col("prev") > eps))
     runs = placed.withColumn("run", F.sum(opens.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1)
     label = (
