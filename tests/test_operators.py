@@ -193,6 +193,25 @@ def random_taps(spark, n=120, seed=4, hot_second=0):
     return tap_frame(spark, [("s", str(base + pd.Timedelta(seconds=s))) for s in secs]), sorted(240 + s / 60 for s in secs)
 
 
+def test_likeliest_cell_of_a_crowded_day_by_direct_sums():
+    """A fold of the day for every cell took minutes for days of this size; sums before a second are checked pair by pair."""
+    rng = np.random.default_rng(5)
+    second, n = np.unique(rng.integers(14_400, 82_800, 60_000), return_counts=True)
+    few = slice(0, 400)
+    for beta in (1e-8, 0.3, 40.0, 1e3):
+        got = hawkes._sums_before(second[few] - second[0], n[few], beta)
+        age = (second[few][:, None] - second[few][None, :]) / 60
+        assert np.allclose(got, np.where(age > 0, n[few] * np.exp(-beta * np.maximum(age, 0)), 0).sum(axis=1), rtol=1e-9, atol=0)
+    mu = np.full(len(second), 50.0)
+    alpha, beta, value = hawkes._likeliest(second, n, mu, 57_000.0, 1380.0)
+    held, direct = 0.0, -57_000.0
+    for k, t in enumerate(second / 60):
+        held = held * math.exp(-beta * (t - second[k - 1] / 60)) if k else 0.0
+        direct += sum(math.log(50 + alpha * (held + j)) for j in range(n[k])) - alpha * n[k] * (1 - math.exp(-beta * (1380 - t))) / beta
+        held += n[k]
+    assert value == pytest.approx(direct, abs=1e-3)
+
+
 def test_kernel_intensity_matches_direct_sum(spark):
     taps, times = random_taps(spark)
     grid = intensity.kernel_intensity(taps).orderBy("minute").collect()

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemeter.functions import columns as C
-from tidemeter.functions.columns import let
 from tidemeter.operators.goodness import ks_test, ljung_box, shifted_correlation
 from tidemeter.operators.intensity import DAY, LAST_MINUTE, kernel_intensity, open_taps, trapezoid
 from tidemeter.operators.split import spread
@@ -77,90 +78,74 @@ WIDE, NARROW, ROUNDS = 13, 5, 12
 DIGITS = 6
 
 
-def _log_sums(held: Column, e: Column, s: Column, alphas: Column) -> Column:
-    """The sums held for every beta and alpha, and the log intensities of the taps of one second, at s, s + 1, ..., s + n - 1."""
-    log = lambda x, a: F.log(e["mu"] + a * x)
-    taps = F.sequence(F.lit(0).cast("long"), e["n"] - 1)
-    several = lambda x, a: F.aggregate(taps, F.lit(0.0), lambda total, j: total + log(x + j, a))
-    added = lambda term: F.zip_with(held, s, lambda row, x: F.zip_with(row, alphas, lambda v, a: v + term(x, a)))
-    return F.when(e["n"] == 1, added(log)).otherwise(added(several))
-
-
-def _likelihoods(events: Column, betas: Column, alphas: Column, end: Column, cells: int) -> Column:
-    """Struct of log sums, a row for each beta and an entry for each alpha, and exposures, one for each beta, in one fold over the seconds of a day."""
-
-    def step(acc: Column, e: Column) -> Column:
-        n = e["n"]
-        s = F.zip_with(acc["held"], betas, lambda h, b: h * F.exp(-b * (e["t"] - acc["t"])))
-
-        def following(s: Column) -> Column:
-            seen = lambda x, b: x + n * (1 - F.exp(-b * (end - e["t"]))) / b
-            return F.struct(
-                e["t"].alias("t"),
-                F.transform(s, lambda x: x + n).alias("held"),
-                _log_sums(acc["value"], e, s, alphas).alias("value"),
-                F.zip_with(acc["exposure"], betas, seen).alias("exposure"),
-            )
-
-        return let(s, following)
-
-    zeros = F.array_repeat(F.lit(0.0), cells)
-    start = F.struct(F.lit(0.0).alias("t"), zeros.alias("held"), F.array_repeat(zeros, cells).alias("value"), zeros.alias("exposure"))
-    return F.aggregate(events, start, step)
-
-
-def _cells(low: Column, step: Column, cells: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda i: F.exp(low + i * step))
-
-
-def _narrowed(box: Column, events: Column, mass: Column, end: Column, cells: int) -> Column:
-    """The grid of half the step around the best cell of ``box``, up to the cells beside it; the best cell is one of the new grid's."""
-    step = box["step"]
-    bottom, top = F.lit(math.log(LOW)), F.lit(math.log(HIGH))
-
-    def placed(centre: Column) -> Column:
+#: Taps whose intensities are held at once.
+HELD = 1 << 20
+
+
+def _sums_before(at: np.ndarray, n: np.ndarray, beta: float) -> np.ndarray:
+    """The scan of ``decayed`` for the seconds of one day, counted from its first, and one beta."""
+    width = min(int(SPAN * 60 / beta), int(at[-1]) + 1)
+    counts = np.zeros((int(at[-1]) // width + 1, width))
+    counts.ravel()[at] = n
+    grow = np.exp(beta * np.arange(width) / 60.0)
+    total = np.cumsum(counts * grow, axis=1)
+    earlier = np.zeros_like(total)
+    earlier[:, 1:] = total[:, :-1]
+    earlier[1:] += total[:-1, -1:] * math.exp(-beta * width / 60.0)
+    return (earlier / grow).ravel()[at]
+
+
+def _box_cells(low: float, step: float, cells: int) -> np.ndarray:
+    return np.exp(low + np.arange(cells) * step)
+
+
+def _likeliest(second: np.ndarray, n: np.ndarray, mu: np.ndarray, mass: float, end: float) -> tuple[float, float, float]:
+    """alpha, beta and log-likelihood of one day by a grid that is narrowed around its best cell, up to the cells beside it."""
+    at, t, upto = second - second[0], second / 60.0, np.cumsum(n)
+    bottom, top = math.log(LOW), math.log(HIGH)
+    b = a = bottom
+    step, cells = (top - bottom) / (WIDE - 1), WIDE
+    for _ in range(ROUNDS + 1):
+        betas, alphas = _box_cells(b, step, cells), _box_cells(a, step, cells)
+        before = [_sums_before(at, n, beta) for beta in betas]
+        exposure = np.array([(n * (1 - np.exp(-beta * (end - t))) / beta).sum() for beta in betas])
+        value = -mass - exposure[:, None] * alphas[None, :]
+        for start in range(0, int(upto[-1]), HELD):
+            tap = np.arange(start, min(start + HELD, int(upto[-1])))
+            of = np.searchsorted(upto, tap, side="right")
+            later = tap - (upto - n)[of]  # further taps of one second stand one higher each
+            for i, s in enumerate(before):
+                x = s[of] + later
+                value[i] += [np.log(mu[of] + alpha * x).sum() for alpha in alphas]
+        value = np.round(value, DIGITS)
+        i, j = divmod(int(value.argmax()), cells)
+        best = (float(alphas[j]), float(betas[i]), float(value[i, j]))
         half = step / 2
-        return F.least(F.greatest(centre - half * (NARROW // 2), bottom), top - half * (NARROW - 1))
-
-    def chosen(alphas: Column, found: Column) -> Column:
-        total = lambda v, k: v - mass - F.get(alphas, k % cells) * F.get(found["exposure"], F.floor(k / cells).cast("int"))
-        scored = F.transform(F.flatten(found["value"]), lambda v, k: F.struct(F.round(total(v, k), DIGITS).alias("value"), (-k).alias("k")))
-        return F.array_max(scored)
-
-    def moved(best: Column) -> Column:
-        b = box["b"] + F.floor(-best["k"] / cells) * step
-        a = box["a"] + (-best["k"] % cells) * step
-        return F.struct(
-            placed(b).alias("b"), placed(a).alias("a"), (step / 2).alias("step"),
-            F.exp(b).alias("beta"), F.exp(a).alias("alpha"), best["value"].alias("loglik"),
-        )
-
-    def search(betas: Column, alphas: Column) -> Column:
-        return let(_likelihoods(events, betas, alphas, end, cells), lambda found: let(chosen(alphas, found), moved))
-
-    return let(_cells(box["b"], step, cells), lambda betas: let(_cells(box["a"], step, cells), lambda alphas: search(betas, alphas)))
+        b, a = (min(max(x - half * (NARROW // 2), bottom), top - half * (NARROW - 1)) for x in (b + i * step, a + j * step))
+        step, cells = half, NARROW
+    return best
 
 
 def fit(taps: DataFrame, bandwidth: float = 5.0, end: float = float(LAST_MINUTE)) -> DataFrame:
     """Rows per event second with the fitted parameters of its day and the rescaled gap ``tau``, as a stored table.
 
     The log-likelihood is taken on a grid over the whole range of log alpha and log beta, which is narrowed ``ROUNDS``
-    times. All of it is one expression over the seconds of a day, an array that the clock bounds. ``tau`` is the gap
+    times. A task does this for the seconds of a day, which the clock bounds, in arrays. ``tau`` is the gap
     from the previous event second; the other taps of the same second follow at distance 0. A day whose best alpha is its
     lower bound has no excitation that could tell beta, which is then its upper bound.
     """
     events = stored(with_baseline(event_seconds(taps), kernel_intensity(taps, bandwidth)), "hawkes-events")
-    ordered = F.array_sort(F.collect_list(F.struct("t", "n", "mu")))
-    days = spread(events, DAY).groupBy(*DAY).agg(
-        ordered.alias("ev"), F.max("mass").alias("mass"), F.greatest(F.lit(end), F.max("t")).alias("end"), F.sum("n").alias("events")
-    )
-    low, step = F.lit(math.log(LOW)), F.lit((math.log(HIGH) - math.log(LOW)) / (WIDE - 1))
-    none = [F.lit(None).cast("double").alias(c) for c in ("beta", "alpha", "loglik")]
-    box = F.struct(low.alias("b"), low.alias("a"), step.alias("step"), *none)
-    rounds = F.sequence(F.lit(1), F.lit(ROUNDS))
-    search = lambda held, cells: _narrowed(held, F.col("ev"), F.col("mass"), F.col("end"), cells)
-    best = let(search(box, WIDE), lambda first: F.aggregate(rounds, first, lambda held, _: search(held, NARROW)))
-    fitted = days.select(*DAY, "events", best.alias("f")).select(*DAY, "events", "f.alpha", "f.beta", "f.loglik")
+    types = dict(events.dtypes)
+
+    def likeliest(key: tuple, day: pd.DataFrame) -> pd.DataFrame:
+        day = day.sort_values("second")
+        second, n = (day[c].to_numpy().astype(np.int64) for c in ("second", "n"))
+        found = _likeliest(second, n, day["mu"].to_numpy(), day["mass"].max(), max(end, second[-1] / 60.0))
+        return pd.DataFrame([[*key, int(n.sum()), *found]], columns=[*DAY, "events", "alpha", "beta", "loglik"])
+
+    schema = ", ".join(f"{k} {types[k]}" for k in DAY) + ", events long, alpha double, beta double, loglik double"
+    days = spread(events.select(*DAY, "second", "n", "mu", "mass"), DAY).groupBy(*DAY)
+    fitted = days.applyInPandas(likeliest, schema)
     fitted = fitted.withColumn("beta", F.when(F.col("alpha") < 2 * LOW, F.lit(HIGH)).otherwise(F.col("beta")))
     rows = decayed(events.join(fitted, DAY), DAY)
     day = Window.partitionBy(*DAY).orderBy("second")
