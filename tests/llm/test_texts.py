@@ -52,6 +52,33 @@ def test_transducer_with_few_states_and_streamed_decoding(library):
     assert "".join(decoder.stream([3, 2])) == "��a"
 
 
+def test_transducer_states_do_not_hold_the_tokens_before_them():
+    encoder, rng = bpe.Encoder(bpe.read_ranks(RANKS)), random.Random(6)
+    parts = ["an", "er", "th", "ing", "re", "ou", "ly", "bl", "sh", "wh"]
+    pieces = ["".join(rng.choice(parts) for _ in range(rng.randint(4, 9))).encode() for _ in range(1500)]
+    for piece in pieces + pieces + pieces:
+        encoder.encode(piece)
+    assert len({tuple(place[:2] for place in state) for state in encoder.states}) == len(encoder.states)
+
+
+def test_word_and_mark_share_the_tokens_of_the_word(library):
+    codec = bpe.Codec(RANKS, public_tokenizers.PATTERN)
+    taken = []
+    encode, codec.encoder.encode = codec.encoder.encode, lambda piece: taken.append(piece) or encode(piece)
+    text = "x Tolyntan Tolyntan, Tolyntan. Tolyntan,"
+    assert codec.encode(text) == library.encode_ordinary(text)
+    assert taken.count(b" Tolyntan") == 1
+
+
+def test_collector_works_again_after_a_batch():
+    import gc
+
+    with pytest.raises(ValueError), bpe.uncollected():
+        assert not gc.isenabled()
+        raise ValueError
+    assert gc.isenabled()
+
+
 def test_encode_documents_edges(spark, library):
     texts = ["", None, "Hello world", "Hello world", "x " * 20000]
     rows = bpe.encode_documents(frame(spark, texts, [0, 1, 2, 2, None]), RANKS, public_tokenizers.PATTERN).collect()

@@ -3,9 +3,10 @@
 The merges are compiled into a trie over the tokens' bytes and the rule that a sequence of tokens is the BPE encoding
 of its bytes exactly if every adjacent pair is the encoding of its own bytes. Each prefix of a text then has one
 last token. A state of the transducer is the set of places where the next token may still start: for each, the trie
-node reached since then, the token before it, and the tokens not yet emitted. A byte moves all places; tokens that
-all of them agree on are emitted, so output follows input after a bounded lookahead. States and transitions are built
-when they are first met and thrown away when there are too many, which bounds memory.
+node reached since then and the token before it. A byte moves all places and puts out the last token of the prefix
+that it ends; read from the end, each of these tokens tells where the one before it ends. States do not hold the
+tokens that led to them, so words of different beginnings share them. States and transitions are built when they are
+wanted again and thrown away when there are too many, which bounds memory.
 
 Decoding is a second machine of that kind: its state is the unfinished part of a UTF-8 sequence.
 """
@@ -13,9 +14,11 @@ Decoding is a second machine of that kind: its state is the unfinished part of a
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 from pyspark.sql import DataFrame
@@ -52,6 +55,7 @@ class Encoder:
             raise ValueError(f"no token for bytes {missing[:5]}")
         self.ranks, self.most_states = ranks, most_states
         self.bytes_of = {i: t for t, i in ranks.items()}
+        self.lengths = {i: len(t) for t, i in ranks.items()}
         self.children: list[dict[int, int]] = [{}]
         self.token_at: list[int] = [-1]
         for token, rank in ranks.items():
@@ -62,28 +66,30 @@ class Encoder:
                     self.children.append({})
                     self.token_at.append(-1)
             self.token_at[node] = rank
-        self.spines: dict[tuple[int, bool], list[tuple[bytes, int]]] = {}
+        self.never = len(ranks) + 1
+        self.spines: dict[tuple[int, bool], tuple[list[bytes], list[int]]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.reset()
 
     def reset(self) -> None:
-        # A place: (trie node, token before it or -1, tokens before it that are not emitted yet).
-        self.states: list[tuple] = [((0, -1, ()),)]
+        # A place: (trie node, token before it or -1).
+        self.states: list[tuple] = [((0, -1),)]
         self.number: dict[tuple, int] = {self.states[0]: 0}
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+        self.moves: list[dict[int, int]] = [{}]
+        self.last: list[int] = [-1]
         self.met: set[int] = set()
 
-    def spine(self, token: int, last: bool) -> list[tuple[bytes, int]]:
-        """The growing part of a token at its last (or first) byte, with the rank of the merge that makes each."""
+    def spine(self, token: int, last: bool) -> tuple[list[bytes], list[int]]:
+        """The growing part of a token at its last (or first) byte, and for each the rank of the merge that takes it in."""
         known = self.spines.get((token, last))
         if known is None:
-            known = []
-            rank = -1
+            grown, made = [], []
             for parts, rank in merges(self.bytes_of[token], self.ranks):
                 part = parts[-1 if last else 0]
-                if not known or part != known[-1][0]:
-                    known.append((part, rank))
-            self.spines[token, last] = known
+                if not grown or part != grown[-1]:
+                    grown.append(part)
+                    made.append(rank)
+            known = self.spines[token, last] = grown, [*made[1:], self.never]
         return known
 
     def fits(self, before: int, token: int) -> bool:
@@ -96,65 +102,67 @@ class Encoder:
         if known is None:
             if len(self.pairs) > 400_000:
                 self.pairs.clear()
-            right = self.spine(token, False)
-            known = right[-1][0] == self.bytes_of[token]
+            right, taken_right = self.spine(token, False)
+            known = right[-1] == self.bytes_of[token]
             if known and before >= 0:
-                left, ranks, never = self.spine(before, True), self.ranks, len(self.ranks) + 1
+                left, taken_left = self.spine(before, True)
+                rank_of, never = self.ranks.get, self.never
                 i = j = 0
+                a, b = taken_left[0], taken_right[0]
                 while True:
-                    after_left = left[i + 1][1] if i + 1 < len(left) else never
-                    after_right = right[j + 1][1] if j + 1 < len(right) else never
-                    cross = ranks.get(left[i][0] + right[j][0], never)
-                    if cross < after_left and cross <= after_right and cross < never:
+                    cross = rank_of(left[i] + right[j], never)
+                    if cross < a and cross <= b:  # no merge has the rank ``never``
                         known = False
                         break
-                    if after_left == after_right == never:
-                        break
-                    if after_left <= after_right:
+                    if a <= b:
+                        if a == never:
+                            break
                         i += 1
+                        a = taken_left[i]
                     else:
                         j += 1
+                        b = taken_right[j]
             self.pairs[before, token] = known
         return known
 
-    def advance(self, places, byte: int) -> list[tuple]:
-        """The places after one more byte; the last one begins a token there."""
+    def follow(self, places, data: Iterable[int], last: list[int]):
+        """The places after some more bytes; the last one begins a token there. Appends the last token of each prefix."""
         children, token_at, pairs = self.children, self.token_at, self.pairs
-        moved, ended = [], None
-        for node, before, held in places:
-            node = children[node].get(byte)
-            if node is None:
-                continue
-            if ended is None:
-                token = token_at[node]
-                if token >= 0:
-                    fits = pairs.get((before, token))
-                    if fits or (fits is None and self.fits(before, token)):
-                        ended = (0, token, (*held, token))
-            if children[node]:
-                moved.append((node, before, held))
-        if ended is None:
-            raise AssertionError("every prefix has an encoding when all single bytes are tokens")
-        moved.append(ended)
-        return moved
-
-    def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Builds the transition of one state for one byte: next state and emitted tokens."""
-        moved = self.advance(self.states[state], byte)
-        first, shared = moved[0][2], 0
-        if first:
-            for t, *rest in zip(*(m[2] for m in moved)):
-                if any(x != t for x in rest):
-                    break
-                shared += 1
-        target = tuple((n, b, h[shared:]) for n, b, h in moved) if shared else tuple(moved)
-        number = self.number.get(target)
+        for byte in data:
+            moved, ended = [], -1
+            for node, before in places:
+                node = children[node].get(byte)
+                if node is None:
+                    continue
+                if ended < 0:
+                    token = token_at[node]
+                    if token >= 0:
+                        fits = pairs.get((before, token))
+                        if fits or (fits is None and self.fits(before, token)):
+                            ended = token
+                if children[node]:
+                    moved.append((node, before))
+            if ended < 0:
+                raise AssertionError("every prefix has an encoding when all single bytes are tokens")
+            moved.append((0, ended))
+            last.append(ended)
+            places = moved
+        return places
+
+    def state_of(self, places: tuple) -> int:
+        """Number of the state that has these places."""
+        number = self.number.get(places)
         if number is None:
-            number = self.number[target] = len(self.states)
-            self.states.append(target)
+            number = self.number[places] = len(self.states)
+            self.states.append(places)
             self.moves.append({})
-        self.moves[state][byte] = number, first[:shared]
-        return number, first[:shared]
+            self.last.append(places[-1][1])
+        return number
+
+    def step(self, state: int, byte: int) -> int:
+        """Builds the transition of one state for one byte."""
+        number = self.moves[state][byte] = self.state_of(tuple(self.follow(self.states[state], (byte,), [])))
+        return number
 
     def encode(self, piece: bytes) -> list[int]:
         """Tokens of one piece of text.
@@ -168,29 +176,32 @@ class Encoder:
             return [token]
         if len(self.states) > self.most_states or len(self.met) > 4 * self.most_states:
             self.reset()
-        state, out, brief = 0, [], len(piece) <= 64
+        moves, token_of, met = self.moves, self.last, self.met
+        state, last, brief = 0, [], len(piece) <= 64
         for at, byte in enumerate(piece):
-            move = self.moves[state].get(byte)
+            move = moves[state].get(byte)
             if move is None:
                 if brief:
                     key = state << 8 | byte
-                    if key not in self.met:
-                        self.met.add(key)
-                        places = self.states[state]
-                        for rest in piece[at:]:
-                            places = self.advance(places, rest)
-                        return out + list(places[-1][2])
+                    if key not in met:
+                        met.add(key)
+                        self.follow(self.states[state], piece[at:], last)
+                        break
+                elif len(self.states) > 2 * self.most_states:  # a very long piece: keep only the state it is in
+                    held = self.states[state]
+                    self.reset()
+                    moves, token_of, met = self.moves, self.last, self.met
+                    state = self.state_of(held)
                 move = self.step(state, byte)
-            state, tokens = move
-            if tokens:
-                out += tokens
-            if len(self.states) > 2 * self.most_states:  # a very long piece: keep only the state it is in
-                held = self.states[state]
-                self.reset()
-                self.states.append(held)
-                self.number[held] = state = 1
-                self.moves.append({})
-        return out + list(self.states[state][-1][2])
+            state = move
+            last.append(token_of[state])
+        out, at, lengths = [], len(last), self.lengths
+        while at:
+            token = last[at - 1]
+            out.append(token)
+            at -= lengths[token]
+        out.reverse()
+        return out
 
 
 class Utf8Decoder:
@@ -303,7 +314,7 @@ class Codec:
             if word.isalpha():
                 return tuple(self.encoder.encode((blank + word).encode()))
             if word[-1] in ".," and word[:-1].isalpha():
-                return self.piece(blank + word[:-1]) + self.piece(word[-1])
+                return (self.word if blank else self.start)(word[:-1]) + self.piece(word[-1])
         return tuple(self.whole(blank + word))
 
     def encode(self, text: str) -> list[int]:
@@ -333,6 +344,18 @@ def codec_of(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
+@contextmanager
+def uncollected():
+    """Python's cycle collector rests: nothing here forms cycles, and it would walk all states and words held again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, ids, decoded): the token ids of every whole text and the text decoded from them.
 
@@ -347,8 +370,9 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_column: str =
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
-                ids = [codec.encode(t or "") for t in part.column(1).to_pylist()]
-                texts = [codec.decode(i) for i in ids]
+                with uncollected():
+                    ids = [codec.encode(t or "") for t in part.column(1).to_pylist()]
+                    texts = [codec.decode(i) for i in ids]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
@@ -369,15 +393,16 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         digits = {i: str(i) for i in codec.encoder.bytes_of}.__getitem__
         for batch in batches:
             counts, ids_sum, text_sum = [], [], []
-            for value in batch.column(1):
-                ids = codec.encode(value.as_py() or "")
-                counts.append(len(ids))
-                ids_sum.append(hashlib.sha256(" ".join(map(digits, ids)).encode()).hexdigest())
-                own = hashlib.sha256()
-                for start in range(0, len(ids), 65_536):
-                    own.update(decoder.feed_all(ids[start : start + 65_536]).encode())
-                own.update(decoder.finish().encode())
-                text_sum.append(own.hexdigest())
+            with uncollected():
+                for value in batch.column(1):
+                    ids = codec.encode(value.as_py() or "")
+                    counts.append(len(ids))
+                    ids_sum.append(hashlib.sha256(" ".join(map(digits, ids)).encode()).hexdigest())
+                    own = hashlib.sha256()
+                    for start in range(0, len(ids), 65_536):
+                        own.update(decoder.feed_all(ids[start : start + 65_536]).encode())
+                    own.update(decoder.finish().encode())
+                    text_sum.append(own.hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sum, pa.string()), pa.array(text_sum, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
