@@ -376,6 +376,30 @@ def test_average_linkage_equals_plain_linkage(spark, monkeypatch, sizes, block):
         assert set(found) == plain_linkage(part, 4) and [min(g) for g in found] == sorted(min(g) for g in found)
 
 
+def test_equal_curves_take_no_rounds(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "BLOCK", 4)
+    monkeypatch.setattr(linkage, "FEW", 1)
+    rounds, merge_round = [], linkage.merge_round
+    monkeypatch.setattr(linkage, "merge_round", lambda *a: rounds.append(1) or merge_round(*a))
+    z = unit_rows(np.random.default_rng(5), 12)
+    rows = [(f"{c * 12 + i:04d}", "T", x.tolist()) for c in range(15) for i, x in enumerate(z)]
+    rows += rows[:2]  # two stations come twice
+    got = cluster.hierarchy(spark.createDataFrame(rows, "station string, date_type string, curve array<double>"), 4).toPandas()
+    assert len(got) == len(rows) and len(rounds) <= 8
+    found = {frozenset(g["station"].astype(int) % 12) for _, g in got.groupby("cluster")}
+    assert found == plain_linkage(z, 4)
+
+
+def test_remaining_rounds_in_one_task_equal_rounds_of_all(spark, monkeypatch):
+    rows = [(f"{i:03d}", "T", x.tolist()) for i, x in enumerate(unit_rows(np.random.default_rng(9), 90))]
+    curves = spark.createDataFrame(rows, "station string, date_type string, curve array<double>")
+    found = []
+    for block in (4096, 8):
+        monkeypatch.setattr(linkage, "BLOCK", block)
+        found.append({(r["station"], r["cluster"]) for r in cluster.hierarchy(curves, 5).collect()})
+    assert found[0] == found[1]
+
+
 def blobs(spark, sizes, width=5):
     rng = np.random.default_rng(8)
     x = {f"T{t}": rng.normal(size=(n, width)) + 3 * rng.integers(0, 3, (n, 1)) for t, n in enumerate(sizes)}
