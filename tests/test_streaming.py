@@ -96,3 +96,68 @@ def test_ingest_of_several_files_a_day_a_late_file_and_a_restart(spark, tmp_path
     got = store.facts.join(store.stations.withColumnRenamed("id", "station_id"), "station_id").select("code", *key, *measures)
     want = rates.count_facts(taps).join(codes, "station").select("code", *key, *measures)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+class FakeState:
+    """A list or value state that counts the rows it is given."""
+
+    def __init__(self):
+        self.rows, self.given = [], 0
+
+    def get(self):
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.rows, self.given = list(rows), self.given + len(rows)
+
+    def appendList(self, rows):
+        self.put([*self.rows, *rows])
+
+    def exists(self):
+        return bool(self.rows)
+
+    def clear(self):
+        self.rows = []
+
+
+class FakeValue(FakeState):
+    def get(self):
+        return self.rows[0] if self.rows else None
+
+    def update(self, value):
+        self.rows = [value]
+
+
+class FakeHandle:
+    def __init__(self):
+        self.timers, self.value, self.list = [], FakeValue(), FakeState()
+
+    def getValueState(self, name, schema):
+        return self.value
+
+    def getListState(self, name, schema):
+        return self.list
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class FakeClock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_taps_of_a_frame_are_one_row_of_state_and_cards_without_trips_no_frame():
+    import pandas as pd
+
+    handle, seen = FakeHandle(), flows.LastSeen()
+    seen.init(handle)
+    frame = pd.DataFrame({"ts": pd.to_datetime([3, 1, 2], unit="s"), "event_id": [3, 1, 2], "station": ["b", "a", "a"]})
+    assert list(seen.handleInputRows((7,), iter([frame]), None)) == [] and handle.list.given == 1 and handle.timers == [1001]
+    assert list(seen.handleExpiredTimer((7,), FakeClock(2000), None)) == []  # two taps at one station, one tap still held
+    (trip,) = [r for f in seen.handleExpiredTimer((7,), FakeClock(10**12), None) for r in f.itertuples(index=False)]
+    assert trip[:3] == (7, "a", "b") and (trip.t1, trip.t2) == (pd.Timestamp(2, unit="s"), pd.Timestamp(3, unit="s"))
+    assert not handle.list.rows and not handle.value.rows

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from datetime import datetime
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -195,24 +196,27 @@ class LastSeen(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.seen = handle.getValueState("seen", "us bigint, station string")
-        self.pending = handle.getListState("pending", "us bigint, event_id bigint, station string")
+        # One row a frame, as every row that goes to or from the state costs a call.
+        self.pending = handle.getListState("pending", "us array<bigint>, event_id array<bigint>, station array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        held, first = [], None
         for frame in rows:
-            us = frame["ts"].astype("datetime64[us]").astype("int64")
-            self.pending.appendList(list(zip(us.tolist(), frame["event_id"].tolist(), frame["station"].tolist())))
-            first = int(us.min()) if first is None else min(first, int(us.min()))
-        if first is not None:
+            us = frame["ts"].to_numpy().astype("datetime64[us]").astype("int64").tolist()
+            held.append((us, frame["event_id"].tolist(), frame["station"].tolist()))
+            first = min(us) if first is None else min(first, *us)
+        if held:
+            self.pending.appendList(held)
             self.handle.registerTimer(first // 1000 + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        held = list(self.pending.get()) if self.pending.exists() else []
-        due = sorted((tuple(r) for r in held if r[0] <= passed), key=lambda r: r[:2])
-        rest = [tuple(r) for r in held if r[0] > passed]
-        before = tuple(self.seen.get()) if self.seen.exists() else None
+        held = [tap for part in self.pending.get() for tap in zip(*part)]
+        due = sorted((r for r in held if r[0] <= passed), key=lambda r: r[:2])
+        rest = [r for r in held if r[0] > passed]
+        known = self.seen.get()
+        before = None if known is None else tuple(known)
         keep = self.hours * HOUR_MS * 1000
         trips = []
         for us, _, station in due:
@@ -220,21 +224,20 @@ class LastSeen(StatefulProcessor):
                 trips.append((before[1], station, before[0], us))
             before = (us, station)
         if rest:
-            self.pending.put(rest)
+            self.pending.put([tuple(map(list, zip(*rest)))])
             self.handle.registerTimer(min(r[0] for r in rest) // 1000 + 1)
-        else:
+        elif held:
             self.pending.clear()
         if before is not None and (rest or before[0] + keep > passed):
             self.seen.update(before)
             if not rest:
                 self.handle.registerTimer((before[0] + keep) // 1000 + 1)
-        elif before is not None:
+        elif known is not None:
             self.seen.clear()
-        out = pd.DataFrame(trips, columns=["origin", "destination", "t1", "t2"])
-        for name in ("t1", "t2"):
-            out[name] = pd.to_datetime(out[name], unit="us")
-        out.insert(0, "card", key[0])
-        yield out
+        if trips:
+            origin, destination, t1, t2 = zip(*trips)
+            moments = (np.array(t, "datetime64[us]") for t in (t1, t2))
+            yield pd.DataFrame(dict(zip(("card", "origin", "destination", "t1", "t2"), (key[0], origin, destination, *moments))))
 
     def close(self) -> None:
         pass
