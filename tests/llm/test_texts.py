@@ -70,6 +70,35 @@ def test_word_and_mark_share_the_tokens_of_the_word(library):
     assert taken.count(b" Tolyntan") == 1
 
 
+def test_words_of_many_texts_are_walked_together(library, monkeypatch):
+    encoder, rng = bpe.Encoder(bpe.read_ranks(RANKS), most_states=30), random.Random(7)
+    pieces = ["".join(rng.choice("abcdefgh é") for _ in range(rng.randint(0, 90))).encode() for _ in range(800)]
+    assert [list(ids) for ids in encoder.encode_all(pieces)] == [library._encode_single_piece(p) if p else [] for p in pieces]
+    codec, alone = bpe.Codec(RANKS, public_tokenizers.PATTERN, 300), []
+    monkeypatch.setattr(codec, "LONG", 400)
+    encode, codec.encoder.encode = codec.encoder.encode, lambda piece: alone.append(piece) or encode(piece)
+    words = ["".join(rng.choice(["an", "er", "th", "ing", "ou", "é", "'s", "日", "!", "7"]) for _ in range(rng.randint(1, 9))) for _ in range(2000)]
+    texts = [" ".join(rng.choice(words) + rng.choice(["", "", ".", ","]) for _ in range(rng.choice([1, 40, 900]))) for _ in range(60)]
+    texts += ["", None, "\n", " a", "a ", "a\nb \nc", "a\n\nb", "a\u00a0b c", *["".join(rng.choice(LETTERS) for _ in range(rng.randint(0, 500))) for _ in range(60)]]
+    texts += [texts[0].replace(" ", "\n"), texts[2] + " ", "\n".join(texts[:3]), "a " * 500 + "\tb"]
+    ids = list(codec.encode_in_groups(texts))
+    assert ids == [library.encode_ordinary(t or "") for t in texts]
+    assert [codec.decode(i) for i in ids] == [t or "" for t in texts]
+    assert len(alone) < len(words) / 2
+
+
+def test_digests_equal_the_library(spark, library):
+    import hashlib
+
+    texts = ["", None, "Hello world", "日本 é\n'tis 1234", "!" * 500, "\n\n x", "a"]
+    rows = bpe.digests(frame(spark, texts), RANKS, public_tokenizers.PATTERN).collect()
+    for text, row in zip(texts, sorted(rows, key=lambda r: r.doc_id)):
+        ids = library.encode_ordinary(text or "")
+        assert row.n_tokens == len(ids)
+        assert row.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert row.decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
+
+
 def test_collector_works_again_after_a_batch():
     import gc
 

@@ -6,7 +6,8 @@ last token. A state of the transducer is the set of places where the next token
 node reached since then and the token before it. A byte moves all places and puts out the last token of the prefix
 that it ends; read from the end, each of these tokens tells where the one before it ends. States do not hold the
 tokens that led to them, so words of different beginnings share them. States and transitions are built when they are
-wanted again and thrown away when there are too many, which bounds memory.
+wanted again and thrown away when there are too many, which bounds memory. Transitions stand in a table of bytes by
+states, so the words of many texts take their steps at the same time, a byte of each word in one.
 
 Decoding is a second machine of that kind: its state is the unfinished part of a UTF-8 sequence.
 """
@@ -21,6 +22,7 @@ from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from itertools import chain
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +49,9 @@ def merges(piece: bytes, ranks: dict[bytes, int]) -> Iterator[tuple[list[bytes],
 
 
 class Encoder:
-    """Lazily determinised transducer for pieces of text; ``encode`` gives the tokens of one piece."""
+    """Lazily determinised transducer for pieces of text; ``encode`` gives the tokens of one piece, ``encode_all`` of many."""
+
+    BRIEF = 64  # bytes of a short piece
 
     def __init__(self, ranks: dict[bytes, int], most_states: int = 150_000):
         missing = [b for b in range(256) if bytes([b]) not in ranks]
@@ -56,6 +60,12 @@ class Encoder:
         self.ranks, self.most_states = ranks, most_states
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.lengths = {i: len(t) for t, i in ranks.items()}
+        self.length_of = np.zeros(max(self.lengths) + 1, np.int32)
+        self.length_of[list(self.lengths)] = list(self.lengths.values())
+        self.same = np.full(len(self.length_of), None, object)  # one object for each token, whoever holds it
+        self.same[list(self.lengths)] = list(self.lengths)
+        self.at_once = max(most_states // 2, self.BRIEF)
+        self.room = most_states + self.at_once + 3
         self.children: list[dict[int, int]] = [{}]
         self.token_at: list[int] = [-1]
         for token, rank in ranks.items():
@@ -75,8 +85,12 @@ class Encoder:
         # A place: (trie node, token before it or -1).
         self.states: list[tuple] = [((0, -1),)]
         self.number: dict[tuple, int] = {self.states[0]: 0}
-        self.moves: list[dict[int, int]] = [{}]
-        self.last: list[int] = [-1]
+        # Next state by row of the byte and state; 0 is none, as no byte leads to the first state. Bytes get their
+        # rows when they are met, since rows without entries take no memory.
+        self.moves = np.zeros(256 * self.room, np.int32)
+        self.row: dict[int, int] = {}
+        self.row_of = np.zeros(256, np.int64)
+        self.last = np.full(self.room, -1, np.int32)
         self.met: set[int] = set()
 
     def spine(self, token: int, last: bool) -> tuple[list[bytes], list[int]]:
@@ -155,46 +169,57 @@ class Encoder:
         if number is None:
             number = self.number[places] = len(self.states)
             self.states.append(places)
-            self.moves.append({})
-            self.last.append(places[-1][1])
+            self.last[number] = places[-1][1]
         return number
 
+    def begin(self, data: Iterable[int]) -> None:
+        """Room for some more steps, and rows for the bytes they take."""
+        if len(self.states) > self.most_states or len(self.met) > 4 * self.most_states:
+            self.reset()
+        for byte in data:
+            if byte not in self.row:
+                self.row[byte] = len(self.row)
+                self.row_of[byte] = self.row[byte] * self.room
+
     def step(self, state: int, byte: int) -> int:
         """Builds the transition of one state for one byte."""
-        number = self.moves[state][byte] = self.state_of(tuple(self.follow(self.states[state], (byte,), [])))
+        number = self.state_of(tuple(self.follow(self.states[state], (byte,), [])))
+        self.moves[self.row[byte] * self.room + state] = number
         return number
 
-    def encode(self, piece: bytes) -> list[int]:
-        """Tokens of one piece of text.
+    def wanted(self, state: int, piece: bytes, at: int, last: list[int]) -> int:
+        """The next state of a short piece by a transition that it lacks, or 0 with the last tokens of all further prefixes.
 
-        A transition is built when it is wanted for the second time. The rest of a short piece that wants one for the
+        A transition is built when it is wanted for the second time. The rest of a piece that wants one for the
         first time is followed as a set of places, without making states.
         """
+        key = state << 8 | piece[at]
+        if key in self.met:
+            return self.step(state, piece[at])
+        self.met.add(key)
+        self.follow(self.states[state], piece[at:], last)
+        return 0
+
+    def encode(self, piece: bytes) -> list[int]:
+        """Tokens of one piece of text."""
         # The library takes a piece that is a token as a whole, even where merges would not reach it.
         token = self.ranks.get(piece)
         if token is not None:
             return [token]
-        if len(self.states) > self.most_states or len(self.met) > 4 * self.most_states:
-            self.reset()
-        moves, token_of, met = self.moves, self.last, self.met
-        state, last, brief = 0, [], len(piece) <= 64
+        self.begin(set(piece))
+        state, last, brief = 0, [], len(piece) <= self.BRIEF
         for at, byte in enumerate(piece):
-            move = moves[state].get(byte)
-            if move is None:
-                if brief:
-                    key = state << 8 | byte
-                    if key not in met:
-                        met.add(key)
-                        self.follow(self.states[state], piece[at:], last)
-                        break
-                elif len(self.states) > 2 * self.most_states:  # a very long piece: keep only the state it is in
-                    held = self.states[state]
-                    self.reset()
-                    moves, token_of, met = self.moves, self.last, self.met
-                    state = self.state_of(held)
-                move = self.step(state, byte)
+            if not brief and len(self.states) > self.most_states:  # a very long piece: keep only the state it is in
+                held = self.states[state]
+                self.begin(set(piece))
+                state = self.state_of(held)
+            move = self.moves.item(self.row[byte] * self.room + state)
+            if not move:
+                move = self.wanted(state, piece, at, last) if brief else self.step(state, byte)
+                if not move:
+                    break
             state = move
-            last.append(token_of[state])
+            last.append(self.last.item(state))
         out, at, lengths = [], len(last), self.lengths
         while at:
             token = last[at - 1]
@@ -203,6 +228,75 @@ class Encoder:
         out.reverse()
         return out
 
+    def encode_all(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """Tokens of many pieces of text."""
+        rank_of = self.ranks.get
+        out = [None if (token := rank_of(piece)) is None else (token,) for piece in pieces]
+        group, size = [], 0
+        for i, piece in enumerate(pieces):
+            if out[i] is not None:
+                continue
+            if len(piece) > self.BRIEF:
+                out[i] = tuple(self.encode(piece))
+                continue
+            if size + len(piece) > self.at_once:
+                self.walk(pieces, group, out)
+                group, size = [], 0
+            group.append(i)
+            size += len(piece)
+        if size:
+            self.walk(pieces, group, out)
+        return [() if ids is None else ids for ids in out]
+
+    def walk(self, pieces: list[bytes], group: list[int], out: list) -> None:
+        """Encodes the pieces of a group, the longest first, one byte of each in a step."""
+        group = sorted((i for i in group if pieces[i]), key=lambda i: -len(pieces[i]))
+        sizes = np.array([len(pieces[i]) for i in group])
+        first = np.cumsum(sizes) - sizes
+        data = np.frombuffer(b"".join([pieces[i] for i in group]), np.uint8)
+        self.begin(np.unique(data).tolist())
+        rows, moves = self.row_of[data], self.moves
+        last, rests = np.empty(len(data), np.int32), []
+        lanes, state = np.arange(len(group)), np.zeros(len(group), np.int32)
+        for at in range(sizes[0]):
+            lanes = lanes[: np.searchsorted(-sizes[lanes], -at)]  # those that are longer
+            state = state[: len(lanes)]
+            if not len(lanes):
+                break
+            places = first[lanes] + at
+            cells = rows[places] + state
+            moved = moves[cells]
+            for k in np.flatnonzero(moved == 0).tolist():
+                number, piece, rest = moves.item(cells[k]), pieces[group[lanes[k]]], []
+                if not number:
+                    number = self.wanted(state.item(k), piece, at, rest)
+                    if not number:
+                        rests.append((places[k], rest))
+                moved[k] = number
+            last[places] = self.last[moved]
+            kept = moved > 0
+            lanes, state = (lanes, moved) if kept.all() else (lanes[kept], moved[kept])
+        for place, rest in rests:
+            last[place : place + len(rest)] = rest
+        # Read from the end, each token tells where the one before it ends.
+        at, lanes, steps = first + sizes - 1, np.arange(len(group)), []
+        many = np.zeros(len(group), np.int64)
+        while len(lanes):
+            tokens = last[at]
+            steps.append((lanes, tokens))
+            many[lanes] += 1
+            at = at - self.length_of[tokens]
+            more = at >= first[lanes]
+            lanes, at = lanes[more], at[more]
+        ends = np.cumsum(many)
+        ids = np.empty(ends[-1], object)
+        for k, (lanes, tokens) in enumerate(steps):
+            ids[ends[lanes] - 1 - k] = self.same[tokens]
+        ids, start = ids.tolist(), 0
+        for i, end in zip(group, ends.tolist()):
+            out[i] = tuple(ids[start:end])
+            start = end
+
 
 class Utf8Decoder:
     """Incremental decoding of token ids: ``feed`` gives the text that is complete so far.
@@ -215,11 +309,6 @@ class Utf8Decoder:
         self.bytes_of, self.most_moves = bytes_of, most_moves
         self.moves: dict[tuple[bytes, int], tuple[bytes, str]] = {}
         self.rest = b""
-        self.whole: dict[int, str] = {}  # moves that begin and end between characters
-        for token, data in bytes_of.items():
-            rest, text = self.split(data)
-            if not rest:
-                self.whole[token] = text
 
     @staticmethod
     def wanted(lead: int) -> int:
@@ -257,20 +346,11 @@ class Utf8Decoder:
         return text
 
     def feed_all(self, tokens: list[int]) -> str:
-        """Text of a run of tokens; stretches that stay between characters take no step of their own."""
+        """Text of a run of tokens; the bytes of some thousand tokens are one step."""
         out: list[str] = []
-        whole = self.whole
-        for start in range(0, len(tokens), 64):
-            part = tokens[start : start + 64]
-            if not self.rest:
-                try:
-                    out.append("".join(map(whole.__getitem__, part)))
-                    continue
-                except KeyError:
-                    pass
-            for token in part:
-                text = None if self.rest else whole.get(token)
-                out.append(self.feed(token) if text is None else text)
+        for start in range(0, len(tokens), 4096):
+            self.rest, text = self.split(self.rest + b"".join(map(self.bytes_of.__getitem__, tokens[start : start + 4096])))
+            out.append(text)
         return "".join(out)
 
     def finish(self) -> str:
@@ -283,8 +363,9 @@ class Utf8Decoder:
         yield self.finish()
 
 
-#: White space beside white space: there a match of the pattern may reach over the end of a word.
-_LOOSE = re.compile(r"\s(?:\s|\Z)|\A\s|[^\S \n]")
+#: A word, maybe behind a line feed. Any other part between two blanks has white space beside white space, where a
+#: match of the pattern may reach over the end of a word.
+_WORD = re.compile(r"\n?\S+").fullmatch
 
 
 class Codec:
@@ -295,40 +376,99 @@ class Codec:
     The pattern must have that property, as the public pattern of the vocabulary has.
     """
 
+    LONG = 1 << 20  # characters that are looked up together
+
     def __init__(self, path: str, pattern: str, most_words: int = 250_000):
         import regex
 
         self.encoder = Encoder(read_ranks(path))
         self.decoder = Utf8Decoder(self.encoder.bytes_of)
         self.matches = regex.compile(pattern).findall
-        self.piece = Remembered(lambda piece: tuple(self.encoder.encode(piece.encode("utf-8", "surrogatepass"))), most_words // 4).__getitem__
-        self.word = Remembered(lambda word: self.of_word(" ", word), most_words).__getitem__
-        self.start = Remembered(lambda word: self.of_word("", word), most_words // 4).__getitem__
-
-    def whole(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.piece, self.matches(text))))
-
-    def of_word(self, blank: str, word: str) -> tuple[int, ...]:
+        # Words behind a blank, or behind and with a line feed, and matches of the pattern.
+        self.words = Remembered(None, most_words)
+        self.pieces = Remembered(None, most_words // 4)
+
+    def cut(self, word: str, blank: str = " ") -> list[str]:
+        """The matches of the pattern in a word."""
+        if word[0] == "\n":
+            return ["\n", *self.cut(word[1:], "")]
         # A word of Latin letters, or of these and a mark, needs no matching.
-        if word and max(word) < "\u0250":
+        if word.isascii() or max(word) < "\u0250":
             if word.isalpha():
-                return tuple(self.encoder.encode((blank + word).encode()))
+                return [blank + word]
             if word[-1] in ".," and word[:-1].isalpha():
-                return (self.word if blank else self.start)(word[:-1]) + self.piece(word[-1])
-        return tuple(self.whole(blank + word))
+                return [blank + word[:-1], word[-1]]
+        return self.matches(blank + word)
+
+    def of_pieces(self, pieces: Iterable[str]) -> dict[str, tuple[int, ...]]:
+        """Tokens of distinct matches of the pattern."""
+        data = [piece.encode("utf-8", "surrogatepass") for piece in pieces]
+        # Steps of arrays pay for many pieces.
+        return dict(zip(pieces, self.encoder.encode_all(data) if len(data) >= 32 else [tuple(self.encoder.encode(piece)) for piece in data]))
+
+    def of_words(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
+        """Tokens of distinct words."""
+        cuts = {word: self.cut(word) for word in words}
+        ids = self.of_pieces(dict.fromkeys(chain.from_iterable(cuts.values())))
+        return {word: ids[cut[0]] if len(cut) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, cut))) for word, cut in cuts.items()}
+
+    def looked_up(self, rows: list[list[str]], held: Remembered, make, fit=None) -> list[list[int] | None]:
+        """Tokens of rows of parts; parts not held are made once and together. None for a row with a part that does not fit."""
+        ids = dict.fromkeys(chain.from_iterable(rows))
+        for part in ids:
+            ids[part] = held.get(part)
+        new = {part: held.before.get(part) for part, known in ids.items() if known is None}
+        unfit = {part for part in new if not fit(part)} if fit else set()
+        if unfit:
+            rows = [row if unfit.isdisjoint(row) else None for row in rows]
+        new |= make([part for part, known in new.items() if known is None and part not in unfit])
+        for part in unfit:
+            del new[part]
+        held.keep(new)
+        ids |= new
+        return [None if row is None else list(chain.from_iterable(map(ids.__getitem__, row))) for row in rows]
+
+    def runs(self, runs: Iterable[str]) -> list[list[int] | None]:
+        """Tokens of runs of words, each behind a blank or line feed; None where other white space is among them."""
+        return self.looked_up([run.replace("\n", " \n").split(" ")[1:] for run in runs], self.words, self.of_words, _WORD)
+
+    def long_run(self, run: str) -> list[int] | None:
+        """Tokens of a long run, which is cut before blanks."""
+        out, start = [], 0
+        while start < len(run):
+            end = run.find(" ", start + self.LONG)
+            end = len(run) if end < 0 else end
+            ids = self.runs([run[start:end]])[0]
+            if ids is None:
+                return None
+            out += ids
+            start = end
+        return out
 
     def encode(self, text: str) -> list[int]:
-        if not text or _LOOSE.search(text):
-            return self.whole(text)
-        out: list[int] = []
-        feed = self.piece("\n")
-        for number, line in enumerate(text.split("\n")):
-            words = line.split(" ")
-            if number:
-                out += feed
-            out += self.start(words[0])
-            out += chain.from_iterable(map(self.word, words[1:]))
-        return out
+        """Tokens of one text."""
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """Tokens of some texts; what is not remembered is encoded once and together.
+
+        A text is read as if it stood behind a line feed, whose one token then goes.
+        """
+        brief = iter(self.runs("\n" + text for text in texts if 0 < len(text) <= self.LONG))
+        out = [self.long_run("\n" + text) if len(text) > self.LONG else next(brief) if text else [0] for text in texts]
+        others = iter(self.looked_up([self.matches(text) for text, ids in zip(texts, out) if ids is None], self.pieces, self.of_pieces))
+        return [next(others) if ids is None else ids[1:] for ids in out]
+
+    def encode_in_groups(self, texts: Iterable[str | None]) -> Iterator[list[int]]:
+        """Tokens of texts, one after another, for groups of bounded size; a null text counts as empty."""
+        group, size = [], 0
+        for text in texts:
+            group.append(text or "")
+            size += len(group[-1])
+            if size >= self.LONG:
+                yield from self.encode_all(group)
+                group, size = [], 0
+        yield from self.encode_all(group)
 
     def decode(self, ids: Iterable[int]) -> str:
         return self.decoder.feed_all(list(ids)) + self.decoder.finish()
@@ -371,7 +511,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_column: str =
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
                 with uncollected():
-                    ids = [codec.encode(t or "") for t in part.column(1).to_pylist()]
+                    ids = list(codec.encode_in_groups(part.column(1).to_pylist()))
                     texts = [codec.decode(i) for i in ids]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
@@ -389,15 +529,14 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         import pyarrow as pa
 
         codec = codec_of(path, pattern)
-        decoder = codec.decoder
-        digits = {i: str(i) for i in codec.encoder.bytes_of}.__getitem__
+        decoder, empty = codec.decoder, hashlib.sha256().hexdigest()
+        digits = np.array([b"%d " % i for i in range(len(codec.encoder.length_of))])
         for batch in batches:
             counts, ids_sum, text_sum = [], [], []
             with uncollected():
-                for value in batch.column(1):
-                    ids = codec.encode(value.as_py() or "")
+                for ids in codec.encode_in_groups(value.as_py() for value in batch.column(1)):
                     counts.append(len(ids))
-                    ids_sum.append(hashlib.sha256(" ".join(map(digits, ids)).encode()).hexdigest())
+                    ids_sum.append(hashlib.sha256(digits[ids].tobytes().replace(b"\0", b"")[:-1]).hexdigest() if ids else empty)
                     own = hashlib.sha256()
                     for start in range(0, len(ids), 65_536):
                         own.update(decoder.feed_all(ids[start : start + 65_536]).encode())

@@ -83,6 +83,14 @@ class Remembered(dict):
         self[key] = value
         return value
 
+    def keep(self, values: dict) -> None:
+        """Takes in values that were made elsewhere."""
+        for key, value in values.items():
+            if len(self) >= self.most:
+                self.before = dict(self)
+                self.clear()
+            self[key] = value
+
 
 class WordKeys:
     """64-bit keys of words, remembered for the words met lately."""
