@@ -58,7 +58,9 @@ def bootstrap_k(series: DataFrame, replicates: int = 200, seed: int = 42) -> Dat
     var = (F.col("square") - F.col("total") * mean) / (F.col("size") - 1)
     k = F.when((F.col("total") > 0) & (F.col("size") > 1), F.greatest((var - mean) / (mean * mean), F.lit(0.0))).otherwise(F.lit(0.0))
     at = F.percentile("k", [0.025, 0.975])
-    return sums.select(*DAY, k.alias("k")).groupBy(*DAY).agg(F.avg("k").alias("k_mean"), at.alias("q")).select(
+    # Added in their order: sums of doubles follow the order of rows, and that follows the partitions.
+    mean_k = F.aggregate(F.array_sort(F.collect_list("k")), F.lit(0.0), lambda total, x: total + x) / F.count("k")
+    return sums.select(*DAY, k.alias("k")).groupBy(*DAY).agg(mean_k.alias("k_mean"), at.alias("q")).select(
         *DAY, "k_mean", F.col("q")[0].alias("k_low"), F.col("q")[1].alias("k_high")
     )
 
