@@ -390,6 +390,28 @@ def test_equal_curves_take_no_rounds(spark, monkeypatch):
     assert found == plain_linkage(z, 4)
 
 
+def shuffled(spark):
+    """Bytes that all shuffles of the session have written so far."""
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_rounds_of_all_write_no_centre_for_each_block(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "BLOCK", 8)
+    monkeypatch.setattr(linkage, "FEW", 12)
+    monkeypatch.setattr(linkage, "PACK", 2)
+    rng = np.random.default_rng(3)
+    z = {"A": unit_rows(rng, 260, 32), "B": unit_rows(rng, 40, 32)}
+    rows = [(f"{i:04d}", t, x.tolist()) for t, part in z.items() for i, x in enumerate(part)]
+    curves = spark.createDataFrame(rows, "station string, date_type string, curve array<double>").repartition(3)
+    before = shuffled(spark)
+    got = cluster.hierarchy(curves, 4).toPandas()
+    assert shuffled(spark) - before < 15 * len(rows) * 32 * 8  # once for each block would be over 30 times in the first round
+    for t, part in z.items():
+        found = {frozenset(g["station"].astype(int)) for _, g in got[got["date_type"] == t].groupby("cluster")}
+        assert found == plain_linkage(part, 4)
+
+
 def test_remaining_rounds_in_one_task_equal_rounds_of_all(spark, monkeypatch):
     rows = [(f"{i:03d}", "T", x.tolist()) for i, x in enumerate(unit_rows(np.random.default_rng(9), 90))]
     curves = spark.createDataFrame(rows, "station string, date_type string, curve array<double>")
